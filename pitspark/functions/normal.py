@@ -7,6 +7,7 @@ from statistics import NormalDist
 
 import pandas as pd
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 _UNIT = NormalDist()
 
@@ -21,11 +22,11 @@ def ppf(p: float) -> float:
     return _UNIT.inv_cdf(p)
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def normal_cdf(x: pd.Series) -> pd.Series:
     return x.map(lambda v: None if v is None or v != v else cdf(v)).astype("float64")
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def normal_ppf(p: pd.Series) -> pd.Series:
     return p.map(lambda v: None if v is None or not 0 < v < 1 else _UNIT.inv_cdf(v)).astype("float64")
