@@ -44,6 +44,6 @@ def walk_forward(spark: SparkSession, n: int, train: int, test: int, step: int |
     return spark.range(folds).select(F.col("id").cast("int").alias("fold"), (F.lit(0).cast("long") if expanding else at).alias("train_lo"), (at + train).alias("train_hi"), (at + train).alias("test_lo"), (at + train + test).alias("test_hi"))
 
 
-def evaluate_folds(rows: DataFrame, folds: DataFrame, evaluate, schema: str, idx: str = "idx") -> DataFrame:
-    """evaluate(pandas rows of one fold with a column `role`) per fold; folds: (fold, idx, role)."""
-    return rows.join(folds.withColumnRenamed("idx", idx), idx).groupBy("fold").applyInPandas(evaluate, schema)
+def evaluate_folds(rows: DataFrame, folds: DataFrame, evaluate, schema: str, idx: str = "idx", by: list[str] | None = None) -> DataFrame:
+    """evaluate(pandas rows of one fold with a column `role`) per fold, and per value of `by`; folds: (fold, idx, role)."""
+    return rows.join(folds.withColumnRenamed("idx", idx), idx).groupBy(*(by or []), "fold").applyInPandas(evaluate, schema)

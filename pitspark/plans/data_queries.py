@@ -81,16 +81,27 @@ def pit_snapshot(spark, sf):
     return pit.snapshot(A.bars_late(spark, sf))
 
 
-@query("pit_visible_rows", "WITH {A5} SELECT d.symbol, d.idx AS decision_index, v.idx, v.ts, v.close FROM late d JOIN late v ON v.symbol = d.symbol AND v.idx <= d.idx AND v.available_time <= d.ts WHERE d.idx % 200 = 100")
+_TURN = "yr AS (SELECT *, coalesce(year(make_timestamp(ts * 1000)) <> year(make_timestamp(lag(ts) OVER (PARTITION BY symbol ORDER BY idx) * 1000)), true) AS turn FROM late)"
+
+
+def _year_turns(bars):
+    """Decisions at the first bar of each year."""
+    year = F.year(F.date_from_unix_date((F.col("ts") / 86_400_000).cast("int")))
+    before = F.lag("year").over(C.series())
+    marked = bars.withColumn("year", year).withColumn("turn", F.coalesce(F.col("year") != before, F.lit(True)))
+    return marked.where("turn").select("symbol", F.col("idx").alias("decision_index"))
+
+
+@query("pit_visible_rows", f"WITH {{A5}}, {_TURN} SELECT d.symbol, d.idx AS decision_index, v.idx, v.ts, v.close FROM yr d JOIN late v ON v.symbol = d.symbol AND v.idx <= d.idx AND v.available_time <= d.ts WHERE d.turn")
 def pit_visible_rows(spark, sf):
     bars = A.bars_late(spark, sf)
-    return pit.visible(bars, bars.where("idx % 200 = 100").select("symbol", F.col("idx").alias("decision_index")))
+    return pit.visible(bars, _year_turns(bars))
 
 
-@query("pit_visible_returns", "WITH {A5}, v AS (SELECT d.symbol, d.idx AS decision_index, v.idx, v.close FROM late d JOIN late v ON v.symbol = d.symbol AND v.idx <= d.idx AND v.available_time <= d.ts WHERE d.idx % 200 = 100) SELECT symbol, decision_index, idx, round(close / lag(close) OVER (PARTITION BY symbol, decision_index ORDER BY idx) - 1, 8) + 0.0 AS r FROM v")
+@query("pit_visible_returns", f"WITH {{A5}}, {_TURN}, v AS (SELECT d.symbol, d.idx AS decision_index, v.idx, v.close FROM yr d JOIN late v ON v.symbol = d.symbol AND v.idx <= d.idx AND v.available_time <= d.ts WHERE d.turn) SELECT symbol, decision_index, idx, round(close / lag(close) OVER (PARTITION BY symbol, decision_index ORDER BY idx) - 1, 8) + 0.0 AS r FROM v")
 def pit_visible_returns(spark, sf):
     bars = A.bars_late(spark, sf)
-    seen = pit.visible(bars, bars.where("idx % 200 = 100").select("symbol", F.col("idx").alias("decision_index")))
+    seen = pit.visible(bars, _year_turns(bars))
     return rounded(seen.select("symbol", "decision_index", "idx", C.simple_return(F.col("close"), C.series(("symbol", "decision_index"))).alias("r")), 8)
 
 

@@ -144,17 +144,18 @@ def walk_forward_expanding(spark, sf):
 
 @query("walk_forward_evaluate")
 def walk_forward_evaluate(spark, sf):
-    """Sharpe ratio of the first series in and out of sample, per fold."""
+    """Sharpe ratio of every series in and out of sample, per fold of its own length."""
     import pandas as pd
 
-    r = _returns(spark, sf).where("symbol = '1-URGENT'")
-    folds = cv.walk_forward(spark, 1700, 252, 50).select("fold", F.explode(F.sequence("train_lo", F.col("test_hi") - 1)).alias("idx"), "test_lo").select("fold", "idx", F.when(F.col("idx") >= F.col("test_lo"), "test").otherwise("train").alias("role"))
+    r = _returns(spark, sf)
+    longest = r.agg(F.max("idx")).first()[0] + 1
+    folds = cv.walk_forward(spark, longest, 252, 50).select("fold", F.explode(F.sequence("train_lo", F.col("test_hi") - 1)).alias("idx"), "test_lo").select("fold", "idx", F.when(F.col("idx") >= F.col("test_lo"), "test").otherwise("train").alias("role"))
 
     def score(pdf):
         part = lambda k: resample.sharpe(pdf[pdf["role"] == k].sort_values("idx")["r"].to_numpy(float))
-        return pd.DataFrame({"fold": [pdf["fold"].iat[0]], "train": [part("train")], "test": [part("test")]})
+        return pd.DataFrame({"symbol": [pdf["symbol"].iat[0]], "fold": [pdf["fold"].iat[0]], "train": [part("train")], "test": [part("test")]})
 
-    return cv.evaluate_folds(r, folds, score, "fold int, train double, test double")
+    return cv.evaluate_folds(r, folds, score, "symbol string, fold int, train double, test double", by=["symbol"])
 
 
 query("bootstrap_iid")(lambda spark, sf: resample.bootstrap_sharpe(_returns(spark, sf), "symbol", 500))
@@ -167,12 +168,12 @@ query("mc_paths")(lambda spark, sf: resample.monte_carlo_paths(spark, 0.0002, 0.
 
 # Costs and fills.
 _PROF = "pr(profile, spread_bps, slippage_bps, impact_bps, commission_bps) AS (VALUES " + ", ".join(f"('{p.name}', {p.spread_bps}::DOUBLE, {p.slippage_bps}::DOUBLE, {p.impact_bps}::DOUBLE, {p.commission_bps}::DOUBLE)" for p in costs.PROFILES) + ")"
-_COST = f"""{_PROF}, c AS (SELECT profile, o_orderkey, impact_bps, o_totalprice AS notional, (spread_bps / 2 + slippage_bps) / 1e4 AS spread, slippage_bps / 1e4 AS slippage, impact_bps / 1e4 * sqrt(least(1, o_totalprice / 1e7)) AS impact,
- commission_bps / 1e4 AS commission, 0.05 / 252 * 5 AS financing, 0.02 / 252 AS borrow FROM orders, pr WHERE o_orderkey % 10 = 0 AND o_totalprice > 0)"""
+_COST = f"""{_PROF}, c AS (SELECT profile, o_orderkey, impact_bps, o_totalprice AS notional, (spread_bps / 2 + slippage_bps) / 1e4 AS spread, slippage_bps / 1e4 AS slippage, impact_bps / 1e4 * sqrt(least(1, greatest(o_totalprice, 0) / 1e7)) AS impact,
+ commission_bps / 1e4 AS commission, 0.05 / 252 * 5 AS financing, 0.02 / 252 AS borrow FROM orders, pr)"""
 
 
 def _costed(spark, sf):
-    o = A.table(spark, sf, "orders").where("o_orderkey % 10 = 0 and o_totalprice > 0").select("o_orderkey", F.col("o_totalprice").alias("notional"))
+    o = A.table(spark, sf, "orders").select("o_orderkey", F.col("o_totalprice").alias("notional"))
     return costs.with_costs(o.join(F.broadcast(costs.profiles(spark).select("profile"))), holding_bars=5, rate=0.05, borrow_rate=0.02)
 
 
@@ -235,9 +236,12 @@ def latency_bars(spark, sf):
 
 
 # Backtests.
+PRIORITIES = ("1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW")
+
+
 def _one_run(spark, sf, semantics="documented"):
-    b = A.bars_daily_orders(spark, sf).where("idx < 400")
-    runs = bt.runs_frame(spark, [{"run_id": f"run-{s}", "symbols": [s], "config": {"semantics": semantics, "participation_cap": 1.0}} for s in ("1-URGENT", "2-HIGH", "5-LOW")])
+    b = A.bars_daily_orders(spark, sf)
+    runs = bt.runs_frame(spark, [{"run_id": f"run-{s}", "symbols": [s], "config": {"semantics": semantics, "participation_cap": 1.0}} for s in PRIORITIES])
     return bt.backtest(b, signals.sma_crossover(b, 5, 20), runs)
 
 
@@ -250,7 +254,7 @@ query("backtest_metrics")(lambda spark, sf: bt.run_metrics(_one_run(spark, sf)))
 
 
 def _sweep(spark, sf, specs):
-    b = A.bars_daily_orders(spark, sf).where("symbol = '1-URGENT' and idx < 300")
+    b = A.bars_daily_orders(spark, sf)
     runs = bt.runs_frame(spark, specs)
     return bt.sweep_results(bt.backtest(b, signals.momentum(b), runs), runs)
 
@@ -267,7 +271,7 @@ query("robustness_surface")(lambda spark, sf: bt.robustness(_sweep(spark, sf, bt
 
 @query("sweep_params")
 def sweep_params(spark, sf):
-    b = A.bars_daily_orders(spark, sf).where("symbol = '1-URGENT' and idx < 300")
+    b = A.bars_daily_orders(spark, sf)
     s, specs = bt.param_sweep(b, signals.momentum, {"lookback": 20, "threshold": 0.0}, base=_BASE)
     runs = bt.runs_frame(spark, specs)
     return bt.sweep_results(bt.backtest(b, s, runs), runs)
@@ -275,8 +279,8 @@ def sweep_params(spark, sf):
 
 @query("sweep_universe")
 def sweep_universe(spark, sf):
-    b = A.bars_daily_orders(spark, sf).where("idx < 300")
-    runs = bt.runs_frame(spark, bt.universe_sweep(["1-URGENT", "2-HIGH"], {"low": ["5-LOW"], "all": ["1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW"]}, _BASE))
+    b = A.bars_daily_orders(spark, sf)
+    runs = bt.runs_frame(spark, bt.universe_sweep(["1-URGENT", "2-HIGH"], {"low": ["5-LOW"], "all": list(PRIORITIES)}, _BASE))
     return bt.sweep_results(bt.backtest(b, signals.momentum(b), runs), runs)
 
 
@@ -355,26 +359,26 @@ def changepoint_first_split(spark, sf):
     return rounded(regimes.first_split(b.select("symbol", "idx", C.log_return(F.col("close"), C.series()).alias("r"))))
 
 
-def _log_returns(spark, sf, n=400):
-    b = A.bars_daily_orders(spark, sf).where(F.col("idx") < n)
+def _log_returns(spark, sf):
+    b = A.bars_daily_orders(spark, sf)
     return b.select("symbol", "idx", C.log_return(F.col("close"), C.series()).alias("r"))
 
 
-query("change_points")(lambda spark, sf: regimes.change_point_regimes(_log_returns(spark, sf, 10**9)))
-query("gmm")(lambda spark, sf: regimes.gmm_regimes(_log_returns(spark, sf, 10**9)))
-query("hmm")(lambda spark, sf: regimes.hmm_regimes(_log_returns(spark, sf, 10**9), rounds=10))
+query("change_points")(lambda spark, sf: regimes.change_point_regimes(_log_returns(spark, sf)))
+query("gmm")(lambda spark, sf: regimes.gmm_regimes(_log_returns(spark, sf)))
+query("hmm")(lambda spark, sf: regimes.hmm_regimes(_log_returns(spark, sf)))
 query("ensemble_regimes")(lambda spark, sf: regimes.ensemble_regimes(A.bars_daily_orders(spark, sf)))
 
 
 # Volatility.
 @query("hist_vol", f"WITH {_LR} SELECT symbol, idx, round(CASE WHEN count(r) {_O20} = 20 THEN stddev_samp(r) {_O20} * sqrt(252) END, 6) + 0.0 AS vol FROM v")
 def hist_vol(spark, sf):
-    return rounded(_log_returns(spark, sf, 10**9).select("symbol", "idx", volatility.historical_vol(20).alias("vol")))
+    return rounded(_log_returns(spark, sf).select("symbol", "idx", volatility.historical_vol(20).alias("vol")))
 
 
 @query("realized_vol", f"WITH {_LR} SELECT symbol, idx, round(CASE WHEN count(r) {_O20} = 20 THEN sqrt(sum(r * r) {_O20} * 252 / 20) END, 6) + 0.0 AS vol FROM v")
 def realized_vol(spark, sf):
-    return rounded(_log_returns(spark, sf, 10**9).select("symbol", "idx", volatility.realized_vol(20).alias("vol")))
+    return rounded(_log_returns(spark, sf).select("symbol", "idx", volatility.realized_vol(20).alias("vol")))
 
 
 _EWMA = f"""{_LR}, k AS (SELECT symbol, row_number() OVER (PARTITION BY symbol ORDER BY idx) - 1 AS j, idx, r FROM v WHERE r IS NOT NULL),
@@ -383,7 +387,7 @@ _EWMA = f"""{_LR}, k AS (SELECT symbol, row_number() OVER (PARTITION BY symbol O
 
 @query("ewma_vol", f"WITH RECURSIVE {_EWMA} SELECT symbol, k.idx, round(sqrt(s * 252), 6) + 0.0 AS vol FROM ew JOIN k USING (symbol, j)")
 def ewma_vol(spark, sf):
-    return rounded(volatility.ewma_vol(_log_returns(spark, sf, 10**9).where("r is not null")))
+    return rounded(volatility.ewma_vol(_log_returns(spark, sf).where("r is not null")))
 
 
 _VM = f"""{_LR}, h AS (SELECT symbol, idx, r * r AS t, CASE WHEN count(r) {_O20} = 20 THEN stddev_samp(r) {_O20} * sqrt(252) END AS vol FROM v), h2 AS (SELECT symbol, idx, t, lag(vol) OVER (PARTITION BY symbol ORDER BY idx) AS f FROM h),
@@ -392,15 +396,15 @@ _VM = f"""{_LR}, h AS (SELECT symbol, idx, r * r AS t, CASE WHEN count(r) {_O20}
 
 @query("vol_forecast_metrics", f"WITH {_VM} SELECT symbol, count(*) AS n, round(avg(abs(f - t)), 6) + 0.0 AS mae, round(sqrt(avg((f - t) * (f - t))), 6) + 0.0 AS rmse, round(avg(ratio - ln(ratio) - 1), 6) + 0.0 AS qlike, round(covar_pop(f, t) / var_samp(f), 6) + 0.0 AS calibration_slope, round(avg(same), 6) + 0.0 AS direction_accuracy FROM h3 GROUP BY symbol")
 def vol_forecast_metrics(spark, sf):
-    r = _log_returns(spark, sf, 10**9)
+    r = _log_returns(spark, sf)
     pairs = volatility.forecast(r, "historical").join(r.select("symbol", "idx", (F.col("r") * F.col("r")).alias("target")), ["symbol", "idx"])
     return rounded(volatility.vol_metrics(pairs, ["symbol"]))
 
 
-query("har_vol")(lambda spark, sf: volatility.har_vol(_log_returns(spark, sf, 10**9).where("r is not null")))
-query("garch")(lambda spark, sf: volatility.garch_family(_log_returns(spark, sf), "GARCH", rounds=20))
-query("egarch")(lambda spark, sf: volatility.garch_family(_log_returns(spark, sf), "EGARCH", rounds=20))
-query("gjr")(lambda spark, sf: volatility.garch_family(_log_returns(spark, sf), "GJR", rounds=20))
+query("har_vol")(lambda spark, sf: volatility.har_vol(_log_returns(spark, sf).where("r is not null")))
+query("garch")(lambda spark, sf: volatility.garch_family(_log_returns(spark, sf), "GARCH"))
+query("egarch")(lambda spark, sf: volatility.garch_family(_log_returns(spark, sf), "EGARCH"))
+query("gjr")(lambda spark, sf: volatility.garch_family(_log_returns(spark, sf), "GJR"))
 query("vol_benchmark")(lambda spark, sf: volatility.benchmark_models(_log_returns(spark, sf).where("r is not null"), ("historical", "ewma", "realized", "har")))
 
 

@@ -6,7 +6,7 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from ..operators import fingerprint, ledger, pit, reports, synthetic
+from ..operators import fingerprint, ledger, pit, reports, signals, synthetic
 from ..sources import adapters as A
 from ..streaming import ohlc, portfolio
 from . import kernel
@@ -94,8 +94,9 @@ def event_dedup(spark, sf):
 @query("stream_portfolio")
 def stream_portfolio(spark, sf):
     """The kernel as a stream operator over bars written to the shared folder as one batch."""
-    bars = A.bars_daily_orders(spark, sf).where("symbol = '1-URGENT' and idx < 200")
-    rows = bars.select(F.lit("stream").alias("run_id"), "symbol", "ts", "open", "high", "low", "close", "volume", F.when(F.col("idx") % 10 == 0, F.when(F.col("idx") % 20 == 0, 0.5).otherwise(0.1)).alias("target_weight"))
+    bars = A.bars_daily_orders(spark, sf)
+    weights = signals.sma_crossover(bars).select("symbol", "idx", (F.col("target_weight") / 5).alias("target_weight"))
+    rows = bars.join(weights, ["symbol", "idx"], "left").select(F.lit("stream").alias("run_id"), "symbol", "ts", "open", "high", "low", "close", "volume", "target_weight")
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
     path = f"{base.rstrip('/')}/pitspark-stream-{uuid.uuid4().hex}"
     rows.write.parquet(path)
