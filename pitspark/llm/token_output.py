@@ -16,6 +16,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -33,15 +34,18 @@ MOVED = "documents were partitioned differently in the two passes; write or chec
 _loaded: dict[str, "Tokenizer"] = {}
 
 
+def _as_text(texts) -> pa.Array:
+    """Texts as Arrow strings with long offsets, null as empty."""
+    return pc.fill_null(texts.cast(pa.large_string()) if isinstance(texts, pa.Array) else pa.array(texts, pa.large_string()), "")
+
+
 class Tokenizer:
     """Token ids of whole texts as little-endian uint16 (uint32 for vocabularies over 65,536).
 
     For the byte-level BPE above a text is cut before each space that stands between two other characters; the pattern
-    never joins across such a cut, so pieces can be looked up in a bounded cache, and unknown ones are encoded in one call.
+    never joins across such a cut. So each batch's different pieces are encoded once, in one call, and gathered.
     """
 
-    CACHE = 400_000
-
     def __init__(self, vocabulary: bytes):
         import tiktoken
 
@@ -50,35 +54,65 @@ class Tokenizer:
         self.encoding = tiktoken.Encoding("bpe", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
         self.spaced = np.zeros(max(ranks.values()) + 2, bool)
         self.spaced[[v for k, v in ranks.items() if k[:1] == b" "]] = True
-        self.cache: dict[str, bytes] = {}
-
-    def _learn(self, pieces: set[str]) -> None:
-        if len(self.cache) + len(pieces) > self.CACHE:
-            self.cache.clear()
-        order = list(pieces)
-        for at in range(0, len(order), 20_000):
-            some = order[at : at + 20_000]
-            ids = np.array(self.encoding.encode_ordinary(" " + " ".join(some)), self.dtype)
-            cuts = np.append(np.flatnonzero(self.spaced[ids]), len(ids))
-            if len(cuts) != len(some) + 1:  # a piece with white space of its own at its edges
-                self.cache.update((p, np.array(self.encoding.encode_ordinary(" " + p), self.dtype).tobytes()) for p in some)
-                continue
-            raw, width = ids.tobytes(), self.dtype.itemsize
-            bounds = (cuts * width).tolist()
-            self.cache.update((p, raw[i:j]) for p, i, j in zip(some, bounds, bounds[1:]))
-
-    def encode(self, texts: list[str | None]) -> list[bytes]:
-        get = self.cache.get
-        cut = [t.split(" ") if t else [""] for t in texts]
-        found = [None if "" in c[1:] else list(map(get, c[1:])) for c in cut]
-        missing = {p for c, f in zip(cut, found) if f and None in f for p, x in zip(c[1:], f) if x is None}
-        if missing:
-            self._learn(missing)
-            found = [list(map(get, c[1:])) if f and None in f else f for c, f in zip(cut, found)]
-        return [self._plain(t or "") if f is None or None in f else self._plain(c[0]) + b"".join(f) for t, c, f in zip(texts, cut, found)]
 
-    def _plain(self, text: str) -> bytes:
-        return np.array(self.encoding.encode_ordinary(text), self.dtype).tobytes() if text else b""
+    def _plain(self, text: str) -> np.ndarray:
+        return np.array(self.encoding.encode_ordinary(text), self.dtype)
+
+    def _pool(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(tokens of all words, each after a space, end to end; where each begins, and the end)."""
+        ids = self._plain(" " + " ".join(words)) if words else np.empty(0, self.dtype)
+        cuts = np.append(np.flatnonzero(self.spaced[ids]), len(ids))
+        if len(cuts) != len(words) + 1:
+            each = [self._plain(" " + w) for w in words]
+            ids, cuts = np.concatenate(each), np.concatenate(([0], np.cumsum([len(x) for x in each])))
+        return ids, cuts
+
+    def _gathered(self, texts: pa.Array, tokens: bool) -> tuple[np.ndarray, np.ndarray, dict[int, np.ndarray]]:
+        """(tokens end to end, bounds of the texts, texts that had to be encoded as a whole)."""
+        lists = pc.split_pattern(texts, " ")
+        bounds = np.asarray(lists.offsets).astype(np.int64)
+        pieces = lists.flatten()
+        bounds = bounds - bounds[0]
+        first = bounds[:-1]
+        empty = pc.binary_length(pieces).to_numpy(zero_copy_only=False) == 0
+        empty[first] = False
+        double = np.concatenate(([0], np.cumsum(empty)))
+        whole = {k: self._plain(texts[k].as_py()) for k in np.flatnonzero(double[bounds[1:]] > double[bounds[:-1]]).tolist()}
+        coded = pieces.dictionary_encode()
+        words = coded.dictionary.to_numpy(zero_copy_only=False)
+        known = words != ""
+        ids, cuts = self._pool(words[known].tolist())
+        begin, length = np.zeros(len(words), np.int64), np.zeros(len(words), np.int64)
+        begin[known], length[known] = cuts[:-1], np.diff(cuts)
+        codes = coded.indices.to_numpy(zero_copy_only=False)
+        begin, length = begin[codes], length[codes]
+        heads = [self._plain(h) for h in words[codes[first]]]
+        length[first] = [len(h) for h in heads]
+        begin[first] = len(ids) + np.concatenate(([0], np.cumsum(length[first])[:-1]))
+        ends = np.concatenate(([0], np.cumsum(length)))
+        out = np.empty(0, self.dtype)
+        if tokens:
+            out = np.concatenate([ids, *heads])[np.repeat(begin - ends[:-1], length) + np.arange(ends[-1])]
+        return out, ends[bounds], whole
+
+    def encode(self, texts: list[str | None] | pa.Array) -> list[bytes]:
+        texts = _as_text(texts)
+        if not len(texts):
+            return []
+        out, bounds, whole = self._gathered(texts, True)
+        raw, at = out.tobytes(), (bounds * self.dtype.itemsize).tolist()
+        return [whole[k].tobytes() if k in whole else raw[i:j] for k, (i, j) in enumerate(zip(at, at[1:]))]
+
+    def lengths(self, texts: list[str | None] | pa.Array) -> np.ndarray:
+        """How many tokens each text has."""
+        texts = _as_text(texts)
+        if not len(texts):
+            return np.empty(0, np.int64)
+        _, bounds, whole = self._gathered(texts, False)
+        n = np.diff(bounds)
+        for k, ids in whole.items():
+            n[k] = len(ids)
+        return n
 
 
 def tokenizer(vocabulary: bytes) -> Tokenizer:
@@ -108,19 +142,16 @@ def feistel(x: np.ndarray, n: int, key: int, rounds: int = 6) -> np.ndarray:
     return out.astype(np.int64)
 
 
-def _batches(parts: Iterator[pa.RecordBatch], most: int = 1 << 22) -> Iterator[tuple[list, list[str | None]]]:
-    """(ids, texts) of about `most` characters, so that token arrays stay small beside the texts."""
+def _batches(parts: Iterator[pa.RecordBatch], most: int = 1 << 24) -> Iterator[tuple[list, pa.Array]]:
+    """(ids, texts) of about `most` bytes, so that token arrays stay small beside the texts."""
     for part in parts:
-        ids, texts, size = [], [], 0
-        for i, t in zip(part.column("doc_id"), part.column("text")):
-            ids.append(i.as_py())
-            texts.append(t.as_py())
-            size += len(texts[-1] or "")
-            if size >= most:
-                yield ids, texts
-                ids, texts, size = [], [], 0
-        if ids:
-            yield ids, texts
+        ids, texts = part.column("doc_id"), _as_text(part.column("text"))
+        size = np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False))
+        at = 0
+        while at < len(texts):
+            end = max(at + 1, int(np.searchsorted(size, (size[at - 1] if at else 0) + most, "right")))
+            yield ids[at:end].to_pylist(), texts[at:end]
+            at = end
 
 
 def write_token_shards(docs: DataFrame, path: str | None = None, id_col: str = "doc_id", text_col: str = "text", vocabulary_path: str = DEFAULT_VOCABULARY, seq_len: int = 512, rows_per_shard: int = 16384, key: int = 0, eos: int = 50256) -> DataFrame:
@@ -136,15 +167,14 @@ def write_token_shards(docs: DataFrame, path: str | None = None, id_col: str = "
     vocabulary = spark.sparkContext.broadcast(open(vocabulary_path, "rb").read())  # one vocabulary file, about a megabyte
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
 
-    def tokens_of(texts: list[str | None]) -> list[bytes]:
+    def tokens_of(texts: pa.Array) -> list[bytes]:
         t = tokenizer(vocabulary.value)
         return [x + t.dtype.type(eos).tobytes() for x in t.encode(texts)]
 
     def count(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         n = 0
         for _, some in _batches(parts):
-            width = tokenizer(vocabulary.value).dtype.itemsize
-            n += sum(-(-(len(x) // width) // seq_len) for x in tokens_of(some))
+            n += int(((tokenizer(vocabulary.value).lengths(some) + seq_len) // seq_len).sum())  # with eos, rounded up
         yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId()], pa.int32()), pa.array([n], pa.int64())], ["part", "n"])
 
     counted = sorted((r["part"], r["n"]) for r in texts.mapInArrow(count, "part int, n long").collect())  # a row per partition
