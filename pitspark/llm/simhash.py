@@ -21,7 +21,7 @@ from .components import connected_components
 
 SEED = 42
 _CHUNK = 1 << 16
-_CELLS = 1 << 21
+_CELLS = 1 << 18
 
 
 def simhash(text: str | None, shingle: int = 4, words: int = 1) -> bytes:
@@ -89,6 +89,18 @@ def unite(label: np.ndarray, a: np.ndarray, b: np.ndarray) -> None:
         label[b] = a  # one writer wins for each b; the others are tried again
 
 
+def _close(mine: np.ndarray, theirs: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
+    """Positions of all pairs within the radius. Two words decide most pairs of wide fingerprints; the others are compared for what is left."""
+    distance = np.bitwise_count(mine[:, 0][:, None] ^ theirs[:, 0][None, :])
+    if mine.shape[1] > 1:
+        distance += np.bitwise_count(mine[:, 1][:, None] ^ theirs[:, 1][None, :])  # at most 128: fits
+    i, j = np.nonzero(distance <= radius)
+    if mine.shape[1] > 2 and len(i):
+        total = np.bitwise_count(mine[i] ^ theirs[j]).sum(axis=1, dtype=np.int32)
+        i, j = i[total <= radius], j[total <= radius]
+    return i, j
+
+
 def tile_links(left: np.ndarray, right: np.ndarray | None, radius: int) -> tuple[np.ndarray, np.ndarray]:
     """(member, root) positions in left followed by right: a spanning forest of all links between two tiles (or within one).
 
@@ -108,15 +120,10 @@ def tile_links(left: np.ndarray, right: np.ndarray | None, radius: int) -> tuple
         end = min(np.searchsorted(pop[rows], p, "right"), at + max(1, _CELLS // max(1, hi - lo)))
         mine, theirs = rows[at:end], cols[lo:hi]
         if hi > lo:
-            distance = np.bitwise_count(both[mine, 0][:, None] ^ both[theirs, 0][None, :])
-            if both.shape[1] > 1:
-                distance = distance.astype(np.uint16)
-                for w in range(1, both.shape[1]):
-                    distance += np.bitwise_count(both[mine, w][:, None] ^ both[theirs, w][None, :])
-            i, j = np.nonzero(distance <= radius)
-            a, b = mine[i], theirs[j]
-            other = a != b
-            unite(label, a[other], b[other])
+            i, j = _close(both[rows[at:end]], both[cols[lo:hi]], radius)
+            x, y = rows[at:end][i], cols[lo:hi][j]
+            other = x != y
+            unite(label, x[other], y[other])
         at = end
     root = find(label, label.copy())
     member = np.flatnonzero(root != np.arange(len(both)))
@@ -124,29 +131,29 @@ def tile_links(left: np.ndarray, right: np.ndarray | None, radius: int) -> tuple
 
 
 def tiles_of(histogram: dict[int, int], tile_rows: int, radius: int) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, int, int]]]:
-    """Tiles (lowest count, highest count, parts) over a population-count histogram, and for each run of them
-    (first tile, parts, first partner, last partner). Tiles are numbered in order of population count."""
-    runs: list[list[int]] = []
-    for p in sorted(histogram):
-        n = histogram[p]
-        if runs and runs[-1][2] + n <= tile_rows:
-            runs[-1][1], runs[-1][2] = p, runs[-1][2] + n
-        else:
-            runs.append([p, p, n])
+    """Tiles (lowest count, highest count, parts) over a population-count histogram, and for each of them
+    (its first tile, parts, first partner, last partner). Tiles are numbered in order of population count.
+
+    A tile spans a quarter of the radius, so its partners are nine spans whatever the table's size; a span of over
+    tile_rows rows is cut into parts.
+    """
+    width = max(1, radius // 4)
+    spans: dict[int, int] = {}
+    for p, n in histogram.items():
+        spans[p // width] = spans.get(p // width, 0) + n
     tiles, base, at = [], [], 0
-    for lo, hi, n in runs:
-        parts = -(-n // tile_rows)
-        tiles.append((lo, hi, parts))
+    for k in sorted(spans):
+        tiles.append((k * width, k * width + width - 1, -(-spans[k] // tile_rows)))
         base.append(at)
-        at += parts
-    spans = []
+        at += tiles[-1][2]
+    out = []
     for k, (lo, hi, parts) in enumerate(tiles):
         near = [i for i, (a, b, _) in enumerate(tiles) if a - hi <= radius and lo - b <= radius]
-        spans.append((base[k], parts, base[near[0]], base[near[-1]] + tiles[near[-1]][2] - 1))
-    return tiles, spans
+        out.append((base[k], parts, base[near[0]], base[near[-1]] + tiles[near[-1]][2] - 1))
+    return tiles, out
 
 
-def near_duplicate_nodes(prints: DataFrame, radius: int, words: int, tile_rows: int = 32768) -> DataFrame:
+def near_duplicate_nodes(prints: DataFrame, radius: int, words: int, tile_rows: int = 131072) -> DataFrame:
     """(node, root) for the nodes of `prints` (node long, fp binary, all fp distinct) that have a link within the radius.
 
     What the driver sees is a histogram over population counts: at most 64 * words + 1 rows.
@@ -197,7 +204,7 @@ def _classes(docs: DataFrame, id_col: str, text_col: str, shingle: int, radius:
     return rows, materialise(classes.select("fp", F.coalesce("component_id", "least_doc").alias("component_id")), "simhash-classes")
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4, radius: int = 4, words: int = 1, tile_rows: int = 32768) -> DataFrame:
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4, radius: int = 4, words: int = 1, tile_rows: int = 131072) -> DataFrame:
     """One row per row of docs: row_id, doc_id, fp (binary) and component_id, the smallest id linked to it by any chain of links.
 
     Null and wordless texts share the zero fingerprint and so are linked. A null id takes part, but is never the
@@ -208,7 +215,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return rows.join(classes, "fp").select("row_id", "doc_id", "fp", "component_id")
 
 
-def keep_one_per_group(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, radius: int = 44, words: int = 4, tile_rows: int = 32768) -> DataFrame:
+def keep_one_per_group(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, radius: int = 44, words: int = 4, tile_rows: int = 131072) -> DataFrame:
     """docs without near copies: of each group the row with the smallest id stays (null ids last, then the first row).
 
     By default 256-bit fingerprints over five-word shingles. For two texts whose shingle multisets have a Jaccard
