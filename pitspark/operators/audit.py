@@ -141,3 +141,12 @@ def score_quality(issues: DataFrame, by: str = "symbol", survivorship_hint: str
     per = each.groupBy(by).agg(F.sum("counted").alias("penalty"), *sums).withColumn("survivorship", F.lit(3.0 if survivorship_hint == "delisted" else 0.0))
     score = F.greatest(F.lit(0), F.least(F.lit(100), 100 - F.bround(F.col("penalty") * 10).cast("int")))
     return per.select(by, score.alias("score"), *[grade(F.col(d)).alias(d) for d in DIMENSIONS])
+
+
+def report_quality(rows: DataFrame, arrival: str = "ts", issues: DataFrame | None = None) -> DataFrame:
+    """Per symbol: n_rows, score, grades and the byte-exact fingerprint. A symbol without issues scores 100."""
+    from .fingerprint import fingerprint_bars
+
+    found = audit_dataset(rows, arrival) if issues is None else issues
+    out = fingerprint_bars(rows).withColumnRenamed("n", "n_rows").join(score_quality(found), "symbol", "left")
+    return out.withColumn("score", F.coalesce("score", F.lit(100))).fillna("LOW", list(DIMENSIONS))

@@ -75,3 +75,13 @@ def dataset_digest(rows: DataFrame, order: list[str], block: int = 10_000) -> Da
     numbered = keyed.withColumn("k", F.floor((F.row_number().over(w) - 1) / block))
     blocks = numbered.groupBy("part", "k").agg(F.count(F.lit(1)).alias("n"), F.sha2(F.concat_ws("", F.transform(F.array_sort(F.collect_list(F.struct(*order, "h"))), lambda x: x["h"])), 256).alias("d"))
     return blocks.agg(F.sum("n").alias("n"), F.sha2(F.concat_ws("", F.transform(F.array_sort(F.collect_list(F.struct("part", "k", "d"))), lambda x: x["d"])), 256).alias("digest"))
+
+
+def fingerprint_payload(payload) -> str:
+    """Fingerprint by kind: rows with an adjustment factor as point-in-time rows, other rows with a ts as bars, the rest as canonical JSON."""
+    if isinstance(payload, str):
+        return text_digest(payload)
+    rows = list(payload) if isinstance(payload, (list, tuple)) else None
+    if rows and all(isinstance(r, dict) and "ts" in r for r in rows):
+        return pit_digest(rows) if "adjustment_factor" in rows[0] else bars_digest(rows)
+    return text_digest(canonical(payload))

@@ -301,3 +301,8 @@ def sig_pairs(spark, sf):
 @query("sig_random")
 def sig_random(spark, sf):
     return signals.random_signal(A.bars_daily_orders(spark, sf))
+
+
+@query("quality_report")
+def quality_report(spark, sf):
+    return audit.report_quality(A.bars_corrupt(spark, sf), "ingest")

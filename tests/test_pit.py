@@ -101,3 +101,20 @@ def test_fingerprint_changes_with_a_close(spark):
     assert a == fingerprint.fingerprint_bars(bars_frame(spark, rows[::-1]).repartition(3)).first()["fingerprint"]
     plain = [dict(zip(("symbol", "idx", "ts", "open", "high", "low", "close", "volume", "available_time"), r)) for r in rows]
     assert a == fingerprint.bars_digest(plain)
+
+
+def test_quality_report_and_payloads(spark):
+    rows = [("S", i, i * DAY, 1.0, 1.0, 1.0, 1.0 + i, 1.0, (i - (i == 2)) * DAY, 1.0 - (i == 3)) for i in range(6)] + [("T", i, i * DAY, 1.0, 1.0, 1.0, 1.0, 1.0, i * DAY, 1.0) for i in range(4)]
+    df = spark.createDataFrame(rows, "symbol string, idx long, ts long, open double, high double, low double, close double, volume double, available_time long, adjustment_factor double")
+    got = {r["symbol"]: r for r in audit.report_quality(df).collect()}
+    assert got["S"]["score"] == 30 and got["S"]["lookahead"] == "HIGH" and got["T"]["score"] == 100 and got["T"]["lookahead"] == "LOW" and got["T"]["n_rows"] == 4
+    plain = [{"symbol": "S", "ts": 1, "close": 2.0}]
+    assert fingerprint.fingerprint_payload(plain) == fingerprint.bars_digest(plain) != fingerprint.fingerprint_payload([{**plain[0], "adjustment_factor": 1.0}])
+    assert fingerprint.fingerprint_payload({"b": 1, "a": 2}) == fingerprint.fingerprint_payload({"a": 2, "b": 1})
+
+
+def test_dataset_digest_ignores_partitioning(spark):
+    b = bars_frame(spark, late_rows(200, 20, 25))
+    one = fingerprint.dataset_digest(b, ["symbol", "ts"], 16).first()
+    assert one == fingerprint.dataset_digest(b.repartition(7), ["symbol", "ts"], 16).first() and one["n"] == 200
+    assert one["digest"] != fingerprint.dataset_digest(b.where("idx < 199"), ["symbol", "ts"], 16).first()["digest"]
