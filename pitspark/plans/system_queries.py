@@ -44,12 +44,18 @@ def ledger_recent(spark, sf):
     return ledger.recent_strategies(ledger.latest(_entries(spark, sf)))
 
 
+def _shared(spark, label):
+    """A new path in the folder that driver and executors share; the warehouse where none is named."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
+    return f"{base.rstrip('/')}/pitspark/{label}-{uuid.uuid4().hex}"
+
+
 def _drained(stream, mode="append"):
     """Runs a stream over what is there and returns its rows from memory: for bounded tables such as these."""
-    name = "s" + uuid.uuid4().hex
-    q = stream.writeStream.format("memory").queryName(name).outputMode(mode).trigger(availableNow=True).start()
+    spark, name = stream.sparkSession, "s" + uuid.uuid4().hex
+    q = stream.writeStream.format("memory").queryName(name).outputMode(mode).option("checkpointLocation", _shared(spark, "stream")).trigger(availableNow=True).start()
     q.awaitTermination()
-    return stream.sparkSession.table(name)
+    return spark.table(name)
 
 
 def _event_stream(spark, sf):
@@ -97,8 +103,7 @@ def stream_portfolio(spark, sf):
     bars = A.bars_daily_orders(spark, sf)
     weights = signals.sma_crossover(bars).select("symbol", "idx", (F.col("target_weight") / 5).alias("target_weight"))
     rows = bars.join(weights, ["symbol", "idx"], "left").select(F.lit("stream").alias("run_id"), "symbol", "ts", "open", "high", "low", "close", "volume", "target_weight")
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
-    path = f"{base.rstrip('/')}/pitspark-stream-{uuid.uuid4().hex}"
+    path = _shared(spark, "stream-bars")
     rows.write.parquet(path)
     events = portfolio.run_stream(spark.readStream.schema(rows.schema).parquet(path), kernel.Config(participation_cap=1.0))
     return _drained(events)
