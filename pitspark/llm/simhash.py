@@ -22,6 +22,8 @@ from .components import connected_components
 SEED = 42
 _CHUNK = 1 << 16
 _CELLS = 1 << 18
+#: Comparisons of tiles are cut into slices until there are about so many.
+TASKS = 512
 
 
 def simhash(text: str | None, shingle: int = 4, words: int = 1) -> bytes:
@@ -170,25 +172,33 @@ def near_duplicate_nodes(prints: DataFrame, radius: int, words: int, tile_rows:
         here = F.struct(F.lit(base).alias("base"), F.lit(parts).alias("parts"), F.lit(first).alias("first"), F.lit(last).alias("last"))
         at = F.when(F.col("pop") <= hi, here).otherwise(at)
     placed = counted.withColumn("at", at).select("node", "fp", (F.col("at.base") + F.pmod(F.xxhash64("fp"), F.col("at.parts"))).cast("int").alias("tile"), "at.first", "at.last")
-    dealt = placed.select("node", "fp", "tile", F.explode(F.sequence("first", "last")).alias("other")).select(
-        "node", "fp", F.least("tile", "other").alias("a"), F.greatest("tile", "other").alias("b"), (F.col("tile") <= F.col("other")).alias("is_left")
-    )
+    pairs = sum(parts * (last - first + 1) for _, parts, first, last in spans)
+    slices = max(1, min(8, TASKS // max(1, pairs)))
+    mine = F.pmod(F.xxhash64(F.lit(SEED), "fp"), F.lit(slices)).cast("int")
+    meet = placed.select("node", "fp", "tile", mine.alias("mine"), F.explode(F.sequence("first", "last")).alias("other"))
+    # Rows of the lower tile go to one slice, those of the upper to all; within a tile every slice meets all rows.
+    where = F.when(F.col("tile") < F.col("other"), F.array("mine")).otherwise(F.sequence(F.lit(0), F.lit(slices - 1)))
+    dealt = meet.select("node", "fp", F.least("tile", "other").alias("a"), F.greatest("tile", "other").alias("b"), (F.col("tile") <= F.col("other")).alias("low"), "mine", F.explode(where).alias("slice"))
 
     def compare(pdf: pd.DataFrame) -> pd.DataFrame:
-        left = pdf["is_left"].to_numpy(bool)
-        if pdf["a"].iat[0] == pdf["b"].iat[0]:
-            left[:] = True
-        order = np.concatenate((np.flatnonzero(left), np.flatnonzero(~left)))
-        nodes = pdf["node"].to_numpy()[order]
-        bits = np.frombuffer(b"".join(pdf["fp"].to_numpy()[order]), ">u8").astype(np.uint64).reshape(-1, words)
-        n = int(left.sum())
         same = pdf["a"].iat[0] == pdf["b"].iat[0]
-        if not same and n in (0, len(nodes)):
+        left = pdf["low"].to_numpy(bool) & (pdf["mine"].to_numpy() == pdf["slice"].iat[0])
+        right = np.full(len(left), True) if same else ~left
+        nodes = pdf["node"].to_numpy()
+        bits = np.frombuffer(b"".join(pdf["fp"]), ">u8").astype(np.uint64).reshape(-1, words)
+        if same and left.all():
+            order = np.arange(len(left))
+            member, root = tile_links(bits, None, radius)
+        elif left.any() and right.any():
+            order = np.concatenate((np.flatnonzero(left), np.flatnonzero(right)))
+            member, root = tile_links(bits[left], bits[right], radius)
+        else:
             return pd.DataFrame({"u": [], "v": []}).astype("int64")
-        member, root = tile_links(bits[:n], None if same else bits[n:], radius)
-        return pd.DataFrame({"u": nodes[member], "v": nodes[root]})
+        u, v = nodes[order[member]], nodes[order[root]]
+        return pd.DataFrame({"u": u[u != v], "v": v[u != v]})
 
-    links = dealt.groupBy("a", "b").applyInPandas(compare, "u long, v long")
+    tasks = min(2000, max(16, slices * pairs))  # by number, as the little data of a task says nothing of its work
+    links = dealt.repartition(tasks, "a", "b", "slice").groupBy("a", "b", "slice").applyInPandas(compare, "u long, v long")
     return connected_components(links)
 
 
