@@ -91,14 +91,32 @@ def unite(label: np.ndarray, a: np.ndarray, b: np.ndarray) -> None:
         label[b] = a  # one writer wins for each b; the others are tried again
 
 
-def _close(mine: np.ndarray, theirs: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
-    """Positions of all pairs within the radius. Two words decide most pairs of wide fingerprints; the others are compared for what is left."""
-    distance = np.bitwise_count(mine[:, 0][:, None] ^ theirs[:, 0][None, :])
-    if mine.shape[1] > 1:
-        distance += np.bitwise_count(mine[:, 1][:, None] ^ theirs[:, 1][None, :])  # at most 128: fits
-    i, j = np.nonzero(distance <= radius)
-    if mine.shape[1] > 2 and len(i):
-        total = np.bitwise_count(mine[i] ^ theirs[j]).sum(axis=1, dtype=np.int32)
+class _Buffers:
+    """Working arrays that all chunks share, so that no chunk asks the system for fresh pages."""
+
+    def __init__(self):
+        self.x, self.n, self.m, self.hit = np.empty(0, np.uint64), np.empty(0, np.uint8), np.empty(0, np.uint8), np.empty(0, bool)
+
+    def of(self, rows: int, cols: int) -> tuple[np.ndarray, ...]:
+        if len(self.x) < rows * cols:
+            self.x, self.n, self.m, self.hit = (np.empty(rows * cols, a.dtype) for a in (self.x, self.n, self.m, self.hit))
+        return tuple(a[: rows * cols].reshape(rows, cols) for a in (self.x, self.n, self.m, self.hit))
+
+
+def _close(mine: np.ndarray, theirs: np.ndarray, radius: int, buffers: _Buffers) -> tuple[np.ndarray, np.ndarray]:
+    """Positions of all pairs within the radius. Two words decide most pairs of wide fingerprints; the others are compared for what is left.
+
+    theirs: one contiguous row per word.
+    """
+    x, n, m, hit = buffers.of(len(mine), theirs.shape[1])
+    np.bitwise_count(np.bitwise_xor(mine[:, 0][:, None], theirs[0][None, :], out=x), out=n)
+    if len(theirs) > 1:
+        np.bitwise_count(np.bitwise_xor(mine[:, 1][:, None], theirs[1][None, :], out=x), out=m)
+        np.add(n, m, out=n)  # at most 128: fits
+    flat = np.flatnonzero(np.less_equal(n, radius, out=hit))
+    i, j = flat // theirs.shape[1], flat % theirs.shape[1]
+    if len(theirs) > 2 and len(i):
+        total = np.bitwise_count(mine[i] ^ theirs[:, j].T).sum(axis=1, dtype=np.int32)
         i, j = i[total <= radius], j[total <= radius]
     return i, j
 
@@ -113,16 +131,17 @@ def tile_links(left: np.ndarray, right: np.ndarray | None, radius: int) -> tuple
     label = np.arange(len(both))
     rows = np.argsort(pop[: len(left)], kind="stable")
     cols = rows if right is None else len(left) + np.argsort(pop[len(left) :], kind="stable")
-    col_pop = pop[cols]
+    col_pop, row_pop = pop[cols], pop[rows]
+    by_word, buffers = np.ascontiguousarray(both[cols].T), _Buffers()
     at = 0
     while at < len(rows):
-        p = pop[rows[at]]
+        p = row_pop[at]
         lo = at if right is None else np.searchsorted(col_pop, p - radius, "left")
         hi = np.searchsorted(col_pop, p + radius, "right")
-        end = min(np.searchsorted(pop[rows], p, "right"), at + max(1, _CELLS // max(1, hi - lo)))
+        end = min(np.searchsorted(row_pop, p, "right"), at + max(1, _CELLS // max(1, hi - lo)))
         mine, theirs = rows[at:end], cols[lo:hi]
         if hi > lo:
-            i, j = _close(both[rows[at:end]], both[cols[lo:hi]], radius)
+            i, j = _close(both[rows[at:end]], by_word[:, lo:hi], radius, buffers)
             x, y = rows[at:end][i], cols[lo:hi][j]
             other = x != y
             unite(label, x[other], y[other])
