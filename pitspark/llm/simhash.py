@@ -4,11 +4,17 @@ Fingerprints are compared exactly: distinct fingerprints are ordered by populati
 size, and every pair of tiles whose population counts can be within the radius is compared with numpy exclusive-or and
 bit counts. Each tile pair sends on only a spanning forest of its links, so a large group of near copies costs rows in
 proportion to its members, not to its pairs.
+
+The pipeline's stage takes such pairs as candidates only: a link needs the demanded similarity of the two texts' sets
+of shingles, which are read from stored texts when a comparison meets a candidate.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import hashlib
+import uuid
+import zlib
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -16,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise
+from .common import filesystem, materialise, new_path
 from .components import connected_components
 
 SEED = 42
@@ -24,6 +30,8 @@ _CHUNK = 1 << 16
 _CELLS = 1 << 18
 #: Comparisons of tiles are cut into slices until there are about so many.
 TASKS = 512
+#: A comparison keeps the shingle sets of its candidates until they hold so many shingles, and so many files open.
+KEPT_SHINGLES, KEPT_FILES = 1 << 22, 64
 
 
 def simhash(text: str | None, shingle: int = 4, words: int = 1) -> bytes:
@@ -34,24 +42,45 @@ def simhash(text: str | None, shingle: int = 4, words: int = 1) -> bytes:
     A bit is set if it is set in over half of the shingles' hashes: XXH64 (seed 42) for the first 64 bits, mixes of it
     for further ones. Long texts are worked through in chunks.
     """
-    tokens = text.encode("utf-8", "surrogatepass").lower().split() if text else []
-    if not tokens:
+    joined, n = _joined(text), 0
+    if not joined:
         return bytes(8 * words)
-    joined = b" ".join(tokens)
+    ones = np.zeros(64 * words, np.int64)
+    for base in _hashes(joined, shingle):
+        n += len(base)
+        for w in range(words):
+            part = base if not w else _mixed(base.astype(np.uint64), w).astype(">u8")
+            ones[64 * w : 64 * w + 64] += np.unpackbits(part.view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.uint32)
+    return np.packbits(2 * ones > n).tobytes()
+
+
+def _joined(text: str | None) -> bytes:
+    """The text's words, lower-cased, with one space between them."""
+    return b" ".join(text.encode("utf-8", "surrogatepass").lower().split()) if text else b""
+
+
+def _hashes(joined: bytes, shingle: int) -> Iterator[np.ndarray]:
+    """The hashes (big-endian) of the shingles of words joined by one space, in chunks."""
     cuts = np.flatnonzero(np.frombuffer(joined, np.uint8) == 32)
     starts, ends = np.concatenate(([0], cuts + 1)), np.concatenate((cuts, [len(joined)]))
-    k = min(shingle, len(tokens))
-    n = len(tokens) - k + 1
-    ones = np.zeros(64 * words, np.int64)
+    k = min(shingle, len(starts))
+    n = len(starts) - k + 1
     digest = xxhash.xxh64_digest
     for at in range(0, n, _CHUNK):
         to = min(n, at + _CHUNK)
         raw = b"".join([digest(joined[i:j], SEED) for i, j in zip(starts[at:to].tolist(), ends[at + k - 1 : to + k - 1].tolist())])
-        base = np.frombuffer(raw, ">u8")
-        for w in range(words):
-            part = base if not w else _mixed(base.astype(np.uint64), w).astype(">u8")
-            ones[64 * w : 64 * w + 64] += np.unpackbits(part.view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.uint32)
-    return np.packbits(2 * ones > n).tobytes()
+        yield np.frombuffer(raw, ">u8")
+
+
+def shingle_set(joined: bytes, shingle: int) -> np.ndarray:
+    """The distinct shingles of joined words, as their sorted 64-bit hashes."""
+    return np.unique(np.concatenate([h.astype(np.uint64) for h in _hashes(joined, shingle)])) if joined else np.empty(0, np.uint64)
+
+
+def similarity_of(a: np.ndarray, b: np.ndarray) -> float:
+    """Jaccard similarity of two shingle sets (of empty ones: 1)."""
+    union = len(np.union1d(a, b))
+    return (len(a) + len(b) - union) / union if union else 1.0
 
 
 def _mixed(h: np.ndarray, salt: int) -> np.ndarray:
@@ -72,6 +101,69 @@ def fingerprint_column(shingle: int, words: int):
     return fingerprint
 
 
+def stored_column(folder: str, shingle: int, words: int):
+    """Fingerprint, key and size of the shingle set of each text; its words go to a file of the task in `folder`, at the place named."""
+
+    @F.pandas_udf("fp binary, text_key binary, shingles int, file string, at long, bytes int")
+    def stored(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        fs, root = filesystem(folder)
+        fs.create_dir(root, recursive=True)
+        name, at = uuid.uuid4().hex, 0  # of this attempt: a repeated task has a file of its own
+        with fs.open_output_stream(f"{root}/{name}") as out:
+            for texts in batches:
+                rows = []
+                for text in texts:
+                    joined = _joined(text)
+                    packed = zlib.compress(joined, 1)
+                    out.write(packed)
+                    rows.append((simhash(text, shingle, words), hashlib.sha256(joined).digest(), len(shingle_set(joined, shingle)), name, at, len(packed)))
+                    at += len(packed)
+                yield pd.DataFrame(rows, columns=["fp", "text_key", "shingles", "file", "at", "bytes"])
+
+    return stored.asNondeterministic()  # so that no plan runs it twice
+
+
+class StoredSets:
+    """Shingle sets of the rows of a comparison (columns node, shingles, file, at, bytes), read when asked for."""
+
+    def __init__(self, folder: str, shingle: int, similarity: float, pdf: pd.DataFrame):
+        self.fs, self.root = filesystem(folder)
+        self.shingle, self.similarity = shingle, similarity
+        self.node, self.n = pdf["node"].to_numpy(), pdf["shingles"].to_numpy()
+        self.place = [pdf[c].to_numpy() for c in ("file", "at", "bytes")]
+        self.sets: dict[int, np.ndarray] = {}
+        self.files: dict[str, object] = {}
+        self.held = 0
+
+    def __getitem__(self, row: int) -> np.ndarray:
+        got = self.sets.get(row)
+        if got is None:
+            name, at, size = (column[row] for column in self.place)
+            if name not in self.files:
+                while len(self.files) >= KEPT_FILES:
+                    self.files.pop(next(iter(self.files))).close()
+                self.files[name] = self.fs.open_input_file(f"{self.root}/{name}")
+            self.files[name].seek(int(at))
+            got = shingle_set(zlib.decompress(self.files[name].read(int(size))), self.shingle)
+            while self.sets and self.held + len(got) > KEPT_SHINGLES:
+                self.held -= len(self.sets.pop(next(iter(self.sets))))
+            self.sets[row] = got
+            self.held += len(got)
+        return got
+
+    def similar(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Which of the pairs of rows have the similarity. The sizes alone rule out most that have not."""
+        small, large = np.minimum(self.n[a], self.n[b]), np.maximum(self.n[a], self.n[b])
+        out = self.node[a] == self.node[b]
+        for i in np.flatnonzero(~out & (small / np.maximum(large, 1) >= self.similarity)):
+            out[i] = similarity_of(self[a[i]], self[b[i]]) >= self.similarity
+        return out
+
+    def close(self) -> None:
+        for f in self.files.values():
+            f.close()
+
+
 def find(label: np.ndarray, x: np.ndarray) -> np.ndarray:
     while True:
         up = label[x]
@@ -91,6 +183,29 @@ def unite(label: np.ndarray, a: np.ndarray, b: np.ndarray) -> None:
         label[b] = a  # one writer wins for each b; the others are tried again
 
 
+def unite_similar(label: np.ndarray, a: np.ndarray, b: np.ndarray, similar: Callable) -> None:
+    """As unite, for those of the pairs that similar(a, b) confirms. Pairs whose ends are in one set by then are not asked for.
+
+    Of the pairs between the same two sets a few are asked for at a time, in each round four times as many.
+    """
+    share = 1
+    while True:
+        ra, rb = find(label, a), find(label, b)
+        differ = ra != rb
+        a, b = a[differ], b[differ]
+        if not len(a):
+            return
+        key = np.minimum(ra, rb)[differ] * len(label) + np.maximum(ra, rb)[differ]
+        order = np.argsort(key, kind="stable")
+        first = np.flatnonzero(np.concatenate(([True], np.diff(key[order]) != 0)))
+        rank = np.arange(len(a)) - np.repeat(first, np.diff(np.concatenate((first, [len(a)]))))
+        now, later = order[rank < share], order[rank >= share]
+        ok = similar(a[now], b[now])
+        unite(label, a[now][ok], b[now][ok])
+        a, b = a[later], b[later]
+        share *= 4
+
+
 class _Buffers:
     """Working arrays that all chunks share, so that no chunk asks the system for fresh pages."""
 
@@ -104,27 +219,30 @@ class _Buffers:
 
 
 def _close(mine: np.ndarray, theirs: np.ndarray, radius: int, buffers: _Buffers) -> tuple[np.ndarray, np.ndarray]:
-    """Positions of all pairs within the radius. Two words decide most pairs of wide fingerprints; the others are compared for what is left.
+    """Positions of all pairs within the radius. Two words decide most pairs of wide fingerprints (three if the radius
+    is near what two words of unrelated texts differ by); the others are compared for what is left.
 
     theirs: one contiguous row per word.
     """
     x, n, m, hit = buffers.of(len(mine), theirs.shape[1])
     np.bitwise_count(np.bitwise_xor(mine[:, 0][:, None], theirs[0][None, :], out=x), out=n)
-    if len(theirs) > 1:
-        np.bitwise_count(np.bitwise_xor(mine[:, 1][:, None], theirs[1][None, :], out=x), out=m)
-        np.add(n, m, out=n)  # at most 128: fits
+    first = min(len(theirs), 2 if radius <= 44 else 3)
+    for w in range(1, first):
+        np.bitwise_count(np.bitwise_xor(mine[:, w][:, None], theirs[w][None, :], out=x), out=m)
+        np.add(n, m, out=n)  # at most 192: fits
     flat = np.flatnonzero(np.less_equal(n, radius, out=hit))
     i, j = flat // theirs.shape[1], flat % theirs.shape[1]
-    if len(theirs) > 2 and len(i):
+    if len(theirs) > first and len(i):
         total = np.bitwise_count(mine[i] ^ theirs[:, j].T).sum(axis=1, dtype=np.int32)
         i, j = i[total <= radius], j[total <= radius]
     return i, j
 
 
-def tile_links(left: np.ndarray, right: np.ndarray | None, radius: int) -> tuple[np.ndarray, np.ndarray]:
+def tile_links(left: np.ndarray, right: np.ndarray | None, radius: int, similar: Callable | None = None) -> tuple[np.ndarray, np.ndarray]:
     """(member, root) positions in left followed by right: a spanning forest of all links between two tiles (or within one).
 
     left, right: (n, words) uint64. Rows of a population count are compared only with rows whose count is within the radius.
+    With similar(a, b), which tells of pairs of positions whether they are similar, only similar pairs are links.
     """
     both = left if right is None else np.concatenate((left, right))
     pop = np.bitwise_count(both).sum(axis=1, dtype=np.int32)
@@ -143,8 +261,11 @@ def tile_links(left: np.ndarray, right: np.ndarray | None, radius: int) -> tuple
         if hi > lo:
             i, j = _close(both[rows[at:end]], by_word[:, lo:hi], radius, buffers)
             x, y = rows[at:end][i], cols[lo:hi][j]
-            other = x != y
-            unite(label, x[other], y[other])
+            other = x != y if right is not None else i < j  # within a tile lo is at
+            if similar is None:
+                unite(label, x[other], y[other])
+            else:
+                unite_similar(label, x[other], y[other], similar)
         at = end
     root = find(label, label.copy())
     member = np.flatnonzero(root != np.arange(len(both)))
@@ -174,30 +295,32 @@ def tiles_of(histogram: dict[int, int], tile_rows: int, radius: int) -> tuple[li
     return tiles, out
 
 
-def near_duplicate_nodes(prints: DataFrame, radius: int, words: int, tile_rows: int = 131072) -> DataFrame:
-    """(node, root) for the nodes of `prints` (node long, fp binary, all fp distinct) that have a link within the radius.
+def near_duplicate_nodes(prints: DataFrame, radius: int, words: int, tile_rows: int = 131072, stored: tuple[str, int, float] | None = None) -> DataFrame:
+    """(node, root) for the nodes of `prints` (node long, fp binary) that have a link within the radius.
 
-    What the driver sees is a histogram over population counts: at most 64 * words + 1 rows.
+    With stored = (folder, shingle, similarity) a link also needs that similarity of the shingle sets; prints then has the
+    columns of stored_column too. What the driver sees is a histogram over population counts: at most 64 * words + 1 rows.
     """
     spark = prints.sparkSession
     pop = sum((F.expr(f"bit_count(cast(conv(hex(substring(fp, {8 * w + 1}, 8)), 16, -10) as bigint))") for w in range(words)), F.lit(0)).cast("int")
-    counted = materialise(prints.select("node", "fp", pop.alias("pop")), "simhash-pop")
+    carried = ["node", "fp", *(["shingles", "file", "at", "bytes"] if stored else [])]
+    counted = materialise(prints.select(*carried, pop.alias("pop")), "simhash-pop")
     histogram = {r["pop"]: r["n"] for r in counted.groupBy("pop").agg(F.count(F.lit(1)).alias("n")).collect()}
     if not histogram:
         return spark.createDataFrame([], "node long, root long")
     tiles, spans = tiles_of(histogram, tile_rows, radius)
-    at = F.lit(None).cast("struct<base:int,parts:int,first:int,last:int>")
+    span = F.lit(None).cast("struct<base:int,parts:int,first:int,last:int>")
     for (_, hi, _), (base, parts, first, last) in reversed(list(zip(tiles, spans))):
         here = F.struct(F.lit(base).alias("base"), F.lit(parts).alias("parts"), F.lit(first).alias("first"), F.lit(last).alias("last"))
-        at = F.when(F.col("pop") <= hi, here).otherwise(at)
-    placed = counted.withColumn("at", at).select("node", "fp", (F.col("at.base") + F.pmod(F.xxhash64("fp"), F.col("at.parts"))).cast("int").alias("tile"), "at.first", "at.last")
+        span = F.when(F.col("pop") <= hi, here).otherwise(span)
+    placed = counted.withColumn("span", span).select(*carried, (F.col("span.base") + F.pmod(F.xxhash64("fp"), F.col("span.parts"))).cast("int").alias("tile"), "span.first", "span.last")
     pairs = sum(parts * (last - first + 1) for _, parts, first, last in spans)
     slices = max(1, min(8, TASKS // max(1, pairs)))
     mine = F.pmod(F.xxhash64(F.lit(SEED), "fp"), F.lit(slices)).cast("int")
-    meet = placed.select("node", "fp", "tile", mine.alias("mine"), F.explode(F.sequence("first", "last")).alias("other"))
+    meet = placed.select(*carried, "tile", mine.alias("mine"), F.explode(F.sequence("first", "last")).alias("other"))
     # Rows of the lower tile go to one slice, those of the upper to all; within a tile every slice meets all rows.
     where = F.when(F.col("tile") < F.col("other"), F.array("mine")).otherwise(F.sequence(F.lit(0), F.lit(slices - 1)))
-    dealt = meet.select("node", "fp", F.least("tile", "other").alias("a"), F.greatest("tile", "other").alias("b"), (F.col("tile") <= F.col("other")).alias("low"), "mine", F.explode(where).alias("slice"))
+    dealt = meet.select(*carried, F.least("tile", "other").alias("a"), F.greatest("tile", "other").alias("b"), (F.col("tile") <= F.col("other")).alias("low"), "mine", F.explode(where).alias("slice"))
 
     def compare(pdf: pd.DataFrame) -> pd.DataFrame:
         same = pdf["a"].iat[0] == pdf["b"].iat[0]
@@ -205,14 +328,18 @@ def near_duplicate_nodes(prints: DataFrame, radius: int, words: int, tile_rows:
         right = np.full(len(left), True) if same else ~left
         nodes = pdf["node"].to_numpy()
         bits = np.frombuffer(b"".join(pdf["fp"]), ">u8").astype(np.uint64).reshape(-1, words)
+        sets = StoredSets(*stored, pdf) if stored else None
+        similar = (lambda a, b: sets.similar(order[a], order[b])) if stored else None
         if same and left.all():
             order = np.arange(len(left))
-            member, root = tile_links(bits, None, radius)
+            member, root = tile_links(bits, None, radius, similar)
         elif left.any() and right.any():
             order = np.concatenate((np.flatnonzero(left), np.flatnonzero(right)))
-            member, root = tile_links(bits[left], bits[right], radius)
+            member, root = tile_links(bits[left], bits[right], radius, similar)
         else:
             return pd.DataFrame({"u": [], "v": []}).astype("int64")
+        if sets:
+            sets.close()
         u, v = nodes[order[member]], nodes[order[root]]
         return pd.DataFrame({"u": u[u != v], "v": v[u != v]})
 
@@ -221,16 +348,12 @@ def near_duplicate_nodes(prints: DataFrame, radius: int, words: int, tile_rows:
     return connected_components(links)
 
 
-def _classes(docs: DataFrame, id_col: str, text_col: str, shingle: int, radius: int, words: int, tile_rows: int, carry_rows: bool) -> tuple[DataFrame, DataFrame]:
-    """The fingerprinted rows, and (fp, component_id) for every distinct fingerprint."""
-    fp = fingerprint_column(shingle, words)
-    cols = [F.col(id_col).cast("long").alias("doc_id"), fp(F.col(text_col)).alias("fp")] + ([F.struct("*").alias("row")] if carry_rows else [])
-    rows = materialise(docs.select(F.monotonically_increasing_id().alias("row_id"), *cols), "simhash-rows")
-    prints = materialise(rows.groupBy("fp").agg(F.min("doc_id").alias("least_doc")).select(F.monotonically_increasing_id().alias("node"), "fp", "least_doc"), "simhash-prints")
-    roots = materialise(near_duplicate_nodes(prints, radius, words, tile_rows), "simhash-roots")
+def _components(prints: DataFrame, key: str, radius: int, words: int, tile_rows: int, stored: tuple[str, int, float] | None = None) -> DataFrame:
+    """(key, component_id) for every row of prints (node, key, fp, least_doc)."""
+    roots = materialise(near_duplicate_nodes(prints, radius, words, tile_rows, stored), "simhash-roots")
     least = materialise(roots.join(prints.select("node", "least_doc"), "node").groupBy("root").agg(F.min("least_doc").alias("component_id")), "simhash-least")
     classes = prints.join(roots.join(least, "root").select("node", "component_id"), "node", "left")
-    return rows, materialise(classes.select("fp", F.coalesce("component_id", "least_doc").alias("component_id")), "simhash-classes")
+    return materialise(classes.select(key, F.coalesce("component_id", "least_doc").alias("component_id")), "simhash-classes")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4, radius: int = 4, words: int = 1, tile_rows: int = 131072) -> DataFrame:
@@ -240,21 +363,31 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     smallest; if a component has only null ids, component_id is null. Repeated rows give one output row each; other
     columns are dropped, so clashing names do no harm. An empty table gives an empty result.
     """
-    rows, classes = _classes(docs, id_col, text_col, shingle, radius, words, tile_rows, False)
+    fp = fingerprint_column(shingle, words)
+    rows = materialise(docs.select(F.monotonically_increasing_id().alias("row_id"), F.col(id_col).cast("long").alias("doc_id"), fp(F.col(text_col)).alias("fp")), "simhash-rows")
+    prints = materialise(rows.groupBy("fp").agg(F.min("doc_id").alias("least_doc")).select(F.monotonically_increasing_id().alias("node"), "fp", "least_doc"), "simhash-prints")
+    classes = _components(prints, "fp", radius, words, tile_rows)
     return rows.join(classes, "fp").select("row_id", "doc_id", "fp", "component_id")
 
 
-def keep_one_per_group(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, radius: int = 44, words: int = 4, tile_rows: int = 131072) -> DataFrame:
+def keep_one_per_group(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, radius: int = 72, words: int = 4, tile_rows: int = 131072, similarity: float = 0.8) -> DataFrame:
     """docs without near copies: of each group the row with the smallest id stays (null ids last, then the first row).
 
-    By default 256-bit fingerprints over five-word shingles. For two texts whose shingle multisets have a Jaccard
-    similarity J the angle between them has a cosine of about 2J/(1+J), so J = 0.8 lies at 38 bits on average with a
-    standard deviation under 6; the radius of 44 finds J >= 0.85 with over 97 %, unrelated texts lie at 128 +- 8. A text
-    with fewer words than a shingle is one shingle; texts without words are copies of each other. All columns are kept.
+    A link of a group is a pair of texts whose sets of five-word shingles have a Jaccard similarity of 0.8 or more.
+    Candidates are pairs of 256-bit fingerprints within the radius: the angle between two texts' shingles has a cosine of
+    about 2J/(1+J), so J = 0.8 lies at 39 bits on average with a standard deviation under 6 (at 48 for texts of four and five
+    shingles, the worst), unrelated texts at 128 +- 8. A text with fewer words than a shingle is one shingle; texts without words
+    are copies of each other. All columns are kept.
     """
-    rows, classes = _classes(docs, id_col, text_col, shingle, radius, words, tile_rows, True)
+    folder = new_path(docs.sparkSession, "simhash-texts")
+    found = stored_column(folder, shingle, words)(F.col(text_col)).alias("f")
+    rows = materialise(docs.select(F.monotonically_increasing_id().alias("row_id"), F.col(id_col).cast("long").alias("doc_id"), found, F.struct("*").alias("row")), "simhash-rows")
+    place = F.min(F.struct("f.file", "f.at", "f.bytes")).alias("place")
+    texts = rows.groupBy("f.text_key", "f.fp", "f.shingles").agg(F.min("doc_id").alias("least_doc"), place)
+    prints = materialise(texts.select(F.monotonically_increasing_id().alias("node"), "text_key", "fp", "shingles", "least_doc", "place.*"), "simhash-prints")
+    classes = _components(prints, "text_key", radius, words, tile_rows, (folder, shingle, similarity))
     order = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "row_id")
-    group = F.struct("component_id", F.when(F.col("component_id").isNull(), F.col("fp")).alias("fp"))
-    ranked = rows.select("row_id", "doc_id", "fp").join(classes, "fp").select(group.alias("grp"), order.alias("ord"))
+    group = F.struct("component_id", F.when(F.col("component_id").isNull(), F.col("text_key")).alias("text_key"))
+    ranked = rows.select("row_id", "doc_id", "f.text_key").join(classes, "text_key").select(group.alias("grp"), order.alias("ord"))
     first = materialise(ranked.groupBy("grp").agg(F.min("ord").alias("best")).select(F.col("best.row_id").alias("row_id")), "simhash-kept")
     return rows.join(first, "row_id", "left_semi").select("row.*")

@@ -146,6 +146,31 @@ def test_stage_threshold_finds_near_copies_and_spares_others(spark):
     assert kept == {2 * i for i in range(60)}
 
 
+def shingle_similarity(a, b):
+    x, y = ({tuple(w[i : i + 5]) for i in range(len(w) - 4)} for w in (a.split(), b.split()))
+    return len(x & y) / len(x | y)
+
+
+def test_stage_decides_by_exact_similarity(spark):
+    rng = random.Random(11)
+    docs, want, real = [], set(), 0
+    while len(docs) < 600:  # pairs around the threshold, some of a few shingles only
+        w = prose(rng, rng.choice([8, 9, 60, 150, 300])).split()
+        v = w[:] if len(w) > 10 else w + [prose(rng, 1)]
+        for _ in range(rng.randint(1, 1 + len(w) // 30) if len(w) > 10 else 0):
+            v[rng.randrange(len(v))] = "edited"
+        a, b = " ".join(w), " ".join(v)
+        j = shingle_similarity(a, b)
+        if 0.7 <= j < 0.8 or 0.8 <= j < 0.86:
+            k = len(docs)
+            docs += [(k, a), (k + 1, b)]
+            want |= {k} if j >= 0.8 else {k, k + 1}
+            real += j >= 0.8
+    assert real >= 100 and len(docs) // 2 - real >= 50
+    kept = {r["doc_id"] for r in simhash.keep_one_per_group(spark.createDataFrame(docs, "doc_id long, text string"), tile_rows=200).collect()}
+    assert kept == want
+
+
 def test_components(spark):
     edges = [(i, i + 1) for i in range(40)] + [(100, 101), (103, 101), (7, 7), (None, 3)]
     got = {r["node"]: r["root"] for r in components.connected_components(spark.createDataFrame(edges, "u long, v long")).collect()}
