@@ -14,7 +14,7 @@ from __future__ import annotations
 import hashlib
 import uuid
 import zlib
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -42,11 +42,14 @@ def simhash(text: str | None, shingle: int = 4, words: int = 1) -> bytes:
     A bit is set if it is set in over half of the shingles' hashes: XXH64 (seed 42) for the first 64 bits, mixes of it
     for further ones. Long texts are worked through in chunks.
     """
-    joined, n = _joined(text), 0
-    if not joined:
-        return bytes(8 * words)
-    ones = np.zeros(64 * words, np.int64)
-    for base in _hashes(joined, shingle):
+    joined = _joined(text)
+    return _print_of(_hashes(joined, shingle), words) if joined else bytes(8 * words)
+
+
+def _print_of(hashes: Iterable[np.ndarray], words: int) -> bytes:
+    """The fingerprint of shingles given by their hashes (big-endian) in chunks."""
+    ones, n = np.zeros(64 * words, np.int64), 0
+    for base in hashes:
         n += len(base)
         for w in range(words):
             part = base if not w else _mixed(base.astype(np.uint64), w).astype(">u8")
@@ -102,7 +105,10 @@ def fingerprint_column(shingle: int, words: int):
 
 
 def stored_column(folder: str, shingle: int, words: int):
-    """Fingerprint, key and size of the shingle set of each text; its words go to a file of the task in `folder`, at the place named."""
+    """Fingerprint, key and size of the shingle set of each text; its words go to a file of the task in `folder`, at the place named.
+
+    The fingerprint is over distinct shingles, so that a line repeated in a text weighs no more in it than in the similarity.
+    """
 
     @F.pandas_udf("fp binary, text_key binary, shingles int, file string, at long, bytes int")
     def stored(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
@@ -114,9 +120,11 @@ def stored_column(folder: str, shingle: int, words: int):
                 rows = []
                 for text in texts:
                     joined = _joined(text)
+                    distinct = shingle_set(joined, shingle)
+                    chunks = (distinct[i : i + _CHUNK].astype(">u8") for i in range(0, len(distinct), _CHUNK))
                     packed = zlib.compress(joined, 1)
                     out.write(packed)
-                    rows.append((simhash(text, shingle, words), hashlib.sha256(joined).digest(), len(shingle_set(joined, shingle)), name, at, len(packed)))
+                    rows.append((_print_of(chunks, words), hashlib.sha256(joined).digest(), len(distinct), name, at, len(packed)))
                     at += len(packed)
                 yield pd.DataFrame(rows, columns=["fp", "text_key", "shingles", "file", "at", "bytes"])
 

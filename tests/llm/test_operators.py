@@ -167,6 +167,13 @@ def test_stage_decides_by_exact_similarity(spark):
             want |= {k} if j >= 0.8 else {k, k + 1}
             real += j >= 0.8
     assert real >= 100 and len(docs) // 2 - real >= 50
+    # Unrelated texts around the same repeated line stay; a copy that repeats a line of its own more often goes.
+    line, k = prose(rng, 10), len(docs)
+    docs += [(k + i, f"{prose(rng, 150)} {' '.join([line] * 40)}") for i in range(20)]
+    want |= {k + i for i in range(20)}
+    base = prose(rng, 150)
+    docs += [(k + 20 + i, f"{base} {' '.join([line] * n)}") for i, n in enumerate((2, 400))]
+    want |= {k + 20}
     kept = {r["doc_id"] for r in simhash.keep_one_per_group(spark.createDataFrame(docs, "doc_id long, text string"), tile_rows=200).collect()}
     assert kept == want
 
