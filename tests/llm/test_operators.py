@@ -342,6 +342,30 @@ def test_secret_network_and_table(odd, nothing):
     assert secrets.find_secrets(nothing).count() == 0
 
 
+def test_secrets_in_long_runs_and_without_digits():
+    net = secrets.trained()
+    rng = random.Random(7)
+    pick = lambda alphabet, n: "".join(rng.choice(alphabet) for _ in range(n))
+    letters = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"
+    middle, plain, after = [], [], []
+    for _ in range(100):
+        key, path = pick(letters + "0123456789", 40), "/".join(pick("etaoinshrdlu", 6) for _ in range(14))
+        middle.append((f"see {path}/{key}/{path} now", key))
+        key = pick(letters, 32)
+        plain.append((f"the key = {key} is", key))
+        key = pick(letters + "0123456789", 40)
+        after.append((f"id {pick('0123456789abcdef', 24)}/{key} end", key))
+    for made in (middle, plain, after):
+        got = secrets.scan([t for t, _ in made], net)
+        assert np.mean([any(k == 3 and t[i:j].find(key[4:-4]) >= 0 for i, k, j in every) for (t, key), (_, every) in zip(made, got)]) > 0.93
+    quiet = secrets.scan([t.replace(key, "some/more/words") for t, key in middle], net)
+    assert np.mean([bool(every) for _, every in quiet]) < 0.1
+    # The recall holds for findings as the scan of their whole texts offers them.
+    made = [f for f in (secrets._finding(rng) for _ in range(800)) if f[3]]
+    found = [any(2 * (min(b, j) - max(a, i)) >= min(j - i, secrets.SPAN) for a, _, b in every) for (_, i, j, _), (_, every) in zip(made, secrets.scan([f[0] for f in made], net))]
+    assert np.mean(found) > 0.95
+
+
 def test_quality_ranks_held_out_documents(spark, odd, nothing):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     labels = spark.read.parquet("/root/testdata/sf0.01/labels.parquet")
