@@ -1,9 +1,10 @@
 """Mixing sources to target weights by Sainte-Lague apportionment, in DataFrame operations only.
 
-The mix is a number of equal-token blocks. Sainte-Lague's highest quotients deal the blocks (seats) to the sources in
-order, and consecutive runs of seats are the shards, so each shard has integer quotas and all shards together have the
-quotas of the whole. Each source's documents, in a seeded order, are one stream of words cut into blocks; a seeded
-permutation of its block numbers picks as many as its quota asks for, whole passes first.
+The seats of the mix are its words. At as many seats as words the highest quotients target / (2k + 1) are those of a half
+or more, so a source has its target, rounded to a whole word: no source is too small for a seat. Each source's documents, in
+a seeded order, are one stream of words cut into blocks; a seeded permutation of its block numbers picks blocks until the
+seats are filled, whole passes first and the last block in part. Where shards need integer quotas of blocks, `apportion`
+deals fewer seats by the same quotients; consecutive runs of seats are the shards.
 """
 
 from __future__ import annotations
@@ -45,12 +46,14 @@ def source_targets(sizes: DataFrame, budget: float = 1.5, weights: tuple[int, ..
 def apportion(targets: DataFrame, n_shards: int, blocks_per_shard: int) -> DataFrame:
     """(source, shard, quota): n_shards * blocks_per_shard seats dealt by the highest quotients target / (2k + 1).
 
-    A shard is a run of consecutive seats. The seats are a parameter's number of rows (plus one per source), whatever
+    A shard is a run of consecutive seats. The seats are a parameter's number of rows (plus two per source), whatever
     the corpus size. Ties go to the source first by code point.
     """
     seats = n_shards * blocks_per_shard
-    share = F.col("target") / F.sum("target").over(Window.partitionBy(F.lit(1)))
-    quoted = targets.where("target > 0").withColumn("most", F.ceil(share * F.lit(seats) + 1).cast("int"))
+    everything = Window.partitionBy(F.lit(1))
+    # With m sources at least `seats` quotients reach whole / (2 seats + m): each source has over (target / that - 1) / 2 of them.
+    reached = F.sum("target").over(everything) / (2 * F.lit(seats) + F.count(F.lit(1)).over(everything))
+    quoted = targets.where("target > 0").withColumn("most", F.floor((F.col("target") / reached + 1) / 2).cast("int"))
     dealt = quoted.select("source", F.explode(F.sequence(F.lit(0), "most")).alias("k"), "target")
     order = Window.orderBy(F.desc(F.col("target") / (2 * F.col("k") + 1)), F.col("source").isNull(), F.col("source").cast("binary"), "k")
     seated = dealt.withColumn("seat", F.row_number().over(order) - 1).where(F.col("seat") < seats)
@@ -79,7 +82,8 @@ def _streamed(docs: DataFrame, bucket_rows: int) -> DataFrame:
 def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", budget: float = 1.5, weights: tuple[int, ...] = (3, 1, 2), cap: float = 2.0, n_shards: int = 40, blocks_per_shard: int = 256, seed: int = 0, bucket_rows: int = 20000, carry_rows: bool = False) -> DataFrame:
     """One row per row of docs: doc_id, size, source, source_size, target, passes (whole copies), pieces and taken.
 
-    pieces are the word ranges [from, to) of the further pass that lie in selected blocks; taken = passes * size + their length, at
+    A source's taken words are its target, rounded. The mix is about n_shards * blocks_per_shard blocks long. pieces
+    are the word ranges [from, to) of the further pass that lie in selected blocks; taken = passes * size + their length, at
     most cap times the size. Null texts have size 0 and are not taken. A null source is a source of its own. Ties in the
     seeded order are rows equal in id and text, which may change places. An empty table, or one without words, gives
     targets of 0. With carry_rows the input row is kept in a struct `row`.
@@ -88,12 +92,10 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     picked = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(source_col).alias("source"), words_in(F.col(text_col)).alias("size"), key.alias("key"), *([F.struct("*").alias("row")] if carry_rows else []))
     sized = materialise(picked, "mix-sizes")
     targets = materialise(source_targets(sized, budget, weights, cap), "mix-targets")
-    quotas = apportion(targets, n_shards, blocks_per_shard).groupBy("source").agg(F.sum("quota").alias("quota"))
     whole = targets.agg(F.coalesce(F.sum("target"), F.lit(0.0))).first()[0]
     block = max(1.0, whole / (n_shards * blocks_per_shard))
-    plan = targets.join(quotas.withColumnRenamed("source", "s"), F.col("source").eqNullSafe(F.col("s")), "left").drop("s")
-    words = F.round(F.coalesce("quota", F.lit(0)) * F.lit(block)).cast("long")
-    plan = plan.withColumn("words", F.least(words, F.floor(F.col("source_size") * F.lit(float(cap))).cast("long")))
+    words = F.floor(F.coalesce("target", F.lit(0.0)) + 0.5).cast("long")
+    plan = targets.withColumn("words", F.least(words, F.floor(F.col("source_size") * F.lit(float(cap))).cast("long")))
     full = F.when(F.col("source_size") > 0, F.floor(F.col("words") / F.col("source_size"))).otherwise(0).cast("long")
     plan = plan.withColumn("passes", full).withColumn("rest", F.col("words") - F.col("passes") * F.col("source_size"))
     width = max(1, round(block))

@@ -319,6 +319,24 @@ def test_mixing_against_plain_python(spark, odd, nothing):
     assert mixing.mixed_documents(odd).columns == odd.columns and mixing.mix(df.withColumn("text", F.lit(" "))).agg(F.sum("taken")).first()[0] == 0
 
 
+def test_mixing_gives_every_small_source_its_target(spark):
+    rng = random.Random(10)
+    docs = [(i, "w " * 60, "hot") for i in range(500)] + [(500 + i, "w " * rng.randint(1, 12), f"site{i % 1500}") for i in range(3000)]
+    df = spark.createDataFrame(docs, "doc_id long, text string, source string")
+    got = mixing.mix(df, n_shards=4, blocks_per_shard=32).groupBy("source").agg(F.sum("taken").alias("taken"), F.first("target").alias("target")).collect()
+    assert len(got) == 1501 and all(abs(r["taken"] - r["target"]) <= 0.5 + 1e-6 for r in got)
+    out = mixing.mixed_documents(df, n_shards=4, blocks_per_shard=32)
+    assert out.select("source").distinct().count() == 1501
+    few = mixing.mix(df.where("doc_id between 500 and 520")).groupBy("source").agg(F.sum("taken").alias("taken"), F.first("target").alias("target")).collect()
+    assert all(abs(r["taken"] - r["target"]) <= 0.5 + 1e-6 for r in few)  # fewer words than blocks asked for
+    targets = {"hot": 1000.0} | {f"s{i}": 5.0 for i in range(200)}  # the highest quotients are above the hot source's share and two
+    quotas = mixing.apportion(spark.createDataFrame(list(targets.items()), "source string, target double"), 4, 10).collect()
+    dealt = collections.Counter()
+    for q in quotas:
+        dealt[q["source"]] += q["quota"]
+    assert dealt == {k: n for k, n in sainte_lague(targets, 40).items() if n}
+
+
 def test_secret_base_patterns():
     t = 'x "API_KEY": "abc.def-1" token=ab secret: token: abcdef12 AKIA' + "A1" * 8 + " AKIA123 " + "ab" * 12 + " " + "f" * 23
     got = secrets.base_spans(t)
