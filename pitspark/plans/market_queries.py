@@ -405,7 +405,7 @@ query("har_vol")(lambda spark, sf: volatility.har_vol(_log_returns(spark, sf).wh
 query("garch")(lambda spark, sf: volatility.garch_family(_log_returns(spark, sf), "GARCH"))
 query("egarch")(lambda spark, sf: volatility.garch_family(_log_returns(spark, sf), "EGARCH"))
 query("gjr")(lambda spark, sf: volatility.garch_family(_log_returns(spark, sf), "GJR"))
-query("vol_benchmark")(lambda spark, sf: volatility.benchmark_models(_log_returns(spark, sf).where("r is not null"), ("historical", "ewma", "realized", "har")))
+query("vol_benchmark")(lambda spark, sf: volatility.benchmark_models(_log_returns(spark, sf).where("r is not null")))
 
 
 # Risk.

@@ -272,3 +272,12 @@ def test_html_is_escaped_and_stable():
     assert "<b>" not in page.replace("<b>REJECTED</b>", "") and "a &lt; b" in page and page == reports.render_html(record)
     assert '"sharpe": null' in reports.render_json(record)
     assert reports.cheap_pbo([0.01] * 3) is None and 0 <= reports.cheap_pbo(np.random.default_rng(0).normal(0, 1, 60).tolist()) <= 1
+
+
+def test_volatility_benchmark_is_registered_with_every_model(spark, monkeypatch):
+    from pitspark import catalog
+
+    asked = []
+    monkeypatch.setattr(volatility, "benchmark_models", lambda returns, models=volatility.MODELS, **settings: asked.append(models) or returns)
+    catalog.QUERIES["vol_benchmark"](spark, "/root/testdata/sf0.001")
+    assert asked == [volatility.MODELS] and len(volatility.MODELS) == 7
