@@ -91,12 +91,14 @@ class Filters:
 
 
 def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample_rows: int = 6000, grams_per_language: int = 3000, seed: int = 0) -> Filters:
-    """Learns each language's most frequent n-grams from at most sample_rows documents, the first by a hash of their ids.
+    """Learns each language's grams_per_language most frequent n-grams from about sample_rows of its documents, drawn by a hash of their ids.
 
-    None of them is held out (crc32 of the id modulo 4 is 2) or has a null lang. The whole text of a sampled document counts.
+    A language with no more documents than that gives all of them, so every language learned has a filter. None of them is held out (crc32 of the id modulo 4 is 2) or has a null lang. The whole text of a sampled document counts.
     """
     known = docs.where(F.col(lang_col).isNotNull() & (crc_mod(F.col(id_col), 4) != 2)).select(F.col(id_col).alias("doc_id"), F.col(lang_col).alias("lang"), F.col(text_col).alias("text"))
-    sample = known.select("doc_id").distinct().orderBy(F.xxhash64(F.lit(seed), "doc_id")).limit(sample_rows)
+    known = known.where("doc_id is not null")
+    sizes = known.groupBy(F.col("lang").alias("of")).agg(F.count(F.lit(1)).alias("of_lang"))  # a row per language
+    place = F.pmod(F.xxhash64(F.lit(seed), "doc_id"), F.lit(1 << 30)) / F.lit(1 << 30)
 
     def tally(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in parts:
@@ -107,7 +109,7 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
             for lang, c in found.items():
                 yield pa.RecordBatch.from_arrays([pa.array([lang] * len(c)), pa.array(list(c), pa.int64()), pa.array(list(c.values()), pa.int64())], ["lang", "gram", "n"])
 
-    picked = known.join(F.broadcast(sample), "doc_id", "left_semi").select("lang", "text")  # sample_rows ids at most
+    picked = known.join(F.broadcast(sizes), F.col("lang") == F.col("of")).where(place * F.col("of_lang") < sample_rows).select("lang", "text")
     summed = picked.mapInArrow(tally, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     order = Window.partitionBy("lang").orderBy(F.desc("n"), "gram")
     rows = summed.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= grams_per_language).select("lang", "gram").collect()

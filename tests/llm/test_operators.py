@@ -412,6 +412,14 @@ def test_language_filters(spark, odd, nothing):
     assert (f.false_positive < 0.2).all()
 
 
+def test_rare_language_has_a_filter(spark):
+    rng = random.Random(4)
+    docs = [(i, prose(rng, 12), "xx" if i % 300 == 0 else "en") for i in range(4800)]
+    docs = [(i, "zwölf grüße über straßen" if lang == "xx" else text, lang) for i, text, lang in docs]
+    f = langid.train(spark.createDataFrame(docs, "doc_id long, text string, lang string"), sample_rows=8)
+    assert f.languages == ("en", "xx") and f.predict("grüße über zwölf straßen")[0] == "xx"
+
+
 def test_exact_duplicates(odd, nothing):
     rng = random.Random(11)
     for levels in (exact_dedup.LEVEL_BYTES, (1, 3)):
