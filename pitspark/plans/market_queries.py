@@ -158,12 +158,12 @@ def walk_forward_evaluate(spark, sf):
     return cv.evaluate_folds(r, folds, score, "symbol string, fold int, train double, test double", by=["symbol"])
 
 
-query("bootstrap_iid")(lambda spark, sf: resample.bootstrap_sharpe(_returns(spark, sf), "symbol", 500))
-query("bootstrap_block")(lambda spark, sf: resample.bootstrap_sharpe(_returns(spark, sf), "symbol", 500, 20))
-query("bootstrap_stationary")(lambda spark, sf: resample.confidence_interval(resample.replicates(_returns(spark, sf), "symbol", 500, resample.stationary(20)), ["symbol"]))
-query("shuffle_null")(lambda spark, sf: resample.shuffle_pvalue(_returns(spark, sf), "symbol", 300))
-query("monte_carlo_null")(lambda spark, sf: resample.monte_carlo_null(_returns(spark, sf), "symbol", 300))
-query("mc_paths")(lambda spark, sf: resample.monte_carlo_paths(spark, 0.0002, 0.01, 500).groupBy("path").agg((F.product(1 + F.col("r")) - 1).alias("total_return")))
+query("bootstrap_iid")(lambda spark, sf: resample.bootstrap_sharpe(_returns(spark, sf), "symbol", 1000))
+query("bootstrap_block")(lambda spark, sf: resample.bootstrap_sharpe(_returns(spark, sf), "symbol", 1000, 20))
+query("bootstrap_stationary")(lambda spark, sf: resample.confidence_interval(resample.replicates(_returns(spark, sf), "symbol", 1000, resample.stationary(20)), ["symbol"]))
+query("shuffle_null")(lambda spark, sf: resample.shuffle_pvalue(_returns(spark, sf), "symbol", 500))
+query("monte_carlo_null")(lambda spark, sf: resample.monte_carlo_null(_returns(spark, sf), "symbol", 500))
+query("mc_paths")(lambda spark, sf: resample.monte_carlo_paths(spark, 0.0002, 0.01, 1000).groupBy("path").agg((F.product(1 + F.col("r")) - 1).alias("total_return")))
 
 
 # Costs and fills.
@@ -506,9 +506,9 @@ def covariance(spark, sf):
     return rounded(sizing.covariance(A.panel(spark, sf)), 8)
 
 
-query("edge_uncertainty")(lambda spark, sf: sizing.edge_uncertainty_kelly(_returns(spark, sf), ["symbol"], 20))
+query("edge_uncertainty")(lambda spark, sf: sizing.edge_uncertainty_kelly(_returns(spark, sf), ["symbol"], 300))
 query("growth_sim")(lambda spark, sf: sizing.policy_report(sizing.simulate_growth(spark, 0.55, 1.0, 0.1), 1.0))
-query("corrupted_edge")(lambda spark, sf: sizing.corrupted_edge(spark, 0.55, 1.0, 0.1, paths=200))
+query("corrupted_edge")(lambda spark, sf: sizing.corrupted_edge(spark, 0.55, 1.0, 0.1, paths=500, periods=500))
 query("risk_parity")(lambda spark, sf: sizing.risk_parity(A.panel(spark, sf)))
 query("cvar_weights")(lambda spark, sf: sizing.cvar_weights(A.panel(spark, sf), 0.2))
 

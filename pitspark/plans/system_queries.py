@@ -16,7 +16,7 @@ query("synthetic_universe")(lambda spark, sf: synthetic.universe(spark, 300))
 query("synthetic_pairs")(lambda spark, sf: synthetic.generate(synthetic.specs(spark, ["P"], "pairs", 300)))
 query("fingerprint_series")(lambda spark, sf: fingerprint.fingerprint_bars(A.bars_daily_orders(spark, sf)))
 query("dataset_digest")(lambda spark, sf: fingerprint.dataset_digest(A.bars_daily_orders(spark, sf).drop("idx"), ["symbol", "ts"]))
-query("validation_report")(lambda spark, sf: reports.validation_table(pit.returns(A.bars_daily_orders(spark, sf)), "symbol", 100).drop("concerns"))
+query("validation_report")(lambda spark, sf: reports.validation_table(pit.returns(A.bars_daily_orders(spark, sf)), "symbol", 300).drop("concerns"))
 
 
 def _entries(spark, sf):

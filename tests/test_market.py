@@ -281,3 +281,18 @@ def test_volatility_benchmark_is_registered_with_every_model(spark, monkeypatch)
     monkeypatch.setattr(volatility, "benchmark_models", lambda returns, models=volatility.MODELS, **settings: asked.append(models) or returns)
     catalog.QUERIES["vol_benchmark"](spark, "/root/testdata/sf0.001")
     assert asked == [volatility.MODELS] and len(volatility.MODELS) == 7
+
+
+def test_resampling_queries_are_registered_with_the_reference_draws(spark, monkeypatch):
+    from pitspark import catalog
+
+    asked = {}
+    for module, name, place in ((sizing, "edge_uncertainty_kelly", 2), (reports, "validation_table", 2), (resample, "shuffle_pvalue", 2), (resample, "monte_carlo_null", 2), (resample, "monte_carlo_paths", 3)):
+        monkeypatch.setattr(module, name, lambda *a, name=name, place=place, **k: asked.update({name: a[place]}) or spark.createDataFrame([], "path int, r double, concerns string"))
+    monkeypatch.setattr(resample, "bootstrap_sharpe", lambda r, by, n, *a: asked.update({("iid", "block")[len(a)]: n}))
+    monkeypatch.setattr(resample, "replicates", lambda r, by, n, *a: asked.update(stationary=n))
+    monkeypatch.setattr(resample, "confidence_interval", lambda *a: None)
+    monkeypatch.setattr(sizing, "corrupted_edge", lambda *a, paths, periods: asked.update(corrupted_edge=(paths, periods)))
+    for q in ("edge_uncertainty", "validation_report", "shuffle_null", "monte_carlo_null", "mc_paths", "bootstrap_iid", "bootstrap_block", "bootstrap_stationary", "corrupted_edge"):
+        catalog.QUERIES[q](spark, "/root/testdata/sf0.001")
+    assert asked == {"edge_uncertainty_kelly": 300, "validation_table": 300, "shuffle_pvalue": 500, "monte_carlo_null": 500, "monte_carlo_paths": 1000, "iid": 1000, "block": 1000, "stationary": 1000, "corrupted_edge": (500, 500)}
