@@ -4,6 +4,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -18,34 +21,82 @@ def session_of(df: DataFrame) -> SparkSession:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named by spark.checkpoint.dir; one of our own only where the session names none (local tests)."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
+    """The folder named by spark.checkpoint.dir or set as the context's checkpoint folder.
+
+    A folder of our own only where neither is named and everything runs in this process; on a cluster that raises, as each
+    executor would write to its own disk.
+    """
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not base:
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise RuntimeError("name a shared folder in spark.checkpoint.dir")
         base = getattr(shared_dir, "local", None)
         if base is None:
             base = shared_dir.local = "file://" + tempfile.mkdtemp(prefix="pitspark-")
     return base.rstrip("/")
 
 
+_inside: ContextVar[str | None] = ContextVar("inside", default=None)
+
+
+@contextmanager
+def inside(spark: SparkSession, label: str) -> Iterator[str]:
+    """Intermediate tables begun in this block go to one folder of the shared one, whose path is given; the caller deletes it."""
+    path = f"{_inside.get() or shared_dir(spark) + '/pitspark'}/{label}-{uuid.uuid4().hex}"
+    mark = _inside.set(path)
+    try:
+        yield path
+    finally:
+        _inside.reset(mark)
+
+
 def new_path(spark: SparkSession, label: str) -> str:
-    return f"{shared_dir(spark)}/pitspark/{label}-{uuid.uuid4().hex}"
+    return f"{_inside.get() or shared_dir(spark) + '/pitspark'}/{label}-{uuid.uuid4().hex}"
 
 
-def materialise(df: DataFrame, label: str) -> DataFrame:
+def materialise(df: DataFrame, label: str, path: str | None = None) -> DataFrame:
     """Writes df to the shared folder and reads it back: cuts lineage, fixes row ids and survives lost executors."""
     spark = session_of(df)
-    path = new_path(spark, label)
+    path = path or new_path(spark, label)
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._pitspark_path = path
     return out
 
 
-def discard(df: DataFrame | None) -> None:
-    """Deletes the files of a materialised table that no later plan reads."""
-    path = getattr(df, "_pitspark_path", None)
-    if path:
-        delete_path(session_of(df), path)
+class Scratch:
+    """The intermediate tables of one operator. Leaving the block deletes all but those kept for the result's plan; a failure deletes them all."""
+
+    def __init__(self, spark: SparkSession, label: str):
+        self.spark, self.root, self.stays, self.paths, self.made = spark, new_path(spark, label), set(), [], 0
+
+    def path(self, name: str) -> str:
+        self.made += 1
+        self.paths.append(f"{self.root}/{name}-{self.made}")
+        return self.paths[-1]
+
+    def write(self, df: DataFrame, name: str, keep: bool = False) -> DataFrame:
+        out = materialise(df, name, self.path(name))
+        if keep:
+            self.stays.add(out._pitspark_path)
+        return out
+
+    def drop(self, *tables: DataFrame) -> None:
+        for t in tables:
+            delete_path(self.spark, t._pitspark_path)
+            self.paths.remove(t._pitspark_path)
+
+    def __enter__(self) -> "Scratch":
+        return self
+
+    def __exit__(self, kind, error, trace) -> None:
+        if kind or not self.stays:
+            delete_path(self.spark, self.root)
+        else:
+            for p in self.paths:
+                if p not in self.stays:
+                    delete_path(self.spark, p)
 
 
 def delete_path(spark: SparkSession, path: str) -> None:

@@ -1,10 +1,11 @@
 """Mixing sources to target weights by Sainte-Lague apportionment, in DataFrame operations only.
 
-The seats of the mix are its words. At as many seats as words the highest quotients target / (2k + 1) are those of a half
-or more, so a source has its target, rounded to a whole word: no source is too small for a seat. Each source's documents, in
-a seeded order, are one stream of words cut into blocks; a seeded permutation of its block numbers picks blocks until the
-seats are filled, whole passes first and the last block in part. Where shards need integer quotas of blocks, `apportion`
-deals fewer seats by the same quotients; consecutive runs of seats are the shards.
+The mix is n_shards * blocks_per_shard blocks of equal numbers of words. `apportion` deals them to the sources by the highest
+quotients target / (2k + 1); consecutive runs of seats are the shards, which gives each shard an integer quota of blocks per
+source. Each source's documents, in a seeded order, are one stream of words cut into such blocks; a seeded permutation
+of its block numbers picks them, whole passes first, and the j-th block picked takes the source's j-th seat and so its
+shard. A source ends on its target to a word: its last block is cut there, and what its seats do not hold (short ends of
+passes, targets of less than a seat) are partial blocks of its own.
 """
 
 from __future__ import annotations
@@ -13,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import ASCII_WORD, materialise, words_in
+from .common import ASCII_WORD, Scratch, words_in
 
 #: A prime above any block number; its multiples run through all residues of a block count that it does not divide.
 STRIDE = 2_147_483_647
@@ -60,73 +61,98 @@ def apportion(targets: DataFrame, n_shards: int, blocks_per_shard: int) -> DataF
     return seated.groupBy("source", F.floor(F.col("seat") / F.lit(blocks_per_shard)).cast("int").alias("shard")).agg(F.count(F.lit(1)).alias("quota"))
 
 
-def _streamed(docs: DataFrame, bucket_rows: int) -> DataFrame:
+def seat_table(quotas: DataFrame, n_shards: int) -> DataFrame:
+    """(source, upto): the source's quotas of the shards summed up, so that its seat j is in the first shard with upto over j."""
+    per = quotas.groupBy("source").agg(F.map_from_entries(F.collect_list(F.struct("shard", "quota"))).alias("q"))  # n_shards entries at most
+    sums = "transform(sequence(0, {0} - 1), k -> aggregate(sequence(0, k), cast(0 as bigint), (n, i) -> n + coalesce(q[i], 0)))"
+    return per.select("source", F.expr(sums.format(n_shards)).alias("upto"))
+
+
+def _streamed(docs: DataFrame, rows: int, bucket_rows: int, s: Scratch) -> DataFrame:
     """docs (source, size, key, ...) with `start`, the place of the document's first word in its source's seeded order.
 
     A prefix sum in two levels: over (source, bucket) totals, and inside each bucket of about bucket_rows rows, so a source
     with a third of all rows is many groups.
     """
-    n = docs.agg(F.count(F.lit(1))).first()[0]
-    buckets = max(1, -(-n // bucket_rows))
+    buckets = max(1, -(-rows // bucket_rows))
     cut = docs.withColumn("bucket", F.pmod(F.col("key"), F.lit(buckets)).cast("int"))
     totals = cut.groupBy("source", "bucket").agg(F.sum("size").alias("n"))
-    base = totals.select("source", "bucket", (F.sum("n").over(Window.partitionBy("source").orderBy("bucket")) - F.col("n")).alias("base"))
-    base = materialise(base, "mix-base")
+    base = totals.select(F.col("source").alias("of"), F.col("bucket").alias("at"), (F.sum("n").over(Window.partitionBy("source").orderBy("bucket")) - F.col("n")).alias("base"))
+    base = s.write(base, "base", keep=True)
     inner = Window.partitionBy("source", "bucket").orderBy("key", "doc_id").rowsBetween(Window.unboundedPreceding, 0)
-    placed = cut.withColumn("upto", F.sum("size").over(inner))
-    base = base.select(F.col("source").alias("of"), F.col("bucket").alias("at"), "base")
+    placed = cut.withColumn("upto_here", F.sum("size").over(inner))
     joined = placed.join(base, F.col("source").eqNullSafe(F.col("of")) & (F.col("bucket") == F.col("at")))
-    return joined.withColumn("start", F.col("base") + F.col("upto") - F.col("size")).drop("of", "at", "base", "upto", "bucket")
+    return joined.withColumn("start", F.col("base") + F.col("upto_here") - F.col("size")).drop("of", "at", "base", "upto_here", "bucket")
 
 
 def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", budget: float = 1.5, weights: tuple[int, ...] = (3, 1, 2), cap: float = 2.0, n_shards: int = 40, blocks_per_shard: int = 256, seed: int = 0, bucket_rows: int = 20000, carry_rows: bool = False) -> DataFrame:
-    """One row per row of docs: doc_id, size, source, source_size, target, passes (whole copies), pieces and taken.
-
-    A source's taken words are its target, rounded. The mix is about n_shards * blocks_per_shard blocks long. pieces
-    are the word ranges [from, to) of the further pass that lie in selected blocks; taken = passes * size + their length, at
-    most cap times the size. Null texts have size 0 and are not taken. A null source is a source of its own. Ties in the
-    seeded order are rows equal in id and text, which may change places. An empty table, or one without words, gives
-    targets of 0. With carry_rows the input row is kept in a struct `row`.
+    """One row per row of docs: doc_id, size, source, source_size, target, pieces and taken.
+
+    pieces are what the mix takes: word ranges [from, to) of the text, each with its shard; a whole copy per pass through the
+    source, in the shard of the block it starts in, then the ranges that lie in picked blocks of a further pass. taken is their
+    length, at most cap times the size; a source's taken words are its target, rounded. Null texts have size 0. A
+    null source is a source of its own. Ties in the seeded order are rows equal in id and text, which may change places; they
+    share a bucket. An empty table, or one without words, gives targets of 0. With carry_rows the input row is kept in a
+    struct `row`; docs is then read twice and has to be a stored table.
     """
-    key = F.xxhash64(F.lit(seed), F.col(id_col), F.col(text_col))
-    picked = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(source_col).alias("source"), words_in(F.col(text_col)).alias("size"), key.alias("key"), *([F.struct("*").alias("row")] if carry_rows else []))
-    sized = materialise(picked, "mix-sizes")
-    targets = materialise(source_targets(sized, budget, weights, cap), "mix-targets")
-    whole = targets.agg(F.coalesce(F.sum("target"), F.lit(0.0))).first()[0]
-    block = max(1.0, whole / (n_shards * blocks_per_shard))
-    words = F.floor(F.coalesce("target", F.lit(0.0)) + 0.5).cast("long")
-    plan = targets.withColumn("words", F.least(words, F.floor(F.col("source_size") * F.lit(float(cap))).cast("long")))
-    full = F.when(F.col("source_size") > 0, F.floor(F.col("words") / F.col("source_size"))).otherwise(0).cast("long")
-    plan = plan.withColumn("passes", full).withColumn("rest", F.col("words") - F.col("passes") * F.col("source_size"))
-    width = max(1, round(block))
-    blocks = F.greatest(F.lit(1), F.ceil(F.col("source_size") / F.lit(width))).cast("long")
-    plan = plan.withColumn("blocks", blocks).withColumn("turn", F.pmod(F.xxhash64(F.lit(seed), "source"), F.col("blocks")))
-    plan = materialise(plan.select(F.col("source").alias("plan_source"), "source_size", "target", "passes", "rest", "blocks", "turn"), "mix-plan")
-    placed = _streamed(sized, bucket_rows).join(plan, F.col("source").eqNullSafe(F.col("plan_source")))
-    return placed.select(
-        "doc_id", "size", "source", "source_size", "target", "passes", _pieces(width).alias("pieces"), *(["row"] if carry_rows else [])
-    ).withColumn("taken", F.col("passes") * F.col("size") + F.aggregate("pieces", F.lit(0).cast("long"), lambda n, p: n + p["to"] - p["from"]))
+    with Scratch(docs.sparkSession, "mixing") as s:
+        key = F.xxhash64(F.lit(seed), F.col(f"`{id_col}`"), F.col(f"`{text_col}`")).alias("key")
+        columns = [F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{source_col}`").alias("source"), words_in(F.col(f"`{text_col}`")).alias("size"), key]
+        sized = s.write(docs.select(*columns), "sizes", keep=not carry_rows)
+        targets = s.write(source_targets(sized, budget, weights, cap), "targets")
+        whole, rows = targets.agg(F.coalesce(F.sum("target"), F.lit(0.0))).first()[0], sized.count()
+        width = max(1, round(whole / (n_shards * blocks_per_shard)))
+        seats = seat_table(apportion(targets, n_shards, blocks_per_shard), n_shards).withColumnRenamed("source", "seat_source")
+        words = F.least(F.floor(F.coalesce("target", F.lit(0.0)) + 0.5).cast("long"), F.floor(F.col("source_size") * F.lit(float(cap))).cast("long"))
+        plan = targets.withColumn("words", words)
+        full = F.when(F.col("source_size") > 0, F.floor(F.col("words") / F.col("source_size"))).otherwise(0).cast("long")
+        plan = plan.withColumn("passes", full).withColumn("rest", F.col("words") - F.col("passes") * F.col("source_size"))
+        plan = plan.withColumn("whole_blocks", F.expr(f"source_size div {width}")).withColumn("short", F.expr(f"source_size % {width}"))
+        plan = plan.withColumn("turn", F.pmod(F.xxhash64(F.lit(seed), "source"), F.greatest(F.lit(1), "whole_blocks")))
+        plan = plan.withColumn("home", F.pmod(F.xxhash64(F.lit(seed + 1), "source"), F.lit(n_shards)).cast("int"))
+        plan = plan.join(seats, F.col("source").eqNullSafe(F.col("seat_source")), "left")
+        plan = s.write(plan.select(F.col("source").alias("plan_source"), "source_size", "target", "passes", "rest", "whole_blocks", "short", "turn", "home", "upto"), "plan", keep=True)
+        streamed = _streamed(docs.select(*columns, F.struct("*").alias("row")) if carry_rows else sized, rows, bucket_rows, s)
+    placed = streamed.join(plan, F.col("source").eqNullSafe(F.col("plan_source")))
+    out = placed.select("doc_id", "size", "source", "source_size", "target", _pieces(width).alias("pieces"), *(["row"] if carry_rows else []))
+    return out.withColumn("taken", F.aggregate("pieces", F.lit(0).cast("long"), lambda n, p: n + p["to"] - p["from"]))
 
 
 def _pieces(width: int) -> Column:
-    """Ranges of the document's words in selected blocks: block b is the (STRIDE * b + turn) mod blocks-th to be picked, the last one in part."""
-    pick = f"pmod(cast(cast(b as decimal(20,0)) * {STRIDE} % blocks as bigint) + turn, blocks)"
+    """The pieces of a document that begins at word `start` of its source.
+
+    Of a pass's whole blocks, block b is the (STRIDE * b + turn) mod whole_blocks-th to be picked; the short one at the end comes last.
+    Seats go to whole blocks, pass by pass, then to the short ends, then to the block that is cut at the target.
+    """
+
+    def seat(j: str) -> str:
+        return f"if(upto is null, home, cast(size(filter(upto, u -> u <= least({j}, element_at(upto, -1) - 1))) as int))"
+
+    pick = f"if(b < whole_blocks, pmod(cast(cast(b as decimal(20,0)) * {STRIDE} % greatest(whole_blocks, 1) as bigint) + turn, greatest(whole_blocks, 1)), b)"
+    taken_whole = f"passes * whole_blocks + rest div {width}"
+    in_pass = f"if(b < whole_blocks, p * whole_blocks + {pick}, {taken_whole} + p)"
+    copies = f"""transform(filter(sequence(cast(0 as bigint), passes), p -> p < passes), p -> named_struct('from', cast(0 as bigint), 'to', size,
+        'shard', element_at(transform(array(start div {width}), b -> {seat(in_pass)}), 1)))"""
+    in_rest = f"if({pick} < rest div {width}, passes * whole_blocks + {pick}, {taken_whole} + if(short > 0, passes, 0))"
     lo = f"greatest(start, b * {width}) - start"
     hi = f"least(start + size, b * {width} + least(cast({width} as bigint), rest - {pick} * {width})) - start"
-    ranges = f"transform(sequence(start div {width}, (start + size - 1) div {width}), b -> named_struct('from', {lo}, 'to', {hi}))"
-    return F.expr(f"if(size > 0 and rest > 0, filter({ranges}, p -> p.to > p.from), cast(array() as array<struct<from:bigint,to:bigint>>))")
+    ranges = f"filter(transform(sequence(start div {width}, (start + size - 1) div {width}), b -> named_struct('from', {lo}, 'to', {hi}, 'shard', {seat(in_rest)})), r -> r.to > r.from)"
+    none = "cast(array() as array<struct<from:bigint,to:bigint,shard:int>>)"
+    # A text that lies wholly in picked blocks is not cut where they meet.
+    joined = f"element_at(transform(array({ranges}), r -> if(aggregate(r, cast(0 as bigint), (n, x) -> n + x.to - x.from) = size, array(named_struct('from', cast(0 as bigint), 'to', size, 'shard', r[0].shard)), r)), 1)"
+    return F.expr(f"concat({copies}, if(size > 0 and rest > 0, {joined}, {none}))")
 
 
-def mixed_documents(docs: DataFrame, **settings) -> DataFrame:
-    """The mix as rows with the columns of docs: a whole copy per pass, and one row per piece with the words of that piece."""
+def mixed_documents(docs: DataFrame, with_shard: bool = False, **settings) -> DataFrame:
+    """The mix as rows with the columns of docs (and `shard`): one row per piece, with the words of that piece."""
     text_col = settings.get("text_col", "text")
-    got = mix(docs, carry_rows=True, **settings)
-    copies = got.where("passes > 0").select(F.explode(F.sequence(F.lit(1).cast("long"), "passes")).alias("pass"), "row").select("row.*")
-    part = got.where("size(pieces) > 0").select("row", "size", F.explode("pieces").alias("piece"))
-    words = F.regexp_extract_all(F.col(f"row.{text_col}"), F.lit(rf"({ASCII_WORD}[\x20\x09-\x0D]*)"), F.lit(1))
-    cut = F.array_join(F.slice(words, (F.col("piece.from") + 1).cast("int"), (F.col("piece.to") - F.col("piece.from")).cast("int")), "")
-    whole = (F.col("piece.to") - F.col("piece.from")) == F.col("size")
-    part = part.withColumn("cut", F.when(whole, F.col(f"row.{text_col}")).otherwise(cut))
-    changed = {text_col: F.col("cut"), "n_chars": F.length("cut")}
+    got = mix(docs, carry_rows=True, **settings).select("row", "size", F.explode("pieces").alias("piece"))
+    words = F.regexp_extract_all(F.col(f"row.`{text_col}`"), F.lit(rf"({ASCII_WORD}[\x20\x09-\x0D]*)"), F.lit(1))
+    length = F.col("piece.to") - F.col("piece.from")
+    cut = F.array_join(F.slice(words, (F.col("piece.from") + 1).cast("int"), length.cast("int")), "")
+    whole = length == F.col("size")
+    changed = {text_col: F.when(whole, F.col(f"row.`{text_col}`")).otherwise(cut)}
+    if "n_chars" in docs.columns:
+        changed["n_chars"] = F.when(whole, F.col("row.n_chars")).otherwise(F.length(cut))
     columns = [(changed[c].cast(kind) if c in changed else F.col(f"row.`{c}`")).alias(c) for c, kind in docs.dtypes]
-    return copies.unionByName(part.select(*columns))
+    return got.select(*columns, *([F.col("piece.shard").alias("shard")] if with_shard else []))

@@ -36,7 +36,9 @@ def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+    """`shards` are the shards that take words of the document."""
+    got = mixing.mix(table(spark, sf_dir, "documents"))
+    return got.select("doc_id", "size", "source_size", "target", "taken", F.array_sort(F.array_distinct(F.col("pieces.shard"))).alias("shards"))
 
 
 def op6_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:

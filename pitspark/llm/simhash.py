@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import filesystem, materialise, new_path
+from .common import Scratch, filesystem
 from .components import connected_components
 
 SEED = 42
@@ -303,7 +303,7 @@ def tiles_of(histogram: dict[int, int], tile_rows: int, radius: int) -> tuple[li
     return tiles, out
 
 
-def near_duplicate_nodes(prints: DataFrame, radius: int, words: int, tile_rows: int = 131072, stored: tuple[str, int, float] | None = None) -> DataFrame:
+def near_duplicate_nodes(prints: DataFrame, radius: int, words: int, s: Scratch, tile_rows: int = 131072, stored: tuple[str, int, float] | None = None) -> DataFrame:
     """(node, root) for the nodes of `prints` (node long, fp binary) that have a link within the radius.
 
     With stored = (folder, shingle, similarity) a link also needs that similarity of the shingle sets; prints then has the
@@ -312,7 +312,7 @@ def near_duplicate_nodes(prints: DataFrame, radius: int, words: int, tile_rows:
     spark = prints.sparkSession
     pop = sum((F.expr(f"bit_count(cast(conv(hex(substring(fp, {8 * w + 1}, 8)), 16, -10) as bigint))") for w in range(words)), F.lit(0)).cast("int")
     carried = ["node", "fp", *(["shingles", "file", "at", "bytes"] if stored else [])]
-    counted = materialise(prints.select(*carried, pop.alias("pop")), "simhash-pop")
+    counted = s.write(prints.select(*carried, pop.alias("pop")), "pop")
     histogram = {r["pop"]: r["n"] for r in counted.groupBy("pop").agg(F.count(F.lit(1)).alias("n")).collect()}
     if not histogram:
         return spark.createDataFrame([], "node long, root long")
@@ -351,17 +351,17 @@ def near_duplicate_nodes(prints: DataFrame, radius: int, words: int, tile_rows:
         u, v = nodes[order[member]], nodes[order[root]]
         return pd.DataFrame({"u": u[u != v], "v": v[u != v]})
 
-    tasks = min(2000, max(16, slices * pairs))  # by number, as the little data of a task says nothing of its work
+    tasks = max(16, min(slices * pairs, 2000 + slices * pairs // 16))  # by number, as the little data of a task says nothing of its work
     links = dealt.repartition(tasks, "a", "b", "slice").groupBy("a", "b", "slice").applyInPandas(compare, "u long, v long")
-    return connected_components(links)
+    return connected_components(links, s)
 
 
-def _components(prints: DataFrame, key: str, radius: int, words: int, tile_rows: int, stored: tuple[str, int, float] | None = None) -> DataFrame:
+def _components(prints: DataFrame, key: str, radius: int, words: int, tile_rows: int, s: Scratch, stored: tuple[str, int, float] | None = None, keep: bool = False) -> DataFrame:
     """(key, component_id) for every row of prints (node, key, fp, least_doc)."""
-    roots = materialise(near_duplicate_nodes(prints, radius, words, tile_rows, stored), "simhash-roots")
-    least = materialise(roots.join(prints.select("node", "least_doc"), "node").groupBy("root").agg(F.min("least_doc").alias("component_id")), "simhash-least")
+    roots = s.write(near_duplicate_nodes(prints, radius, words, s, tile_rows, stored), "roots")
+    least = s.write(roots.join(prints.select("node", "least_doc"), "node").groupBy("root").agg(F.min("least_doc").alias("component_id")), "least")
     classes = prints.join(roots.join(least, "root").select("node", "component_id"), "node", "left")
-    return materialise(classes.select(key, F.coalesce("component_id", "least_doc").alias("component_id")), "simhash-classes")
+    return s.write(classes.select(key, F.coalesce("component_id", "least_doc").alias("component_id")), "classes", keep)
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4, radius: int = 4, words: int = 1, tile_rows: int = 131072) -> DataFrame:
@@ -372,30 +372,41 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     columns are dropped, so clashing names do no harm. An empty table gives an empty result.
     """
     fp = fingerprint_column(shingle, words)
-    rows = materialise(docs.select(F.monotonically_increasing_id().alias("row_id"), F.col(id_col).cast("long").alias("doc_id"), fp(F.col(text_col)).alias("fp")), "simhash-rows")
-    prints = materialise(rows.groupBy("fp").agg(F.min("doc_id").alias("least_doc")).select(F.monotonically_increasing_id().alias("node"), "fp", "least_doc"), "simhash-prints")
-    classes = _components(prints, "fp", radius, words, tile_rows)
+    with Scratch(docs.sparkSession, "simhash") as s:
+        rows = s.write(docs.select(F.monotonically_increasing_id().alias("row_id"), F.col(id_col).cast("long").alias("doc_id"), fp(F.col(text_col)).alias("fp")), "rows", keep=True)
+        prints = s.write(rows.groupBy("fp").agg(F.min("doc_id").alias("least_doc")).select(F.monotonically_increasing_id().alias("node"), "fp", "least_doc"), "prints")
+        classes = _components(prints, "fp", radius, words, tile_rows, s, keep=True)
     return rows.join(classes, "fp").select("row_id", "doc_id", "fp", "component_id")
 
 
 def keep_one_per_group(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, radius: int = 72, words: int = 4, tile_rows: int = 131072, similarity: float = 0.8) -> DataFrame:
-    """docs without near copies: of each group the row with the smallest id stays (null ids last, then the first row).
+    """docs without near copies: of each group the row with the smallest id stays (null ids last, then by a digest of the text).
 
     A link of a group is a pair of texts whose sets of five-word shingles have a Jaccard similarity of 0.8 or more.
     Candidates are pairs of 256-bit fingerprints within the radius: the angle between two texts' shingles has a cosine of
     about 2J/(1+J), so J = 0.8 lies at 39 bits on average with a standard deviation under 6 (at 48 for texts of four and five
     shingles, the worst), unrelated texts at 128 +- 8. A text with fewer words than a shingle is one shingle; texts without words
-    are copies of each other. All columns are kept.
+    are copies of each other. Of rows equal in id and text one stays, whichever. All columns are kept. The texts are not
+    written again but as words for the comparison, and those go before this returns: the result is docs without the rows that go.
     """
-    folder = new_path(docs.sparkSession, "simhash-texts")
-    found = stored_column(folder, shingle, words)(F.col(text_col)).alias("f")
-    rows = materialise(docs.select(F.monotonically_increasing_id().alias("row_id"), F.col(id_col).cast("long").alias("doc_id"), found, F.struct("*").alias("row")), "simhash-rows")
-    place = F.min(F.struct("f.file", "f.at", "f.bytes")).alias("place")
-    texts = rows.groupBy("f.text_key", "f.fp", "f.shingles").agg(F.min("doc_id").alias("least_doc"), place)
-    prints = materialise(texts.select(F.monotonically_increasing_id().alias("node"), "text_key", "fp", "shingles", "least_doc", "place.*"), "simhash-prints")
-    classes = _components(prints, "text_key", radius, words, tile_rows, (folder, shingle, similarity))
-    order = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "row_id")
-    group = F.struct("component_id", F.when(F.col("component_id").isNull(), F.col("text_key")).alias("text_key"))
-    ranked = rows.select("row_id", "doc_id", "f.text_key").join(classes, "text_key").select(group.alias("grp"), order.alias("ord"))
-    first = materialise(ranked.groupBy("grp").agg(F.min("ord").alias("best")).select(F.col("best.row_id").alias("row_id")), "simhash-kept")
-    return rows.join(first, "row_id", "left_semi").select("row.*")
+    text = F.col(f"`{text_col}`")
+    key = [F.coalesce(F.col(f"`{id_col}`").cast("string"), F.lit("null")).alias("k_id"), F.coalesce(F.sha2(text, 256), F.lit("null")).alias("k_text")]
+    with Scratch(docs.sparkSession, "near-dedup") as s:
+        folder = s.path("texts")
+        rows = s.write(docs.select(*key, F.col(f"`{id_col}`").cast("long").alias("doc_id"), stored_column(folder, shingle, words)(text).alias("f")), "rows")
+        place = F.min(F.struct("f.file", "f.at", "f.bytes")).alias("place")
+        texts = rows.groupBy("f.text_key", "f.fp", "f.shingles").agg(F.min("doc_id").alias("least_doc"), place)
+        prints = s.write(texts.select(F.monotonically_increasing_id().alias("node"), "text_key", "fp", "shingles", "least_doc", "place.*"), "prints")
+        classes = _components(prints, "text_key", radius, words, tile_rows, s, (folder, shingle, similarity))
+        keys = rows.groupBy("k_id", "k_text", "doc_id", "f.text_key").agg(F.count(F.lit(1)).alias("n")).join(classes, "text_key")
+        group = F.coalesce(F.col("component_id").cast("string"), F.hex("text_key")).alias("grp")
+        keys = s.write(keys.select("k_id", "k_text", "n", group, F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "k_text").alias("ord")), "keys")
+        best = s.write(keys.groupBy("grp").agg(F.min("ord").alias("best")), "best")
+        fate = s.write(keys.join(best, "grp").select("k_id", "k_text", "n", F.col("ord").eqNullSafe(F.col("best")).alias("stays")), "fate")
+        gone = s.write(fate.where("not stays or n > 1").select("k_id", "k_text"), "gone", keep=True)
+        twice = s.write(fate.where("stays and n > 1").select("k_id", "k_text"), "twice", keep=True)
+    keyed = docs.select(*key, F.struct("*").alias("row"))
+    kept = keyed.join(gone, ["k_id", "k_text"], "left_anti").select("row")
+    if not twice.isEmpty():
+        kept = kept.union(keyed.join(twice, ["k_id", "k_text"], "left_semi").groupBy("k_id", "k_text").agg(F.first("row").alias("row")).select("row"))
+    return kept.select("row.*")

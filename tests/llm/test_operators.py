@@ -14,7 +14,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 from pitspark.llm import components, decontaminate, exact_dedup, langid, mixing, quality, secrets, sharding, simhash, token_output, warc
-from pitspark.llm.common import crc_mod, filesystem, new_path, words_in
+from pitspark.llm.common import Scratch, crc_mod, filesystem, new_path, words_in
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, size int, row string, key long, bucket int, fp string"
 WORDS = "alpha beta gamma delta epsilon zeta eta theta iota kappa lambda mu nu xi omicron pi rho sigma tau upsilon".split()
@@ -105,7 +105,7 @@ def test_near_duplicates_against_all_pairs(spark, tile_rows):
     ids = {k: v for v, k in prints.items()}
     want = groups_of(sorted(ids), lambda a, b: (ids[a] ^ ids[b]).bit_count() <= 4)
     df = spark.createDataFrame([(k, bytearray(v.to_bytes(8, "big"))) for k, v in ids.items()], "node long, fp binary")
-    got = {r["node"]: r["root"] for r in simhash.near_duplicate_nodes(df, 4, 1, tile_rows).collect()}
+    got = {r["node"]: r["root"] for r in simhash.near_duplicate_nodes(df, 4, 1, Scratch(spark, "t"), tile_rows).collect()}
     assert {k: got.get(k, k) for k in ids} == want
 
 
@@ -180,11 +180,11 @@ def test_stage_decides_by_exact_similarity(spark):
 
 def test_components(spark):
     edges = [(i, i + 1) for i in range(40)] + [(100, 101), (103, 101), (7, 7), (None, 3)]
-    got = {r["node"]: r["root"] for r in components.connected_components(spark.createDataFrame(edges, "u long, v long")).collect()}
+    got = {r["node"]: r["root"] for r in components.connected_components(spark.createDataFrame(edges, "u long, v long"), Scratch(spark, "t")).collect()}
     assert got == {i: 0 for i in range(41)} | {100: 100, 101: 100, 103: 100}
     star = spark.range(1, 3000).select(F.lit(0).cast("long").alias("u"), F.col("id").alias("v"))
-    assert components.connected_components(star).where("root = 0").count() == 3000
-    assert components.connected_components(star.where("false")).count() == 0
+    assert components.connected_components(star, Scratch(spark, "t")).where("root = 0").count() == 3000
+    assert components.connected_components(star.where("false"), Scratch(spark, "t")).count() == 0
 
 
 def brute_tiles(doc, item, least):
@@ -311,6 +311,13 @@ def test_mixing_against_plain_python(spark, odd, nothing):
     assert all(sum(q["quota"] for q in quotas if q["shard"] == k) == 40 for k in range(5))
     again = mixing.mix(df.repartition(7), n_shards=5, blocks_per_shard=40, bucket_rows=30).collect()
     assert sorted((r["doc_id"], r["taken"]) for r in rows) == sorted((r["doc_id"], r["taken"]) for r in again)
+    # Each shard has its quota of blocks of each source, but for what is cut at ends of passes and at the target.
+    held = mixing.mixed_documents(df, with_shard=True, n_shards=5, blocks_per_shard=40).groupBy("shard", "source").agg(F.sum(words_in(F.col("text"))).alias("n")).collect()
+    quota = {(q["shard"], q["source"]): q["quota"] for q in quotas}
+    width, longest = round(block), max(r["size"] for r in rows)
+    for h in held:
+        assert abs(h["n"] - quota.get((h["shard"], h["source"]), 0) * width) <= 3 * width + 2 * longest, h
+    assert {h["shard"] for h in held} == set(range(5))
     out = mixing.mixed_documents(df, n_shards=5, blocks_per_shard=40)
     assert out.columns == df.columns
     mixed = out.groupBy("source").agg(F.sum(words_in(F.col("text"))).alias("n")).collect()
@@ -319,6 +326,26 @@ def test_mixing_against_plain_python(spark, odd, nothing):
     assert mixing.mixed_documents(odd).columns == odd.columns and mixing.mix(df.withColumn("text", F.lit(" "))).agg(F.sum("taken")).first()[0] == 0
 
 
+def test_mixing_blocks_take_their_seats(spark):
+    """One-word documents: every block of a source lies in the shard of its seat, by a plain count of the quota table."""
+    docs = [(i, "w", "abc"[i % 7 % 3]) for i in range(4000)]
+    df = spark.createDataFrame(docs, "doc_id long, text string, source string")
+    got = mixing.mix(df, n_shards=6, blocks_per_shard=50, bucket_rows=500).select("doc_id", "source", "target", F.explode("pieces").alias("p")).collect()
+    have = collections.Counter((r["p"]["shard"], r["source"]) for r in got)
+    targets = {r["source"]: r["target"] for r in got}
+    order, quota, dealt = sorted(targets), collections.Counter(), collections.Counter()
+    for seat in range(300):
+        s = max(order, key=lambda x: (targets[x] / (2 * dealt[x] + 1), -order.index(x)))
+        dealt[s] += 1
+        quota[(seat // 50, s)] += 1
+    width = round(sum(targets.values()) / 300)
+    assert width > 1 and all(abs(have[k] - quota[k] * width) <= 3 * width for k in set(have) | set(quota))
+    assert sum(abs(have[k] - quota[k] * width) > width for k in quota) <= 3  # the shards of the sources' last seats
+    same = spark.createDataFrame([(1, "one two three", "s")] * 400, "doc_id long, text string, source string")  # equal in id and text
+    rows = mixing.mix(same, n_shards=3, blocks_per_shard=9).collect()
+    assert len(rows) == 400 and sum(r["taken"] for r in rows) == 1800 and max(r["taken"] for r in rows) <= 6
+
+
 def test_mixing_gives_every_small_source_its_target(spark):
     rng = random.Random(10)
     docs = [(i, "w " * 60, "hot") for i in range(500)] + [(500 + i, "w " * rng.randint(1, 12), f"site{i % 1500}") for i in range(3000)]
