@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from pitspark.llm import decontaminate, mixing, quality, simhash, token_output
-from pitspark.llm.common import materialise
+from pitspark.llm.common import delete_path, inside, materialise, new_path
 from pitspark.llm.queries import table
 
 
@@ -47,7 +47,23 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    """All stages over the table `documents`. What a stage worked with goes once its output is written, and that once the next one's is."""
+    docs, before = table(spark, sf_dir, "documents"), None
     for name, stage in STAGES[:-1]:
-        docs = materialise(stage(spark, docs, sf_dir), name.replace(" ", "-"))
-    return STAGES[-1][1](spark, docs, sf_dir)
+        label = name.replace(" ", "-")
+        after = new_path(spark, label)
+        with inside(spark, f"{label}-work") as work:
+            try:
+                docs = materialise(stage(spark, docs, sf_dir), label, after)
+            except BaseException:
+                delete_path(spark, after)
+                raise
+            finally:
+                delete_path(spark, work)
+                if before:
+                    delete_path(spark, before)
+        before = after
+    try:
+        return STAGES[-1][1](spark, docs, sf_dir)
+    finally:
+        delete_path(spark, before)
