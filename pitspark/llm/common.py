@@ -122,6 +122,12 @@ def words_in(text: Column) -> Column:
     return F.length(F.translate(squeezed, " \t\n\x0b\x0c\r", "")).cast("long")
 
 
+def row_key(id_col: str, text_col: str) -> list[Column]:
+    """Two longs, k1 and k2, that tell rows of different id or text apart (128 bits of hash), to find rows again in a stored table."""
+    both = F.struct(F.col(f"`{id_col}`").cast("string").alias("i"), F.col(f"`{text_col}`").alias("t"))
+    return [F.xxhash64(F.lit(seed), both, both["i"].isNull(), both["t"].isNull()).alias(name) for seed, name in ((1, "k1"), (2, "k2"))]
+
+
 def crc_mod(key: Column, modulus: int) -> Column:
     """crc32 of the key written as text, modulo `modulus` (null key: 0)."""
     return F.coalesce(F.crc32(key.cast("string").cast("binary")) % modulus, F.lit(0)).cast("int")

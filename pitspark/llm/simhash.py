@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, filesystem
+from .common import Scratch, filesystem, row_key
 from .components import connected_components
 
 SEED = 42
@@ -380,7 +380,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 def keep_one_per_group(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, radius: int = 72, words: int = 4, tile_rows: int = 131072, similarity: float = 0.8) -> DataFrame:
-    """docs without near copies: of each group the row with the smallest id stays (null ids last, then by a digest of the text).
+    """docs without near copies: of each group the row with the smallest id stays (null ids last, then by a hash of the text).
 
     A link of a group is a pair of texts whose sets of five-word shingles have a Jaccard similarity of 0.8 or more.
     Candidates are pairs of 256-bit fingerprints within the radius: the angle between two texts' shingles has a cosine of
@@ -390,7 +390,7 @@ def keep_one_per_group(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     written again but as words for the comparison, and those go before this returns: the result is docs without the rows that go.
     """
     text = F.col(f"`{text_col}`")
-    key = [F.coalesce(F.col(f"`{id_col}`").cast("string"), F.lit("null")).alias("k_id"), F.coalesce(F.sha2(text, 256), F.lit("null")).alias("k_text")]
+    key = row_key(id_col, text_col)
     with Scratch(docs.sparkSession, "near-dedup") as s:
         folder = s.path("texts")
         rows = s.write(docs.select(*key, F.col(f"`{id_col}`").cast("long").alias("doc_id"), stored_column(folder, shingle, words)(text).alias("f")), "rows")
@@ -398,15 +398,15 @@ def keep_one_per_group(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         texts = rows.groupBy("f.text_key", "f.fp", "f.shingles").agg(F.min("doc_id").alias("least_doc"), place)
         prints = s.write(texts.select(F.monotonically_increasing_id().alias("node"), "text_key", "fp", "shingles", "least_doc", "place.*"), "prints")
         classes = _components(prints, "text_key", radius, words, tile_rows, s, (folder, shingle, similarity))
-        keys = rows.groupBy("k_id", "k_text", "doc_id", "f.text_key").agg(F.count(F.lit(1)).alias("n")).join(classes, "text_key")
+        keys = rows.groupBy("k1", "k2", "doc_id", "f.text_key").agg(F.count(F.lit(1)).alias("n")).join(classes, "text_key")
         group = F.coalesce(F.col("component_id").cast("string"), F.hex("text_key")).alias("grp")
-        keys = s.write(keys.select("k_id", "k_text", "n", group, F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "k_text").alias("ord")), "keys")
+        keys = s.write(keys.select("k1", "k2", "n", group, F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "k1", "k2").alias("ord")), "keys")
         best = s.write(keys.groupBy("grp").agg(F.min("ord").alias("best")), "best")
-        fate = s.write(keys.join(best, "grp").select("k_id", "k_text", "n", F.col("ord").eqNullSafe(F.col("best")).alias("stays")), "fate")
-        gone = s.write(fate.where("not stays or n > 1").select("k_id", "k_text"), "gone", keep=True)
-        twice = s.write(fate.where("stays and n > 1").select("k_id", "k_text"), "twice", keep=True)
+        fate = s.write(keys.join(best, "grp").select("k1", "k2", "n", F.col("ord").eqNullSafe(F.col("best")).alias("stays")), "fate")
+        gone = s.write(fate.where("not stays or n > 1").select("k1", "k2"), "gone", keep=True)
+        twice = s.write(fate.where("stays and n > 1").select("k1", "k2"), "twice", keep=True)
     keyed = docs.select(*key, F.struct("*").alias("row"))
-    kept = keyed.join(gone, ["k_id", "k_text"], "left_anti").select("row")
+    kept = keyed.join(gone, ["k1", "k2"], "left_anti").select("row")
     if not twice.isEmpty():
-        kept = kept.union(keyed.join(twice, ["k_id", "k_text"], "left_semi").groupBy("k_id", "k_text").agg(F.first("row").alias("row")).select("row"))
+        kept = kept.union(keyed.join(twice, ["k1", "k2"], "left_semi").groupBy("k1", "k2").agg(F.first("row").alias("row")).select("row"))
     return kept.select("row.*")

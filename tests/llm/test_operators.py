@@ -6,6 +6,7 @@ import hashlib
 import io
 import random
 import re
+import time
 import zlib
 
 import numpy as np
@@ -209,12 +210,36 @@ def brute_tiles(doc, item, least):
 
 def test_tiles_against_definition():
     rng = np.random.default_rng(1)
-    for _ in range(150):
-        item = rng.integers(1, 6, rng.integers(3, 25))
-        doc = np.concatenate([rng.integers(1, 6, rng.integers(0, 10)), item[len(item) // 2 :], rng.integers(1, 6, 3), item[: len(item) // 2], rng.integers(1, 6, rng.integers(0, 10))])
-        got = sum(n for *_, n in decontaminate.tiles(doc, item, 3))
-        want = sum(n for *_, n in brute_tiles(doc.tolist(), item.tolist(), 3))
-        assert got == want
+    for n in range(1000):
+        words = int(rng.integers(1, 8))
+        item = rng.integers(1, 1 + words, rng.integers(3, 60 if n % 10 == 0 else 25)).astype(np.uint64)
+        cut = int(rng.integers(0, len(item)))
+        part = lambda: rng.integers(0, 1 + words, rng.integers(0, 10)).astype(np.uint64)
+        doc = np.concatenate([part(), item[cut:], part(), item[: cut + 1], part(), item[cut // 2 :][::-1]])
+        least = int(rng.integers(1, 5))
+        got = decontaminate.tiles(decontaminate._mixed(doc) * (doc > 0), decontaminate._mixed(item), least)
+        assert got == brute_tiles([int(x) or -1 for x in doc], item.tolist(), least)
+
+
+def test_tiles_of_repetitive_texts_are_quick():
+    one = np.ones(20_000, np.uint64)
+    began = time.perf_counter()
+    assert sum(n for *_, n in decontaminate.tiles(one, one[:2000], 5)) == 2000
+    rng = np.random.default_rng(2)
+    decontaminate.tiles(rng.integers(1, 3, 20_000).astype(np.uint64), rng.integers(1, 3, 2000).astype(np.uint64), 5)
+    assert time.perf_counter() - began < 20
+
+
+def test_word_hashes_in_chunks(monkeypatch):
+    rng = random.Random(3)
+    texts = ["", "A b_1, c", "é Ünï x", "x" * 1000 + " y " + "z" * 300, prose(rng, 400), " ".join("w" * rng.randint(1, 90) for _ in range(100))]
+    whole = [decontaminate.word_hashes(t).tolist() for t in texts]
+    assert [len(w) for w in whole] == [len(re.findall(r"\w+", t)) for t in texts]
+    assert len({h for w in whole for h in w}) == len({x for t in texts for x in re.findall(r"\w+", t.lower())})
+    monkeypatch.setattr(decontaminate, "_CHUNK", 64)
+    assert [decontaminate.word_hashes(t).tolist() for t in texts] == whole
+    w = decontaminate.word_hashes(texts[4])
+    assert np.array_equal(decontaminate.windows(w, 5)[100:], decontaminate.windows(w[100:], 5))
 
 
 def test_decontamination(spark, odd, nothing):
@@ -224,17 +249,39 @@ def test_decontamination(spark, odd, nothing):
     whole, moved = items[0][1], items[1][1].split()
     docs = [
         (0, prose(rng, 50) + " " + whole.upper().replace(" ", ", ") + " " + prose(rng, 9)), (1, " ".join(moved[12:] + ["stop"] + moved[:12])), (2, prose(rng, 200)), (3, " ".join(items[2][1].split()[:8])), (4, None), (5, ""),
-        (6, "é " + items[3][1]), (None, items[8][1]),
+        (6, "é " + items[3][1]), (None, items[8][1]), (7, "It is TOO short."), (8, "too, very short"),
     ]
     df = spark.createDataFrame(docs, "doc_id long, text string")
-    for block_bytes in (1 << 20, 10):
-        got = {(r["doc_id"], r["item_id"]): r["coverage"] for r in decontaminate.contaminated(df, bench, block_bytes=block_bytes).collect()}
-        assert got == {(0, 0): 1.0, (1, 1): 1.0, (6, 3): 1.0, (None, None): 1.0}
-    assert sorted(r["doc_id"] for r in decontaminate.contaminated(df, bench, keep=True).collect()) == [2, 3, 4, 5]
+    for most_bits in (1 << 24, 64):  # the full filter lets every seed through
+        got = {(r["doc_id"], r["item_id"]): r["coverage"] for r in decontaminate.contaminated(df, bench, most_bits=most_bits).collect()}
+        assert got == {(0, 0): 1.0, (1, 1): 1.0, (6, 3): 1.0, (None, None): 1.0, (7, 5): 1.0}
+    assert sorted(r["doc_id"] for r in decontaminate.contaminated(df, bench, keep=True).collect()) == [2, 3, 4, 5, 8]
     assert decontaminate.contaminated(nothing, bench).count() == 0 and decontaminate.contaminated(odd, bench.where("false")).count() == 0
     assert decontaminate.contaminated(odd, bench.where("false"), keep=True).count() == odd.count()
 
 
+def test_decontamination_of_a_table_against_brute_force(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    bench = spark.read.parquet("/root/testdata/sf0.001/benchmark.parquet")
+    words = lambda t: re.findall(r"\w+", (t or "").lower())
+    items = {r["item_id"]: words(r["text"]) for r in bench.collect()}
+    by_seed = collections.defaultdict(set)
+    for k, w in items.items():
+        for i in range(len(w) - 4):
+            by_seed[tuple(w[i : i + 5])].add(k)
+    want = {}
+    for r in docs.collect():
+        w = words(r["text"])
+        hit = [i for i in range(len(w) - 4) if tuple(w[i : i + 5]) in by_seed]
+        near = sorted({j for i in hit for j in range(max(0, i - 5), i + 10)})
+        for k in {k for i in hit for k in by_seed[tuple(w[i : i + 5])]}:
+            n = sum(x[2] for x in brute_tiles([w[j] if j < len(w) else None for j in near], items[k], 5))
+            if n / len(items[k]) >= 0.5:
+                want[(r["doc_id"], k)] = n
+    got = {(r["doc_id"], r["item_id"]): r["matched_words"] for r in decontaminate.contaminated(docs, bench).collect()}
+    assert got == want and len(want) > 0
+
+
 def test_warc_round_trip(spark):
     pages = [(3, "http://x/\r\n3", "<p>é</p>"), (1, None, "<p>é</p>"), (2, "u", None), (None, "u", "<p>é</p>"), (4, "u", ""), (5, "u", "x" * 300_000), (5, "u", "x" * 300_000), (None, None, "only")]
     df = spark.createDataFrame(pages, "page_id long, url string, html string").repartition(3)
