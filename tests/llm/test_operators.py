@@ -2,6 +2,7 @@
 
 import base64
 import collections
+import gzip
 import hashlib
 import io
 import random
@@ -308,12 +309,67 @@ def test_warc_skips_payloads_and_finds_damage():
     got = list(warc.records(io.BytesIO(raw), lambda h: h["page_id"] == 7, True, stats))
     assert [h["page_id"] for h in got] == [7] and stats["records"] == 20 and stats["inflated"] < 100_000
     assert zlib.decompress(raw[: int.from_bytes(raw[16:20], "little")], 31).startswith(b"WARC/1.1\r\nWARC-Type: response")
+    assert gzip.decompress(raw).count(b"WARC/1.1") == 20  # a standard reader takes member by member
     broken = bytearray(raw)
     broken[30_000] ^= 255
     with pytest.raises((ValueError, zlib.error)):
         list(warc.records(io.BytesIO(bytes(broken))))
 
 
+def standard_archive():
+    """An archive as other tools write it: records of several types, folded and odd headers, none of this module's fields."""
+    html = "<p>é</p>".encode() * 3000
+    http = b"HTTP/1.1 200 OK\r\nContent-Type: text/html\r\n\r\n"
+    rows = [
+        ("warcinfo", "application/warc-fields", b"software: x\r\nformat: WARC File Format 1.0\r\n", ""), ("request", "application/http; msgtype=request", b"GET / HTTP/1.1\r\nHost: x\r\n\r\n", ""),
+        ("response", "application/http; msgtype=response", http + html, f"WARC-Payload-Digest: sha1:{warc.payload_digest(html)}\r\n"), ("metadata", "application/warc-fields", b"via: y\r\n", ""),
+        ("resource", "text/plain", b"plain text", ""), ("response", "application/http;msgtype=response", http, ""), ("conversion", "text/plain", b"", ""),
+        ("revisit", "application/http; msgtype=response", b"HTTP/1.1 200 OK\r\nContent-Length: 77\r\n\r\n", ""),
+    ]
+    raw = [f"WARC/1.0\r\nWARC-Type:{t}\r\nWARC-Record-ID: <urn:uuid:{i}>\r\nX-Long: a\r\n b\r\n{more}Content-Type: {kind}\r\ncontent-length:  {len(block)}\r\n\r\n".encode() + block + b"\r\n\r\n" for i, (t, kind, block, more) in enumerate(rows)]
+    want = [(t, None if t == "revisit" else block[len(http):] if t == "response" else b"" if t == "request" else block) for t, _, block, _ in rows]
+    return raw, want
+
+
+@pytest.mark.parametrize("form", ["plain", "members", "one member", "mixed"])
+def test_warc_reads_standard_archives(form):
+    raw, want = standard_archive()
+    packed = {"plain": b"".join(raw), "members": b"".join(map(gzip.compress, raw)), "one member": gzip.compress(b"".join(raw)), "mixed": b"".join(warc.member(r, 1) if i < 3 else gzip.compress(r) for i, r in enumerate(raw))}[form]
+    got = list(warc.records(io.BytesIO(packed)))
+    assert [(r["record_type"], r["payload"]) for r in got] == want
+    assert [r["payload_bytes"] for r in got] == [77 if t == "revisit" else len(p) for t, p in want]
+    stats = {}
+    few = list(warc.records(io.BytesIO(packed), lambda h: h["record_type"] == "resource", False, stats))
+    assert [(r["record_id"], r["payload"]) for r in few] == [("<urn:uuid:4>", None)] and stats["records"] == len(raw)
+    with pytest.raises((ValueError, zlib.error)):
+        list(warc.records(io.BytesIO(packed[: len(packed) // 2] if form != "plain" else packed.replace(b"WARC/1.0\r\nWARC-Type:metadata", b"XXXX/1.0\r\nWARC-Type:metadata"))))
+
+
+def test_warc_source_reads_folders_and_sweeps_attempts(spark):
+    raw, want = standard_archive()
+    path = new_path(spark, "standard")
+    fs, root = filesystem(path)
+    for name, data in (("a/b/one.warc", b"".join(raw)), ("two.warc.gz", b"".join(map(gzip.compress, raw))), ("a/.hidden.warc", b"junk"), ("note.txt", b"junk"), ("empty.warc", b"")):
+        fs.create_dir(f"{root}/{name}".rpartition("/")[0], recursive=True)
+        with fs.open_output_stream(f"{root}/{name}", compression=None) as out:
+            out.write(data)
+    rows = warc.read_archives(spark, path).select("record_type", "payload").collect()
+    norm = lambda p: None if p is None else bytes(p)
+    assert collections.Counter((r[0], norm(r[1])) for r in rows) == collections.Counter(want * 2)
+    assert warc.read_archives(spark, path).where("content_type = 'text/plain'").count() == 4
+    df = spark.createDataFrame([(-5, "u", "x")], "page_id long, url string, html string")
+    path = warc.write_archives(df)
+    writer = warc.WarcWriter({"path": path})
+    fs, root = filesystem(path)
+    for name in (f".part-{writer.write_id}-00000-000-7.tmp", f".part-{writer.write_id}-00001-000-8.tmp", ".part-other-00000-000-9.tmp"):
+        with fs.open_output_stream(f"{root}/{name}", compression=None) as out:
+            out.write(b"x")
+    writer.commit([warc._Written([f".part-{writer.write_id}-00000-000-7.tmp"], 1), None])
+    left = sorted(x.path.rpartition("/")[2] for x in fs.get_file_info(warc.FileSelector(root)))
+    assert len(left) == 3 and left[0] == ".part-other-00000-000-9.tmp" and all(x.endswith(".warc.gz") for x in left[1:])
+    assert [r["page_id"] for r in warc.records(fs.open_input_file(f"{root}/{next(x for x in left[1:] if '000-7' not in x and writer.write_id not in x)}"))] == [-5]
+
+
 def water(sizes, budget=1.5, weights=(3, 1, 2), cap=2.0):
     names = sorted(sizes, key=lambda s: (s is None, (s or "").encode()))
     w = {s: weights[i % 3] for i, s in enumerate(names)}
@@ -418,17 +474,92 @@ def test_secret_base_patterns():
     assert secrets.base_spans("paſſword=abcdef12") == [] and secrets.base_spans("toKen=abcdef12") == []
 
 
-def test_secret_network_and_table(odd, nothing):
-    net = secrets.trained()
+def brute_base(text):
+    """The base spans by a scanner of single characters."""
+    text, out = text or "", []
+    key = set("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_.=-")
+
+    def run(at, allowed):
+        end = at
+        while end < len(text) and text[end] in allowed:
+            end += 1
+        return end
+
+    at = 0
+    while at < len(text):
+        low = text[at : at + 8].lower() if text[at : at + 8].isascii() else "".join(c.lower() if c.isascii() else "\0" for c in text[at : at + 8])
+        step = at + 1
+        for name in ("password", "passwd", "secret", "token", "apikey", "api_key"):
+            if not low.startswith(name):
+                continue
+            i = at + len(name)
+            i += text[i : i + 1] in ("'", '"')
+            while text[i : i + 1] == " ":
+                i += 1
+            if text[i : i + 1] not in (":", "="):
+                continue
+            i += 1
+            while text[i : i + 1] == " ":
+                i += 1
+            # The quote is optional, and "=" may belong to the value.
+            j = i + (text[i : i + 1] in ("'", '"'))
+            end = run(j, key)
+            if end > j:
+                if end - j >= 6:
+                    out.append((at, 0, end))
+                step = end
+                break
+        at = step
+    for kind, head, allowed, least in ((1, "AKIA", set("ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789"), 20), (2, "", set("0123456789abcdef"), 24)):
+        at = 0
+        while at < len(text):
+            if text.startswith(head, at) and (end := run(at + len(head), allowed)) > at + len(head):
+                if end - at >= least:
+                    out.append((at, kind, end))
+                at = end
+            else:
+                at += 1
+    return sorted(out)
+
+
+def test_base_columns_of_whole_tables_against_a_scanner(spark):
+    """Every row of a table of the driver's, with secrets planted in some."""
+    rng = random.Random(21)
+    rows = [(r["doc_id"], r["text"]) for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text").collect()]
+    bits = ["token=", "Secret : '", 'API_KEY"="', "password==", "ab", "AKIA", "A1B2C3D4", "0f" * 6, "é", " ", "-x/", "tokentoken=abcdef", "apikey:", "passwd = ", "Q" * 12, "f" * 24, "\n", "ſecret=abcdefg"]
+    rows += [(10**6 + i, "".join(rng.choice(bits) for _ in range(rng.randint(0, 14)))) for i in range(1500)] + [(2 * 10**6, None), (None, "token=abcdef123")]
+    got = secrets.find_secrets(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    at = {r["doc_id"]: r for r in got}
+    assert len(got) == len(rows)
+    positive = 0
+    for doc, text in rows:
+        base, r = brute_base(text), at[doc]
+        assert [r["n_assign"], r["n_access"], r["n_hex"]] == [sum(k == kind for _, k, _ in base) for kind in range(3)], text
+        flat = [f"{('assign', 'access', 'hex')[k]}:{i}:{j}" for i, k, j in base]
+        assert r["base_sha256"] == hashlib.sha256(",".join(flat).encode()).hexdigest()
+        assert set(flat) <= set(r["spans"].split(",")) and len(r["scores"]) == len([x for x in r["spans"].split(",") if x])
+        positive += bool(base)
+    assert positive > 300
+
+
+def test_secret_network_on_held_out_documents(spark, odd, nothing):
+    """Recall and precision on documents that no part of the training saw, and on new findings of the generator."""
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet").select("doc_id", "text")
+    net = secrets.train(docs.where("doc_id % 2 = 0"))
+    texts = [r["text"] for r in docs.where("doc_id % 2 = 1").collect()]
+    found = secrets.scan(texts, net)
+    scores = [p for base, every in found for *_, p in every[: len(every)] if base]
+    assert np.mean([p >= net.threshold for p in scores]) >= 0.9 and len(scores) > 50
+    added = [(t, s) for t, (_, every) in zip(texts, found) for s in every if s[1] == 3]
+    assert len(added) <= len(texts) / 500 and not any("@" in t[max(0, i - 1) : j + 1] for t, (i, _, j, _) in added)
     rng = random.Random(123)
-    made = [secrets._finding(rng) for _ in range(800)]
-    hit = net.probability(np.array([secrets.encoded(t, i, j) for t, i, j, _ in made])) >= net.threshold
+    made = [secrets._finding(rng) for _ in range(1500)]
+    hit = np.array([any(2 * (min(b, j) - max(a, i)) >= min(j - i, secrets.SPAN) for a, _, b, _ in every) for (_, i, j, _), (_, every) in zip(made, secrets.scan([m[0] for m in made], net))])
     label = np.array([y for *_, y in made], bool)
-    assert hit[label].mean() > 0.93 and hit[~label].mean() < 0.03
-    text = "plain words " * 2000 + "login ghp_a8Kd02LmQpZ7xV1cN5bT3yR6wE9uS4hJ0fGq end token = deadbeefdeadbeefdeadbeef00 " + "more " * 10
+    assert hit[label].mean() > 0.95 and hit[~label].mean() < 0.03
+    text = "plain words " * 2000 + "login ghp_a8Kd02LmQpZ7xV1cN5bT3yR6wE9uS4hJ0fGq end, my key is Xk9fQ2mL7pR4 token = deadbeefdeadbeefdeadbeef00 " + "more " * 10
     ((base, every),) = secrets.scan([text], net)
-    assert {k for _, k, _ in base} == {0, 2} and set(base) <= set(every)
-    assert any(k == 3 and text[i:j].startswith("ghp_") for i, k, j in every)
+    assert {k for _, k, _ in base} == {0, 2} and {text[i:j] for i, k, j, _ in every if k == 3} == {"ghp_a8Kd02LmQpZ7xV1cN5bT3yR6wE9uS4hJ0fGq", "Xk9fQ2mL7pR4"}
     rows = secrets.find_secrets(odd).collect()
     assert len(rows) == odd.count() and all(r["base_sha256"] == hashlib.sha256(b"").hexdigest() and r["n_hex"] == 0 for r in rows)
     assert secrets.find_secrets(nothing).count() == 0
@@ -449,13 +580,9 @@ def test_secrets_in_long_runs_and_without_digits():
         after.append((f"id {pick('0123456789abcdef', 24)}/{key} end", key))
     for made in (middle, plain, after):
         got = secrets.scan([t for t, _ in made], net)
-        assert np.mean([any(k == 3 and t[i:j].find(key[4:-4]) >= 0 for i, k, j in every) for (t, key), (_, every) in zip(made, got)]) > 0.93
+        assert np.mean([any(k == 3 and t[i:j].find(key[4:-4]) >= 0 for i, k, j, _ in every) for (t, key), (_, every) in zip(made, got)]) > 0.9
     quiet = secrets.scan([t.replace(key, "some/more/words") for t, key in middle], net)
     assert np.mean([bool(every) for _, every in quiet]) < 0.1
-    # The recall holds for findings as the scan of their whole texts offers them.
-    made = [f for f in (secrets._finding(rng) for _ in range(800)) if f[3]]
-    found = [any(2 * (min(b, j) - max(a, i)) >= min(j - i, secrets.SPAN) for a, _, b in every) for (_, i, j, _), (_, every) in zip(made, secrets.scan([f[0] for f in made], net))]
-    assert np.mean(found) > 0.95
 
 
 def test_quality_ranks_held_out_documents(spark, odd, nothing):
