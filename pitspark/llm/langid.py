@@ -21,6 +21,7 @@ from pyspark.sql.window import Window
 
 from .common import crc_mod
 
+#: Letters, and with them number signs such as fractions, which `has_letter` tells apart.
 LETTER = re.compile(r"[^\W\d_]")
 NOT_TEXT = re.compile(r"[\W\d_]+")
 UNKNOWN = "und"
@@ -28,6 +29,11 @@ N = 4
 _CHUNK = 1 << 20
 
 
+def has_letter(text: str) -> bool:
+    """Whether a character is of a Unicode letter category."""
+    return any(m.group().isalpha() for m in LETTER.finditer(text))
+
+
 def grams(text: str) -> Iterator[np.ndarray]:
     """The text's n-grams of N bytes as numbers, over lower-cased letters with one space between words, in chunks."""
     raw = b" " + NOT_TEXT.sub(" ", text.lower()).strip().encode("utf-8", "surrogatepass") + b" "
@@ -81,13 +87,16 @@ class Filters:
         return got, n
 
     def predict(self, text: str | None) -> tuple[str, float]:
-        """(language, share of the corrected counts' total that it has); `und` for null, for texts without letters, or if nothing was learned."""
-        if not text or not self.languages or not LETTER.search(text):
+        """(language, share of the corrected counts' total that it has); `und` for null, for texts without letters, or if nothing was learned.
+
+        A text of which no filter knows an n-gram gets the first language with a score of 0.
+        """
+        if not text or not self.languages or not has_letter(text):
             return UNKNOWN, 0.0
         got, n = self.counts(text)
         true = np.clip((got - n * self.false_positive) / np.maximum(1e-9, 1 - self.false_positive), 0, None)
         best = int(np.argmax(true))
-        return self.languages[best], float(true[best] / true.sum()) if true.sum() else 1 / len(self.languages)
+        return self.languages[best], float(true[best] / true.sum()) if true.sum() else 0.0
 
 
 def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample_rows: int = 6000, grams_per_language: int = 3000, seed: int = 0) -> Filters:
@@ -95,7 +104,7 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
 
     A language with no more documents than that gives all of them, so every language learned has a filter. None of them is held out (crc32 of the id modulo 4 is 2) or has a null lang. The whole text of a sampled document counts.
     """
-    known = docs.where(F.col(lang_col).isNotNull() & (crc_mod(F.col(id_col), 4) != 2)).select(F.col(id_col).alias("doc_id"), F.col(lang_col).alias("lang"), F.col(text_col).alias("text"))
+    known = docs.where(F.col(f"`{lang_col}`").isNotNull() & (crc_mod(F.col(f"`{id_col}`"), 4) != 2)).select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{lang_col}`").alias("lang"), F.col(f"`{text_col}`").alias("text"))
     known = known.where("doc_id is not null")
     sizes = known.groupBy(F.col("lang").alias("of")).agg(F.count(F.lit(1)).alias("of_lang"))  # a row per language
     place = F.pmod(F.xxhash64(F.lit(seed), "doc_id"), F.lit(1 << 30)) / F.lit(1 << 30)
@@ -132,5 +141,5 @@ def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", la
         for texts in batches:
             yield pd.DataFrame([model.value.predict(t) for t in texts], columns=["lang_pred", "score"])
 
-    out = docs.select(F.col(id_col).cast("long").alias("doc_id"), (crc_mod(F.col(id_col), 4) == 2).alias("held_out"), predict(F.col(text_col)).alias("p"))
+    out = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), (crc_mod(F.col(f"`{id_col}`"), 4) == 2).alias("held_out"), predict(F.col(f"`{text_col}`")).alias("p"))
     return out.select("doc_id", "held_out", "p.lang_pred", "p.score")

@@ -116,16 +116,19 @@ def fit_ranker(x: np.ndarray, good: np.ndarray, pairs: int = 40_000, seed: int =
 
 
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", sample_rows: int = 6000, seed: int = 0) -> Ranker:
-    """Fits on at most sample_rows labelled documents, the first by a hash of their ids, none of them held out (crc32 of the id modulo 3 is 1)."""
-    known = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull() & (crc_mod(F.col(id_col), 3) != 1))
-    known = known.select(F.col(id_col).alias("doc_id"), F.col(label_col).alias("label")).orderBy(F.xxhash64(F.lit(seed), F.col("doc_id")), "label").limit(sample_rows)
+    """Fits on at most sample_rows labelled documents, the first by a hash of their ids, none of them held out (crc32 of the id modulo 3 is 1).
+
+    The bound holds for the labels drawn and, where ids repeat, for the documents that have them.
+    """
+    known = labels.where(F.col(f"`{label_col}`").isNotNull() & F.col(f"`{id_col}`").isNotNull() & (crc_mod(F.col(f"`{id_col}`"), 3) != 1))
+    known = known.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{label_col}`").alias("label")).orderBy(F.xxhash64(F.lit(seed), F.col("doc_id")), "label").limit(sample_rows)
 
     @F.pandas_udf("array<double>")
     def described(texts: pd.Series) -> pd.Series:
         return pd.Series([features(t) for t in texts], dtype=object)
 
-    texts = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).join(F.broadcast(known), "doc_id")  # sample_rows rows at most
-    rows = texts.select("doc_id", described("text").alias("x"), "label").orderBy("doc_id", "label").limit(4 * sample_rows).collect()
+    texts = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`").alias("text")).join(F.broadcast(known), "doc_id")  # sample_rows rows at most
+    rows = texts.select("doc_id", described("text").alias("x"), "label").orderBy(F.xxhash64(F.lit(seed), "doc_id"), "doc_id", "label", "x").limit(sample_rows).collect()
     x = np.array([r["x"] for r in rows]).reshape(-1, len(FEATURES))
     return fit_ranker(x, np.array([r["label"] == 1 for r in rows], bool), seed=seed)
 
@@ -146,7 +149,7 @@ def score_documents(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id",
     score is 0.5. A map over the documents: nothing is shuffled.
     """
     ranker = train(docs, labels, id_col, text_col, **settings)
-    out = docs.select(F.col(id_col).cast("long").alias("doc_id"), (crc_mod(F.col(id_col), 3) == 1).alias("held_out"), score_column(ranker)(F.col(text_col)).alias("score"))
+    out = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), (crc_mod(F.col(f"`{id_col}`"), 3) == 1).alias("held_out"), score_column(ranker)(F.col(f"`{text_col}`")).alias("score"))
     return out.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
 
 

@@ -154,18 +154,19 @@ def _batches(parts: Iterator[pa.RecordBatch], most: int = 1 << 24) -> Iterator[t
             at = end
 
 
-def write_token_shards(docs: DataFrame, path: str | None = None, id_col: str = "doc_id", text_col: str = "text", vocabulary_path: str = DEFAULT_VOCABULARY, seq_len: int = 512, rows_per_shard: int = 16384, key: int = 0, eos: int = 50256) -> DataFrame:
+def write_token_shards(docs: DataFrame, path: str | None = None, id_col: str = "doc_id", text_col: str = "text", vocabulary_path: str | None = None, seq_len: int = 512, rows_per_shard: int = 16384, key: int = 0, eos: int = 50256) -> DataFrame:
     """Writes the shards and an index; returns the index: a row per sequence with doc_id, piece, slot, shard, byte_offset, n_tokens, token_crc32.
 
-    A document is its tokens and `eos`, cut into pieces of seq_len tokens; the last is padded with eos. Null and empty texts are one
+    The vocabulary is read by the driver from vocabulary_path, or from the path in the setting spark.pitspark.vocabulary. A document is its tokens and `eos`, cut into pieces of seq_len tokens; the last is padded with eos. Null and empty texts are one
     eos. Null ids are stored as the least long. Repeated rows are sequences of their own; other columns are ignored; an
     empty table writes an index without rows. docs must be a stored table (or be checkpointed), as it is read twice; should
     the partitions differ between the passes, the job fails instead of writing overlapping slots.
     """
     spark = docs.sparkSession
     path = path or new_path(spark, "tokens")
+    vocabulary_path = vocabulary_path or spark.conf.get("spark.pitspark.vocabulary", DEFAULT_VOCABULARY)
     vocabulary = spark.sparkContext.broadcast(open(vocabulary_path, "rb").read())  # one vocabulary file, about a megabyte
-    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    texts = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text"))
 
     def tokens_of(texts: pa.Array) -> list[bytes]:
         t = tokenizer(vocabulary.value)
@@ -178,19 +179,20 @@ def write_token_shards(docs: DataFrame, path: str | None = None, id_col: str = "
         yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId()], pa.int32()), pa.array([n], pa.int64())], ["part", "n"])
 
     counted = sorted((r["part"], r["n"]) for r in texts.mapInArrow(count, "part int, n long").collect())  # a row per partition
-    base, total = {}, 0
+    sizes = np.zeros(counted[-1][0] + 1 if counted else 1, np.int64)
     for part, n in counted:
-        base[part] = (total, n)
-        total += n
+        sizes[part] = n
+    bounds = np.concatenate(([0], np.cumsum(sizes)))
+    total = int(bounds[-1])
+    places = spark.sparkContext.broadcast(bounds)  # eight bytes per partition
     n_shards = max(1, -(-total // rows_per_shard))
 
     def number(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at, end = base.get(TaskContext.get().partitionId(), (0, 0))
-        end += at
+        me = TaskContext.get().partitionId()
+        at, end = (int(x) for x in places.value[me : me + 2]) if me + 1 < len(places.value) else (0, 0)
         for docs_here, some in _batches(parts):
             t = tokenizer(vocabulary.value)
             width = t.dtype.itemsize * seq_len
-            pad = t.dtype.type(eos).tobytes() * seq_len
             ids, pieces, lengths, rows = [], [], [], []
             for doc, raw in zip(docs_here, tokens_of(some)):
                 for k, i in enumerate(range(0, len(raw), width)):
@@ -198,7 +200,7 @@ def write_token_shards(docs: DataFrame, path: str | None = None, id_col: str = "
                     ids.append(doc)
                     pieces.append(k)
                     lengths.append(len(piece) // t.dtype.itemsize)
-                    rows.append(piece + pad[len(piece) :])
+                    rows.append(piece)  # padded where it is written
             if at + len(rows) > end:
                 raise RuntimeError(MOVED)
             slots = feistel(np.arange(at, at + len(rows)), total, key)
@@ -215,6 +217,8 @@ def write_token_shards(docs: DataFrame, path: str | None = None, id_col: str = "
     def write(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, root = filesystem(path)
         out = None
+        dtype = tokenizer(vocabulary.value).dtype
+        pad, width = dtype.type(eos).tobytes() * seq_len, dtype.itemsize
         for part in parts:
             if not part.num_rows:
                 continue
@@ -224,9 +228,9 @@ def write_token_shards(docs: DataFrame, path: str | None = None, id_col: str = "
                 fs.create_dir(f"{root}/shards", recursive=True)
                 temp, final = f"{root}/shards/.{shard}-{TaskContext.get().taskAttemptId()}", f"{root}/shards/{shard:08d}.bin"
                 out = fs.open_output_stream(temp)
-            out.write(b"".join([struct.pack(HEADER, NULL_ID if d is None else d, k, n) + raw for d, k, n, raw in zip(ids, pieces, lengths, rows)]))
-            stride, width = HEADER_BYTES + len(rows[0]), len(rows[0]) // seq_len
-            sums = [zlib.crc32(raw[: n * width]) for raw, n in zip(rows, lengths)]
+            out.write(b"".join([struct.pack(HEADER, NULL_ID if d is None else d, k, n) + raw + pad[len(raw) :] for d, k, n, raw in zip(ids, pieces, lengths, rows)]))
+            stride = HEADER_BYTES + seq_len * width
+            sums = [zlib.crc32(raw) for raw in rows]
             place = np.array(slots, np.int64)
             yield pa.RecordBatch.from_arrays(
                 [part.column(0), part.column(1), part.column(2), pa.array((place // rows_per_shard).astype(np.int32)), pa.array(place % rows_per_shard * stride), part.column(3), pa.array(sums, pa.int64())],

@@ -15,7 +15,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from pitspark.llm import components, decontaminate, exact_dedup, langid, mixing, quality, secrets, sharding, simhash, token_output, warc
+from pitspark.llm import components, decontaminate, exact_dedup, langid, mixing, quality, queries, secrets, sharding, simhash, token_output, warc
 from pitspark.llm.common import Scratch, crc_mod, filesystem, new_path, words_in
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, size int, row string, key long, bucket int, fp string"
@@ -61,6 +61,27 @@ def test_sharding(spark, odd, nothing):
     assert sharding.shard_documents(same, 4, bucket_bytes=1000).groupBy("shard").count().where("count = 75").count() == 4
 
 
+def test_sharding_of_odd_columns(spark):
+    """Map columns, dots in names, and the digest columns of the registered query."""
+    df = spark.createDataFrame([(i, None if i == 3 else f"té{i}") for i in range(50)] + [(7, "té7")] * 3, "doc_id long, text string")
+    df = df.withColumn("a.b", F.col("doc_id")).withColumn("m", F.create_map(F.lit("k"), F.col("doc_id"))).withColumn("deep", F.struct(F.create_map(F.lit("k"), F.lit(1)).alias("m")))
+    rows = sharding.write_shards(sharding.shard_documents(df, 4, 2, bucket_bytes=200)).select("shard", "slot", "row.*").collect()
+    assert collections.Counter((r["doc_id"], r["a.b"], r["m"]["k"]) for r in rows) == collections.Counter((r[0], r[0], r[0]) for r in df.collect())
+    assert sorted(collections.Counter(r["shard"] for r in rows).values()) == [13, 13, 13, 14]
+
+
+def test_sharding_query_against_plain_python(spark):
+    got = queries.op1_sharding(spark, "/root/testdata/sf0.001").collect()
+    docs = {r["doc_id"]: r["text"] for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect()}
+    assert sorted(r["doc_id"] for r in got) == sorted(docs)
+    for r in got:
+        raw = (docs[r["doc_id"]] or "").encode()
+        assert (r["size"], r["text_crc32"], r["law"], r["grown_shard"]) == (len(raw) + 16, zlib.crc32(raw), "rows", None)
+    n = collections.Counter(r["shard"] for r in got)
+    assert set(n) <= set(range(40)) and max(n.values()) - min(n[k] for k in range(40)) <= 1
+    assert all(sorted(r["slot"] for r in got if r["shard"] == k) == list(range(n[k])) for k in n)
+
+
 def brute_fingerprint(text, k):
     toks = [w for w in re.split(r"[\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or "")) if w]
     if not toks:
@@ -613,6 +634,58 @@ def test_language_filters(spark, odd, nothing):
     assert (f.false_positive < 0.2).all()
 
 
+def brute_language(sets, text):
+    """Counts of n-grams in plain sets; the filters' answer has to agree where it is clear."""
+    raw = (" " + " ".join(w for w in re.split(r"[\W\d_]+", text.lower()) if w) + " ").encode()
+    found = [int.from_bytes(raw[i : i + 4], "big") for i in range(len(raw) - 3)]
+    return {k: sum(g in s for g in found) for k, s in sets.items()}
+
+
+def test_language_query_against_plain_sets(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    rows = docs.select("doc_id", "lang", "text").collect()
+    tally = collections.defaultdict(collections.Counter)
+    for r in rows:
+        if r["lang"] is not None and zlib.crc32(str(r["doc_id"]).encode()) % 4 != 2:
+            for g in langid.grams(r["text"] or ""):
+                tally[r["lang"]].update(g.tolist())
+    sets = {k: {g for g, _ in sorted(c.items(), key=lambda x: (-x[1], x[0]))[:3000]} for k, c in tally.items()}
+    got = {r["doc_id"]: r for r in queries.op9_langid(spark, "/root/testdata/sf0.01").collect()}
+    assert len(got) == len(rows)
+    for r in rows:
+        a = got[r["doc_id"]]
+        assert a["held_out"] == (zlib.crc32(str(r["doc_id"]).encode()) % 4 == 2)
+        if not any(c.isalpha() for c in r["text"] or ""):
+            assert a["lang_pred"] == "und"
+            continue
+        n = brute_language(sets, r["text"])
+        best, second = sorted(n.values())[-1], sorted(n.values())[-2]
+        if best > 1.1 * second + 3:
+            assert n[a["lang_pred"]] == best
+    f = langid.Filters.build({k: np.array(sorted(v)) for k, v in sets.items()})
+    assert f.predict("½ ²Ⅷ")[0] == "und" and f.predict("日本語")[1] < 0.5 and f.predict("½ the")[0] != "und"
+
+
+def test_quality_query_against_a_plain_fit(spark):
+    """The registered scores from a plain gradient ascent on the same pairs' likelihood."""
+    sf = "/root/testdata/sf0.01"
+    texts = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    labels = {r["doc_id"]: r["quality"] for r in spark.read.parquet(f"{sf}/labels.parquet").collect() if r["quality"] is not None}
+    known = [d for d in labels if zlib.crc32(str(d).encode()) % 3 != 1 and d in texts]
+    x, y = np.array([quality.features(texts[d]) for d in known]), np.array([labels[d] == 1 for d in known])
+    z = np.clip((x - x.mean(axis=0)) / np.where(x.std(axis=0) > 1e-12, x.std(axis=0), 1.0), -8, 8)
+    rng = np.random.default_rng(3)
+    diff = z[rng.choice(np.flatnonzero(y), 20_000)] - z[rng.choice(np.flatnonzero(~y), 20_000)]
+    w = np.zeros(z.shape[1])
+    for _ in range(3000):
+        w += 0.5 * ((1 / (1 + np.exp(np.clip(diff @ w, -40, 40)))) @ diff / len(diff) - 1e-3 * w)
+    got = {r["doc_id"]: r for r in queries.op7_quality(spark, sf).collect()}
+    assert len(got) == len(texts) and all(r["predicted"] == (r["score"] >= 0.5) and r["held_out"] == (zlib.crc32(str(d).encode()) % 3 == 1) for d, r in got.items())
+    a, b = z @ w, np.array([got[d]["score"] for d in known])
+    b = np.log(np.clip(b, 1e-15, None) / np.clip(1 - b, 1e-15, None))
+    assert np.corrcoef(np.argsort(np.argsort(a)), np.argsort(np.argsort(b)))[0, 1] > 0.98
+
+
 def test_rare_language_has_a_filter(spark):
     rng = random.Random(4)
     docs = [(i, prose(rng, 12), "xx" if i % 300 == 0 else "en") for i in range(4800)]
