@@ -55,6 +55,12 @@ def run_config(spark: SparkSession, cfg: io.RunConfig) -> dict:
     return io.json_safe({"metrics": {k: validation.get(k) for k in names}, "validation": {**validation, "pbo": pbo, "bootstrap95": ci, "bootstrap": {"ci95": ci}}, "counts": counts, "equity_curve": curve, "concerns": validation.get("concerns", []), "final_equity": curve[-1][1] if curve else cfg.initial_cash})
 
 
+def show_all(df) -> None:
+    """Prints every row as a line of JSON, a partition at a time."""
+    for row in df.toLocalIterator():
+        print(json.dumps(row.asDict(True), default=str))
+
+
 def cmd_data(a) -> int:
     spark = session()
     if a.action == "generate-synthetic":
@@ -62,14 +68,14 @@ def cmd_data(a) -> int:
         return 0
     bars = io.read_series(spark, a.path)
     issues = audit.audit_bars(bars)
-    (issues.orderBy("symbol", "code", "idx") if a.action == "audit" else audit.score_quality(issues)).show(20, False)
+    show_all(issues.orderBy("symbol", "code", "idx") if a.action == "audit" else audit.score_quality(issues).orderBy("symbol"))
     return int(a.strict and not issues.where("severity = 'ERROR'").isEmpty())
 
 
 def cmd_run(a) -> int:
     cfg = io.load_run_config(a.config)
     book = ledger.Ledger(a.ledger)
-    record = book.create(cfg.name, cfg.strategy, {**cfg.to_dict(), "_git_commit": ledger.environment()["git_commit"]})
+    record = book.create(cfg.name, cfg.strategy, {**cfg.to_dict(), "_environment": ledger.environment(seed=cfg.to_dict().get("seed"))})
     results = run_config(session(), cfg)
     book.complete(record["experiment_id"], results)
     io.write_results(Path(a.ledger) / record["experiment_id"] / "results.json", results)
@@ -95,9 +101,9 @@ def cmd_stress(a) -> int:
     base = cfg.kernel()
     runs = bt.runs_frame(spark, bt.cost_sweep(base) + bt.delay_sweep(base) + bt.slippage_sweep(base))
     results = bt.sweep_results(bt.backtest(bars, config_signals(bars, cfg), runs), runs).cache()
-    results.orderBy("dimension", "size").show(40, False)
-    bt.degradation(results).show(truncate=False)
-    bt.robustness(results).show(truncate=False)
+    show_all(results.orderBy("dimension", "size"))
+    show_all(bt.degradation(results))
+    show_all(bt.robustness(results))
     return 0
 
 
@@ -113,14 +119,14 @@ def _with_index(bars):
 
 
 def cmd_regimes(a) -> int:
-    regimes.ensemble_regimes(_with_index(_bars(a))).groupBy("symbol", "regime").agg(F.count(F.lit(1)).alias("bars"), F.avg("dominant").alias("consensus")).show(truncate=False)
+    show_all(regimes.ensemble_regimes(_with_index(_bars(a))).groupBy("symbol", "regime").agg(F.count(F.lit(1)).alias("bars"), F.avg("dominant").alias("consensus")))
     return 0
 
 
 def cmd_volatility(a) -> int:
     bars = _with_index(_bars(a))
     r = bars.select("symbol", "idx", log_return(F.col("close"), series()).alias("r")).where("r is not null")
-    volatility.benchmark_models(r).show(40, False)
+    show_all(volatility.benchmark_models(r))
     return 0
 
 

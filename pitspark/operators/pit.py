@@ -1,8 +1,9 @@
 """Point-in-time access: what a decision at a bar may see.
 
-A bar is visible at decision i if it is not after bar i and coalesce(available_time, ts) <= ts of bar i. Bars becoming
-available and decisions are merged into one time-ordered series, so counts and as-of lookups are one running window
-per symbol: no range join, and late rows cost nothing extra.
+A bar is visible at decision i if it is not after bar i in its series and coalesce(available_time, ts) <= ts of bar i. Bars becoming
+available and decisions are merged into one series per symbol, ordered by time, then by index, so counts and as-of
+lookups are one running window per symbol: no range join, and late rows cost nothing extra. Times may repeat, as long as
+they do not fall along the index (`order_violations` with strict=False tells).
 """
 
 from __future__ import annotations
@@ -11,35 +12,69 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+#: What a decision may read of a bar.
+FIELDS = ("open", "high", "low", "close", "volume")
+
+
+def _fields(bars: DataFrame) -> list[str]:
+    return [c for c in FIELDS if c in bars.columns]
+
 
 def _merged(bars: DataFrame) -> DataFrame:
     known = F.greatest(F.coalesce("available_time", "ts"), F.col("ts"))
-    arrivals = bars.select("symbol", known.alias("at"), F.lit(0).alias("kind"), F.lit(None).cast("long").alias("decision"), F.lit(1).alias("one"), F.struct("idx", "ts", "close").alias("bar"))
-    decisions = bars.select("symbol", F.col("ts").alias("at"), F.lit(1).alias("kind"), F.col("idx").alias("decision"), F.lit(0).alias("one"), F.lit(None).cast(arrivals.schema["bar"].dataType).alias("bar"))
+    arrivals = bars.select("symbol", known.alias("at"), "idx", F.lit(0).alias("kind"), F.lit(1).alias("one"), F.struct("idx", "ts", *_fields(bars)).alias("bar"))
+    decisions = bars.select("symbol", F.col("ts").alias("at"), "idx", F.lit(1).alias("kind"), F.lit(0).alias("one"), F.lit(None).cast(arrivals.schema["bar"].dataType).alias("bar"))
     return arrivals.unionByName(decisions)
 
 
 def snapshot(bars: DataFrame) -> DataFrame:
-    """(symbol, decision_index, n_usable, last_idx, last_ts, last_close) for every bar as a decision time."""
-    w = Window.partitionBy("symbol").orderBy("at", "kind").rowsBetween(Window.unboundedPreceding, 0)
-    seen = _merged(bars).select("symbol", "decision", F.sum("one").over(w).alias("n_usable"), F.max("bar").over(w).alias("bar"))
-    return seen.where("decision is not null").select("symbol", F.col("decision").alias("decision_index"), "n_usable", F.col("bar.idx").alias("last_idx"), F.col("bar.ts").alias("last_ts"), F.col("bar.close").alias("last_close"))
+    """(symbol, decision_index, n_usable, last_idx, last_ts, last_close and the other fields that bars has) for every bar as a decision time.
+
+    Of bars and decisions at one time, those of a lower index come first: a bar of the same time but after the decision stays unseen.
+    """
+    w = Window.partitionBy("symbol").orderBy("at", "idx", "kind").rowsBetween(Window.unboundedPreceding, 0)
+    seen = _merged(bars).select("symbol", "idx", "kind", F.sum("one").over(w).alias("n_usable"), F.max("bar").over(w).alias("bar")).where("kind = 1")
+    return seen.select("symbol", F.col("idx").alias("decision_index"), "n_usable", F.col("bar.idx").alias("last_idx"), F.col("bar.ts").alias("last_ts"), *[F.col(f"bar.{c}").alias(f"last_{c}") for c in _fields(bars)])
 
 
 def visible(bars: DataFrame, decisions: DataFrame) -> DataFrame:
-    """The visible bars of each chosen decision (symbol, decision_index): rows (symbol, decision_index, idx, ts, close).
+    """The visible bars of each chosen decision (symbol, decision_index): rows (symbol, decision_index, idx, ts, and the fields of the bar).
 
     Its result holds a prefix per decision and so grows with the square of a series' length; choose few decisions.
     """
     d = decisions.select("symbol", "decision_index").join(bars.select("symbol", F.col("idx").alias("decision_index"), F.col("ts").alias("decision_ts")), ["symbol", "decision_index"])
     j = bars.join(d, "symbol").where((F.col("idx") <= F.col("decision_index")) & (F.coalesce("available_time", "ts") <= F.col("decision_ts")))
-    return j.select("symbol", "decision_index", "idx", "ts", "close")
+    return j.select("symbol", "decision_index", "idx", "ts", *_fields(bars))
+
 
+def recent(bars: DataFrame, most: int | None = None) -> DataFrame:
+    """The last `most` visible bars (None: all) of each decision from which some bar is hidden: (symbol, decision_index, decision_ts, n_usable, place, idx, ts, fields).
 
-def audit_stream(bars: DataFrame) -> DataFrame:
-    """Decisions whose snapshot shows a bar from after the decision: none, if point-in-time access holds."""
-    at = bars.select("symbol", F.col("idx").alias("decision_index"), "ts")
-    return snapshot(bars).join(at, ["symbol", "decision_index"]).where("last_ts > ts")
+    place is the bar's position among the visible ones. A decision looks at most + hidden bars back, met by an equality
+    join on (symbol, idx): rows grow with the late decisions times `most`, not with the square of the series.
+    """
+    seen = snapshot(bars).select("symbol", "decision_index", "n_usable").where("n_usable <= decision_index")
+    at = bars.select("symbol", F.col("idx").alias("decision_index"), F.col("ts").alias("decision_ts"))
+    late = seen.join(at, ["symbol", "decision_index"])
+    first = F.lit(0).cast("long") if most is None else F.greatest(F.lit(0), 2 * F.col("decision_index") + 2 - F.col("n_usable") - most - F.col("decision_index")).cast("long")
+    wanted = late.select("*", F.explode(F.sequence(first, F.col("decision_index").cast("long"))).alias("idx"))
+    known = F.coalesce("available_time", "ts")
+    j = wanted.join(bars.select("symbol", "idx", "ts", known.alias("known"), *_fields(bars)), ["symbol", "idx"]).where("known <= decision_ts").drop("known")
+    back = F.row_number().over(Window.partitionBy("symbol", "decision_index").orderBy(F.desc("idx")))
+    j = j.withColumn("place", (F.col("n_usable") - back).cast("long"))
+    return j if most is None else j.where(F.col("place") >= F.col("n_usable") - most)
+
+
+def audit_stream(bars: DataFrame, shown: DataFrame | None = None) -> DataFrame:
+    """Decisions that were shown a bar they may not see: rows of shown (symbol, decision_index, last_idx), with the bar's ts and known.
+
+    Without `shown` the snapshots themselves are audited, of which none may come out.
+    """
+    shown = snapshot(bars) if shown is None else shown
+    at = bars.select("symbol", F.col("idx").alias("decision_index"), F.col("ts").alias("decision_ts"))
+    bar = bars.select("symbol", F.col("idx").alias("last_idx"), F.coalesce("available_time", "ts").alias("known"))
+    j = shown.select("symbol", "decision_index", "last_idx").where("last_idx is not null").join(at, ["symbol", "decision_index"]).join(bar, ["symbol", "last_idx"])
+    return j.where("last_idx > decision_index or known > decision_ts").select("symbol", "decision_index", "last_idx", "decision_ts", "known")
 
 
 def returns(bars: DataFrame) -> DataFrame:

@@ -51,7 +51,7 @@ def regime_features(bars: DataFrame, window: int = 20, fast: int = 5) -> DataFra
 
 
 def normalize_features(features: DataFrame, names: tuple[str, ...] = FEATURES, by: str = "symbol") -> DataFrame:
-    """z-scores with the population deviation of defined values; zeros where it vanishes. Two aggregates joined back by key."""
+    """z-scores with the population deviation of defined values; zeros where it vanishes. Aggregates as windows."""
     w = Window.partitionBy(by)
     out = features
     for c in names:
@@ -78,60 +78,90 @@ def map_states(labelled: DataFrame, by: str = "symbol") -> DataFrame:
     return labelled.join(ranked.select(by, "label", "regime"), [by, "label"], "left").withColumn("regime", F.coalesce("regime", F.lit(-1)))
 
 
-def _start(r: np.ndarray, k: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
-    rng = np.random.default_rng(seed)
-    means = r[rng.choice(len(r), size=k, replace=len(r) < k)] + rng.normal(0.0, 1e-3, k)
-    return means, np.full(k, max(float(r.var()) if len(r) > 1 else 1.0, FLOOR))
+def _normal(r: np.ndarray, centre: np.ndarray, spread: np.ndarray) -> np.ndarray:
+    """Log densities (n, k)."""
+    return -((r[:, None] - centre) ** 2) / (2 * spread) - np.log(2 * np.pi * spread) / 2
 
 
-def _log_density(r: np.ndarray, means: np.ndarray, var: np.ndarray) -> np.ndarray:
-    return -0.5 * (r[:, None] - means) ** 2 / var - 0.5 * np.log(2 * np.pi * var)
+def _quantile_states(r: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Starting centres and variances: those of k slices of the sorted values, by distance from the median.
 
+    Slices of |r - median| tell calm from wild stretches, which returns differ in more than in their mean.
+    """
+    far = np.argsort(np.abs(r - np.median(r)), kind="stable")
+    slices = np.array_split(r[far], k)
+    floor = max(FLOOR, float(r.var()) * 1e-3)
+    return np.array([x.mean() if len(x) else 0.0 for x in slices]), np.array([max(float(x.var()), floor) if len(x) else floor for x in slices])
 
-def mixture(r: np.ndarray, k: int = 3, seed: int = 0, rounds: int = 100) -> np.ndarray:
-    """Responsibilities (n, k) of a Gaussian mixture by expectation maximisation."""
-    k = 1 if len(r) < k else k
-    means, var = _start(r, k, seed)
-    share = np.full(k, 1.0 / k)
-    resp = np.zeros((len(r), k))
+
+def _moments(r: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(mass, centre, variance) of each state by weights (n, k)."""
+    mass = weight.sum(axis=0) + FLOOR
+    centre = weight.T @ r / mass
+    return mass, centre, np.maximum(weight.T @ (r * r) / mass - centre**2, FLOOR)
+
+
+def mixture(r: np.ndarray, k: int = 3, rounds: int = 200, tolerance: float = 1e-8) -> np.ndarray:
+    """Responsibilities (n, k) of a Gaussian mixture, fitted until the mean log likelihood gains less than the tolerance."""
+    k = max(1, min(k, len(r)))
+    centre, spread = _quantile_states(r, k)
+    share, before = np.full(k, 1 / k), -np.inf
     for _ in range(rounds):
-        z = _log_density(r, means, np.maximum(var, FLOOR)) + np.log(share)
-        resp = np.exp(z - z.max(axis=1, keepdims=True))
-        resp /= np.where((s := resp.sum(axis=1, keepdims=True)) > 0, s, 1.0)
-        mass = np.maximum(resp.sum(axis=0), FLOOR)
-        share, means = mass / len(r), resp.T @ r / mass
-        var = np.maximum((resp * (r[:, None] - means) ** 2).sum(axis=0) / mass, FLOOR)
-    return resp
-
-
-def hidden_markov(r: np.ndarray, k: int = 3, seed: int = 0, rounds: int = 100) -> tuple[np.ndarray, np.ndarray]:
-    """(state with the highest forward probability, posterior) of a Gaussian hidden Markov model by scaled forward-backward passes."""
-    k = 1 if len(r) < k else k
-    n = len(r)
-    means, var = _start(r, k, seed)
-    begin = np.full(k, 1.0 / k)
-    move = np.full((k, k), 0.01 / (k - 1) if k > 1 else 1.0)
-    np.fill_diagonal(move, 0.99 if k > 1 else 1.0)
+        joint = _normal(r, centre, spread) + np.log(share)
+        total = np.logaddexp.reduce(joint, axis=1)
+        weight = np.exp(joint - total[:, None])
+        if total.mean() - before < tolerance:
+            break
+        before = total.mean()
+        mass, centre, spread = _moments(r, weight)
+        share = mass / mass.sum()
+    return weight
+
+
+class Chain:
+    """A Gaussian hidden Markov chain in log space."""
+
+    def __init__(self, centre: np.ndarray, spread: np.ndarray, stay: float = 0.95):
+        k = len(centre)
+        self.centre, self.spread = centre, spread
+        self.first = np.full(k, -np.log(k))
+        self.step = np.log(np.full((k, k), (1 - stay) / max(1, k - 1)) + (stay - (1 - stay) / max(1, k - 1)) * np.eye(k)) if k > 1 else np.zeros((1, 1))
+
+    def messages(self, r: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(log emissions, forward and backward messages), each (n, k)."""
+        emit = _normal(r, self.centre, self.spread)
+        ahead, back = np.empty_like(emit), np.zeros_like(emit)
+        ahead[0] = self.first + emit[0]
+        for t in range(1, len(r)):
+            ahead[t] = np.logaddexp.reduce(ahead[t - 1][:, None] + self.step, axis=0) + emit[t]
+        for t in range(len(r) - 1, 0, -1):
+            back[t - 1] = np.logaddexp.reduce(self.step + (emit[t] + back[t])[None, :], axis=1)
+        return emit, ahead, back
+
+    def improve(self, r: np.ndarray) -> float:
+        """One round of expectation maximisation; the log likelihood before it."""
+        emit, ahead, back = self.messages(r)
+        likelihood = float(np.logaddexp.reduce(ahead[-1]))
+        state = np.exp(ahead + back - likelihood)
+        moves = np.exp(ahead[:-1, :, None] + self.step + (emit[1:] + back[1:])[:, None, :] - likelihood).sum(axis=0) + FLOOR
+        _, self.centre, self.spread = _moments(r, state)
+        self.first = np.log(state[0] + FLOOR)
+        self.step = np.log(moves / moves.sum(axis=1, keepdims=True))
+        return likelihood
+
+
+def hidden_markov(r: np.ndarray, k: int = 3, rounds: int = 100, tolerance: float = 1e-6) -> tuple[np.ndarray, np.ndarray]:
+    """(state that is likeliest by the values so far, posterior by all values) of a Gaussian hidden Markov chain, fitted until the likelihood of a value gains less than the tolerance."""
+    chain = Chain(*_quantile_states(r, max(1, min(k, len(r)))))
+    before = -np.inf
     for _ in range(rounds):
-        emit = np.exp(_log_density(r, means, np.maximum(var, FLOOR)))
-        alpha, beta, scale = np.empty((n, k)), np.ones((n, k)), np.empty(n)
-        for t in range(n):
-            a = (begin if t == 0 else alpha[t - 1] @ move) * emit[t]
-            scale[t] = max(a.sum(), FLOOR)
-            alpha[t] = a / scale[t]
-        for t in range(n - 2, -1, -1):
-            beta[t] = move @ (emit[t + 1] * beta[t + 1]) / scale[t + 1]
-        post = alpha * beta
-        post /= np.maximum(post.sum(axis=1, keepdims=True), FLOOR)
-        pair = alpha[:-1, :, None] * move * (emit[1:] * beta[1:])[:, None, :]
-        flow = (pair / np.maximum(pair.sum(axis=(1, 2), keepdims=True), FLOOR)).sum(axis=0)
-        leave = post[:-1].sum(axis=0)[:, None]
-        move = flow / np.where(leave > FLOOR, leave, 1.0)
-        move = np.nan_to_num(move / np.maximum(move.sum(axis=1, keepdims=True), FLOOR))
-        begin, mass = post[0], np.maximum(post.sum(axis=0), FLOOR)
-        means = post.T @ r / mass
-        var = np.maximum((post * (r[:, None] - means) ** 2).sum(axis=0) / mass, FLOOR)
-    return alpha.argmax(axis=1), post
+        now = chain.improve(r) / len(r)
+        if now - before < tolerance:
+            break
+        before = now
+    _, ahead, back = chain.messages(r)
+    both = ahead + back
+    return ahead.argmax(axis=1), np.exp(both - np.logaddexp.reduce(both, axis=1)[:, None])
 
 
 def best_split(x: np.ndarray) -> tuple[float, int]:
@@ -175,12 +205,12 @@ def _per_symbol(returns: DataFrame, label, by: str = "symbol") -> DataFrame:
     return picked.groupBy(by).applyInPandas(run, f"{by} string, idx long, r double, label int")
 
 
-def gmm_regimes(returns: DataFrame, k: int = 3, seed: int = 0, rounds: int = 100) -> DataFrame:
-    return _per_symbol(returns, lambda r: mixture(r, k, seed, rounds).argmax(axis=1))
+def gmm_regimes(returns: DataFrame, k: int = 3, rounds: int = 200) -> DataFrame:
+    return _per_symbol(returns, lambda r: mixture(r, k, rounds).argmax(axis=1))
 
 
-def hmm_regimes(returns: DataFrame, k: int = 3, seed: int = 0, rounds: int = 100) -> DataFrame:
-    return _per_symbol(returns, lambda r: hidden_markov(r, k, seed, rounds)[0])
+def hmm_regimes(returns: DataFrame, k: int = 3, rounds: int = 100) -> DataFrame:
+    return _per_symbol(returns, lambda r: hidden_markov(r, k, rounds)[0])
 
 
 def change_point_regimes(returns: DataFrame, most: int = 3, penalty: float = 1.0) -> DataFrame:
@@ -206,13 +236,13 @@ def ensemble(labels: DataFrame, by: str = "symbol") -> DataFrame:
     return per.select(by, "idx", (-F.col("best.k")).cast("int").alias("regime"), (F.col("best.v") / F.col("models")).alias("dominant"), *[(F.col(f"v{k}") / F.col("models")).alias(f"p{k}") for k in range(4)])
 
 
-def ensemble_regimes(bars: DataFrame, seed: int = 0) -> DataFrame:
+def ensemble_regimes(bars: DataFrame) -> DataFrame:
     """The vote of rules, mixture, hidden Markov states and segments, aligned on the bar's index."""
     f = regime_features(bars)
     r = f.select("symbol", "idx", "r")
     rule = rule_regimes(f).join(f.where("trend is not null").select("symbol", "idx"), ["symbol", "idx"]).select("symbol", "idx", F.lit("rule").alias("model"), F.col("label").alias("regime"))
     out = rule
-    for name, labelled in (("gmm", gmm_regimes(r, 4, seed)), ("hmm", hmm_regimes(r, 4, seed, 20)), ("segments", change_point_regimes(r))):
+    for name, labelled in (("gmm", gmm_regimes(r, 4)), ("hmm", hmm_regimes(r, 4, 20)), ("segments", change_point_regimes(r))):
         out = out.unionByName(map_states(labelled).select("symbol", "idx", F.lit(name).alias("model"), "regime"))
     return ensemble(out)
 

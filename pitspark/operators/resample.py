@@ -31,7 +31,7 @@ def iid(r: np.ndarray, rng: np.random.Generator) -> np.ndarray:
 def block(size: int) -> Callable:
     def draw(r: np.ndarray, rng: np.random.Generator) -> np.ndarray:
         if size > len(r):
-            raise ValueError("a block is longer than the series")
+            return np.full(len(r), np.nan)  # no such block: the statistic is undefined
         starts = rng.integers(0, len(r) - size + 1, -(-len(r) // size))
         return r[(starts[:, None] + np.arange(size)).ravel()[: len(r)]]
 
@@ -68,8 +68,9 @@ def replicates(returns: DataFrame, by: str, n_iter: int = 1000, draw: Callable =
         r, part = pdf.sort_values("idx")["r"].to_numpy(float), int(pdf["part"].iat[0])
         ids = range(part * size, min(n_iter, (part + 1) * size))
         one = np.random.default_rng(seed)
-        values = [statistic(draw(r, one if sequential else np.random.default_rng([seed, i]))) for i in ids]
-        return pd.DataFrame({by: pdf[by].iat[0], "replicate": list(ids), "value": values})
+        drawn = (draw(r, one if sequential else np.random.default_rng([seed, i])) for i in ids)
+        values = [None if len(d) and np.isnan(d).all() else statistic(d) for d in drawn]
+        return pd.DataFrame({by: pdf[by].iat[0], "replicate": list(ids), "value": pd.Series(values, dtype=float)})
 
     return rows.groupBy(by, "part").applyInPandas(run, f"{by} {kind}, replicate long, value double")
 

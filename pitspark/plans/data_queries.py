@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ..functions import columns as C
 from ..operators import audit, indicators, pit, signals
@@ -66,19 +67,32 @@ def fingerprint_text(spark, sf):
 _SEEN = "seen AS (SELECT d.symbol, d.idx AS decision_index, count(*) AS n_usable, max(v.idx) AS last_idx, arg_max(v.ts, v.idx) AS last_ts, arg_max(v.close, v.idx) AS last_close FROM late d JOIN late v ON v.symbol = d.symbol AND v.idx <= d.idx AND coalesce(v.available_time, v.ts) <= d.ts GROUP BY ALL)"
 
 
-@query("pit_visible_count", f"WITH {{A5}}, {_SEEN} SELECT symbol, decision_index, n_usable FROM seen")
+_SHOWN = ["symbol", "decision_index", "n_usable", "last_idx", "last_ts", "last_close"]
+
+
+@query("pit_visible_count", f"WITH {{A5T}}, {_SEEN} SELECT symbol, decision_index, n_usable FROM seen")
 def pit_visible_count(spark, sf):
-    return pit.snapshot(A.bars_late(spark, sf)).select("symbol", "decision_index", "n_usable")
+    return pit.snapshot(A.bars_tied(spark, sf)).select("symbol", "decision_index", "n_usable")
 
 
-@query("pit_last_usable_asof", f"WITH {{A5}}, {_SEEN} SELECT symbol, decision_index, last_idx, last_close FROM seen")
+@query("pit_last_usable_asof", f"WITH {{A5T}}, {_SEEN} SELECT symbol, decision_index, last_idx, last_close FROM seen")
 def pit_last_usable_asof(spark, sf):
-    return pit.snapshot(A.bars_late(spark, sf)).select("symbol", "decision_index", "last_idx", "last_close")
+    return pit.snapshot(A.bars_tied(spark, sf)).select("symbol", "decision_index", "last_idx", "last_close")
 
 
 @query("pit_snapshot", f"WITH {{A5}}, {_SEEN} SELECT * FROM seen")
 def pit_snapshot(spark, sf):
-    return pit.snapshot(A.bars_late(spark, sf))
+    return pit.snapshot(A.bars_late(spark, sf)).select(*_SHOWN)
+
+
+@query("pit_snapshot_ties", f"WITH {{A5T}}, {_SEEN} SELECT * FROM seen")
+def pit_snapshot_ties(spark, sf):
+    return pit.snapshot(A.bars_tied(spark, sf)).select(*_SHOWN)
+
+
+@query("pit_last_bar", "WITH {A5T}, j AS (SELECT d.symbol, d.idx AS decision_index, arg_max(v, v.idx) AS x FROM late d JOIN late v ON v.symbol = d.symbol AND v.idx <= d.idx AND v.available_time <= d.ts GROUP BY ALL) SELECT symbol, decision_index, x.idx AS last_idx, x.open AS last_open, x.high AS last_high, x.low AS last_low, x.volume AS last_volume FROM j")
+def pit_last_bar(spark, sf):
+    return pit.snapshot(A.bars_tied(spark, sf)).where("n_usable > 0").select("symbol", "decision_index", "last_idx", "last_open", "last_high", "last_low", "last_volume")
 
 
 _TURN = "yr AS (SELECT *, coalesce(year(make_timestamp(ts * 1000)) <> year(make_timestamp(lag(ts) OVER (PARTITION BY symbol ORDER BY idx) * 1000)), true) AS turn FROM late)"
@@ -95,7 +109,13 @@ def _year_turns(bars):
 @query("pit_visible_rows", f"WITH {{A5}}, {_TURN} SELECT d.symbol, d.idx AS decision_index, v.idx, v.ts, v.close FROM yr d JOIN late v ON v.symbol = d.symbol AND v.idx <= d.idx AND v.available_time <= d.ts WHERE d.turn")
 def pit_visible_rows(spark, sf):
     bars = A.bars_late(spark, sf)
-    return pit.visible(bars, _year_turns(bars))
+    return pit.visible(bars, _year_turns(bars)).select("symbol", "decision_index", "idx", "ts", "close")
+
+
+@query("pit_visible_bars", f"WITH {{A5T}}, {_TURN} SELECT d.symbol, d.idx AS decision_index, v.idx, v.open, v.high, v.low, v.volume FROM yr d JOIN late v ON v.symbol = d.symbol AND v.idx <= d.idx AND v.available_time <= d.ts WHERE d.turn")
+def pit_visible_bars(spark, sf):
+    bars = A.bars_tied(spark, sf)
+    return pit.visible(bars, _year_turns(bars)).select("symbol", "decision_index", "idx", "open", "high", "low", "volume")
 
 
 @query("pit_visible_returns", f"WITH {{A5}}, {_TURN}, v AS (SELECT d.symbol, d.idx AS decision_index, v.idx, v.close FROM yr d JOIN late v ON v.symbol = d.symbol AND v.idx <= d.idx AND v.available_time <= d.ts WHERE d.turn) SELECT symbol, decision_index, idx, round(close / lag(close) OVER (PARTITION BY symbol, decision_index ORDER BY idx) - 1, 8) + 0.0 AS r FROM v")
@@ -105,9 +125,18 @@ def pit_visible_returns(spark, sf):
     return rounded(seen.select("symbol", "decision_index", "idx", C.simple_return(F.col("close"), C.series(("symbol", "decision_index"))).alias("r")), 8)
 
 
-@query("pit_audit_stream", "WITH {A5} SELECT symbol, idx AS decision_index FROM late WHERE false")
+@query("pit_audit_stream", "WITH {A5T} SELECT symbol, idx AS decision_index FROM late WHERE false")
 def pit_audit_stream(spark, sf):
-    return pit.audit_stream(A.bars_late(spark, sf)).select("symbol", "decision_index")
+    return pit.audit_stream(A.bars_tied(spark, sf)).select("symbol", "decision_index")
+
+
+@query("pit_audit_leaks", "WITH {A5T}, n AS (SELECT symbol, idx AS decision_index, ts AS decision_ts, least(idx + idx % 2, max(idx) OVER (PARTITION BY symbol)) AS last_idx FROM late) SELECT n.symbol, n.decision_index, n.last_idx FROM n JOIN late v ON v.symbol = n.symbol AND v.idx = n.last_idx WHERE n.last_idx > n.decision_index OR v.available_time > n.decision_ts")
+def pit_audit_leaks(spark, sf):
+    """The audit of a reader that ignores availability and at every other decision looks a bar ahead."""
+    bars = A.bars_tied(spark, sf)
+    ends = F.max("idx").over(Window.partitionBy("symbol"))
+    shown = bars.select("symbol", F.col("idx").alias("decision_index"), F.least(F.col("idx") + F.col("idx") % 2, ends).alias("last_idx"))
+    return pit.audit_stream(bars, shown).select("symbol", "decision_index", "last_idx")
 
 
 @query("schema_violations", "WITH {A5X} SELECT symbol, idx, 'price_negative' AS rule FROM x WHERE least(open, high, low, close) < 0 UNION ALL SELECT symbol, idx, 'available_before_ts' FROM x WHERE available_time < ts UNION ALL SELECT symbol, idx, 'ts_negative' FROM x WHERE ts < 0")
@@ -298,7 +327,40 @@ def sig_pairs(spark, sf):
     return signals.pairs(A.bars_daily_orders(spark, sf), "1-URGENT", "2-HIGH")
 
 
-@query("sig_random")
+# Each rule on bars that come late: SQL over the visible prefix of every decision, its bars numbered from the latest (k = 1) back.
+_PREFIX = "s AS (SELECT d.symbol, d.idx AS di, d.ts AS dts, v.idx, v.open, v.high, v.low, v.close, row_number() OVER (PARTITION BY d.symbol, d.idx ORDER BY v.idx DESC) AS k, count(*) OVER (PARTITION BY d.symbol, d.idx) AS n FROM late d JOIN late v ON v.symbol = d.symbol AND v.idx <= d.idx AND v.available_time <= d.ts QUALIFY k <= 60)"
+
+
+def _late_signal(name: str, rule, aggregates: str, weight_sql: str, before: str = ""):
+    @query(name, f"WITH {{A5T}}, {_PREFIX}{before}, g AS (SELECT symbol, di, dts, any_value(n) AS n, {aggregates} FROM {'t' if before else 's'} GROUP BY symbol, di, dts) SELECT * FROM (SELECT symbol, di AS idx, dts AS ts, round({weight_sql}, 6) + 0.0 AS target_weight FROM g) WHERE target_weight IS NOT NULL")
+    def run(spark, sf):
+        return rounded(rule(A.bars_tied(spark, sf)))
+
+    return run
+
+
+_late_signal("sig_sma_cross_late", signals.sma_crossover, "avg(close) FILTER (k <= 20) AS quick, avg(close) FILTER (k <= 50) AS calm", "CASE WHEN n >= 50 THEN CASE WHEN quick > calm THEN 1.0 ELSE -1.0 END END")
+_late_signal("sig_momentum_late", signals.momentum, "max(close) FILTER (k = 1) AS c, max(close) FILTER (k = 21) AS p", "CASE WHEN p > 0 THEN CASE WHEN c / p - 1 > 0 THEN 1.0 WHEN c / p - 1 < 0 THEN -1.0 END END")
+_late_signal("sig_mean_reversion_late", signals.mean_reversion, "max(close) FILTER (k = 1) AS c, avg(close) FILTER (k BETWEEN 2 AND 21) AS m, stddev_pop(close) FILTER (k BETWEEN 2 AND 21) AS sd", "CASE WHEN sd > 1e-15 THEN CASE WHEN (c - m) / sd > 1 THEN -1.0 WHEN (c - m) / sd < -1 THEN 1.0 END END")
+_late_signal("sig_breakout_late", signals.breakout, "max(close) FILTER (k = 1) AS c, max(high) FILTER (k BETWEEN 2 AND 20) AS hi, min(low) FILTER (k BETWEEN 2 AND 20) AS lo", "CASE WHEN n >= 20 AND c > hi THEN 1.0 WHEN n >= 20 AND c < lo THEN -1.0 END")
+_late_signal("sig_vol_target_late", signals.vol_target, "count(r) FILTER (k <= 20) AS nr, stddev_pop(r) FILTER (k <= 20) AS sd", "CASE WHEN nr > 2 AND sd > 1e-15 THEN least(2.0, 0.2 / (sd * sqrt(252))) ELSE 0.0 END", ", t AS (SELECT *, close / lag(close) OVER (PARTITION BY symbol, di ORDER BY k DESC) - 1 AS r FROM s)")
+_LATE_PAIR = """, q AS (SELECT a.ts, a.symbol AS one, c.symbol AS two, a.idx AS ai, c.idx AS ci FROM late a JOIN late c ON a.idx = c.idx AND a.symbol = '1-URGENT' AND c.symbol = '2-HIGH'),
+ sp AS (SELECT q.ai AS key, q.ts, x.k, y.close - x.close AS v FROM q JOIN s x ON x.symbol = q.one AND x.di = q.ai JOIN s y ON y.symbol = q.two AND y.di = q.ci AND y.k = x.k WHERE x.k <= 40),
+ z AS (SELECT key, ts, count(*) AS n, max(v) FILTER (k = 1) AS v1, avg(v) AS m, stddev_pop(v) AS sd FROM sp GROUP BY ALL), sd AS (SELECT key, ts, CASE WHEN n >= 5 AND sd > 1e-15 THEN CASE WHEN (v1 - m) / sd > 1.5 THEN 1.0 WHEN (v1 - m) / sd < -1.5 THEN -1.0 END END AS side FROM z)"""
+
+
+@query("sig_pairs_late", f"WITH {{A5T}}, {_PREFIX}{_LATE_PAIR} SELECT '1-URGENT' AS symbol, key, ts, side AS target_weight FROM sd WHERE side IS NOT NULL UNION ALL SELECT '2-HIGH', key, ts, -side FROM sd WHERE side IS NOT NULL")
+def sig_pairs_late(spark, sf):
+    return signals.pairs(A.bars_tied(spark, sf), "1-URGENT", "2-HIGH", align="position")
+
+
+@query("sig_rsi_late")
+def sig_rsi_late(spark, sf):
+    """Wilder's averages run over the whole visible prefix, so a late bar changes all of them."""
+    return signals.mean_reversion_rsi(A.bars_tied(spark, sf))
+
+
+@query("sig_random", "WITH {A3}, u AS (SELECT symbol, idx, ts, ('0x' || substr(md5('42|' || symbol || '|' || idx), 1, 8))::BIGINT / 4294967296.0 AS u FROM b) SELECT symbol, idx, ts, CASE WHEN u < 0.25 THEN -1.0 ELSE 1.0 END AS target_weight FROM u WHERE u < 0.25 OR u >= 0.75")
 def sig_random(spark, sf):
     return signals.random_signal(A.bars_daily_orders(spark, sf))
 

@@ -21,13 +21,14 @@ def _indexed(raw: str) -> str:
     return f"raw AS ({raw}), b AS (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY ts) - 1 AS idx FROM raw)"
 
 
-#: Common table expressions that end in b (bars), late (A5), x (A5x), p (panel), m (matrix) or n (news).
+#: Common table expressions that end in b (bars), late (A5; A5T with ties), x (A5x), p (panel), m (matrix) or n (news).
 A1, A2, A3 = _indexed(_A1_RAW), _indexed(_A2_RAW), _indexed(_A3_RAW)
 A4 = """raw AS (SELECT l_partkey::VARCHAR AS symbol, datediff('day', DATE '1970-01-01', l_shipdate::DATE)::BIGINT * 86400000 AS ts, sum(l_extendedprice) / sum(l_quantity) AS close,
  max(l_extendedprice / l_quantity) AS hi, min(l_extendedprice / l_quantity) AS lo, sum(l_quantity) AS volume FROM lineitem WHERE l_quantity > 0 GROUP BY ALL),
  o AS (SELECT *, coalesce(lag(close) OVER w, close) AS open, row_number() OVER w - 1 AS idx FROM raw WINDOW w AS (PARTITION BY symbol ORDER BY ts)),
  b AS (SELECT symbol, ts, open, greatest(hi, open, close) AS high, least(lo, open, close) AS low, close, volume, idx FROM o)"""
 A5 = A3 + ", late AS (SELECT *, ts + CASE WHEN idx % 7 = 3 THEN 259200000 ELSE 0 END AS available_time FROM b)"
+A5T = A3 + ", tied AS (SELECT * REPLACE (min(ts) OVER (PARTITION BY symbol, idx // 5, (idx % 5) // 2) AS ts) FROM b), late AS (SELECT *, ts + CASE WHEN idx % 7 = 3 THEN 259200000 ELSE 0 END AS available_time FROM tied)"
 A5X = (
     A2
     + """, x0 AS (SELECT * REPLACE (
@@ -58,7 +59,7 @@ def query(name: str, sql: str | None = None):
         QUERIES[name] = f
         if sql:
             filled = sql
-            for key in ("A1", "A2", "A3", "A4", "A5X", "A5", "A6", "A7", "A8", "R3"):
+            for key in ("A1", "A2", "A3", "A4", "A5X", "A5T", "A5", "A6", "A7", "A8", "R3"):
                 filled = filled.replace("{%s}" % key, globals()[key])
             ORACLES[name] = filled
         return f

@@ -64,6 +64,14 @@ def bars_late(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bars_daily_orders(spark, sf_dir).withColumn("available_time", F.col("ts") + late)
 
 
+def bars_tied(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Daily order bars of which two or three in a row bear the same time, and every seventh becomes available three days late."""
+    b = bars_daily_orders(spark, sf_dir)
+    ts = F.min("ts").over(Window.partitionBy("symbol", F.floor(F.col("idx") / 5), F.floor(F.col("idx") % 5 / 2)))
+    late = F.when(F.col("idx") % 7 == 3, F.lit(3 * DAY_MS)).otherwise(F.lit(0))
+    return b.withColumn("ts", ts).withColumn("available_time", F.col("ts") + late)
+
+
 def bars_corrupt(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Hourly bars with faults planted by index; `ingest` is the order of arrival."""
     b = bars_hourly_events(spark, sf_dir)

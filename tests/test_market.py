@@ -168,7 +168,7 @@ def test_regimes(spark):
     rng = np.random.default_rng(1)
     r = np.concatenate([rng.normal(0.001, 0.005, 250), rng.normal(-0.001, 0.02, 250)])
     assert np.allclose(regimes.mixture(r, 2).sum(axis=1), 1)
-    states, post = regimes.hidden_markov(r, 2, rounds=20)
+    states, post = regimes.hidden_markov(r, 2)
     assert (states[:200] == np.bincount(states[:200]).argmax()).mean() > 0.9 and np.allclose(post.sum(axis=1), 1)
     shift = np.concatenate([np.zeros(50), np.ones(50)])
     assert regimes.best_split(shift)[1] == 50 and set(regimes.change_points(shift)) == {0, 1}
@@ -230,6 +230,27 @@ def test_graveyard_and_status(spark):
     assert [r["status"] for r in graveyard.classify_validation(v).collect()] == ["SURVIVED_BATTERY", "REJECTED", "INSUFFICIENT_EVIDENCE", "INSUFFICIENT_EVIDENCE"]
 
 
+def test_hidden_markov_recovers_a_simulated_chain():
+    rng = np.random.default_rng(5)
+    step, state, truth = np.array([[0.97, 0.03], [0.06, 0.94]]), 0, []
+    for _ in range(4000):
+        state = int(rng.random() < step[state, 1])
+        truth.append(state)
+    truth = np.array(truth)
+    r = np.where(truth == 0, rng.normal(0.0005, 0.006, 4000), rng.normal(-0.001, 0.02, 4000))
+    chain = regimes.Chain(*regimes._quantile_states(r, 2))
+    likelihoods = [chain.improve(r) for _ in range(60)]
+    assert all(b >= a - 1e-6 for a, b in zip(likelihoods, likelihoods[1:]))
+    calm, wild = np.argsort(chain.spread)
+    assert abs(np.sqrt(chain.spread[calm]) - 0.006) < 5e-4 and abs(np.sqrt(chain.spread[wild]) - 0.02) < 2e-3
+    assert abs(np.exp(chain.step[calm, wild]) - 0.03) < 0.015 and abs(np.exp(chain.step[wild, calm]) - 0.06) < 0.03
+    states, post = regimes.hidden_markov(r, 2)
+    assert ((states == wild) == (truth == 1)).mean() > 0.9 and (post.argmax(axis=1) == np.where(truth == 1, wild, calm)).mean() > 0.93
+    both = regimes.mixture(np.concatenate([rng.normal(0, 0.5, 900), rng.normal(8, 1, 300)]), 2)
+    assert sorted(np.bincount(both.argmax(axis=1), minlength=2).tolist()) in ([300, 900], [299, 901], [301, 899])
+    assert regimes.hidden_markov(np.array([0.1]), 3)[0].tolist() == [0] and regimes.mixture(np.zeros(5), 3).shape == (5, 3)
+
+
 def test_ledger_round_trip(spark, tmp_path):
     book = ledger.Ledger(tmp_path)
     a = book.create("one", "momentum", {"seed": 1})
@@ -241,8 +262,15 @@ def test_ledger_round_trip(spark, tmp_path):
     assert again.create("three", "pairs")["experiment_id"] == "EXP-0003" and again.count() == 3
     assert again.get("EXP-0001")["status"] == "completed" and len(again.search(strategy_name="pairs")) == 2
     same = ledger.reproduce(again.get("EXP-0001"), lambda r: {"x": 1})
-    assert same["result_matches"] and same["environment_matches"]
-    assert {r["status"]: r["n"] for r in ledger.overview(ledger.read(spark, f"file://{book.path}")).collect()} == {"completed": 1, "created": 2}
+    assert same["result_matches"] and same["environment_matches"] and not same["differences"]
+    other = ledger.reproduce({**again.get("EXP-0001"), "run_config": {"_environment": {"python": "2.7", "seed": 3, "packages": {"numpy": "1"}}}}, lambda r: {"x": 2})
+    assert not other["result_matches"] and {d["field"] for d in other["differences"]} >= {"python", "seed", "packages.numpy"} and len(other["warnings"]) == len(other["differences"])
+    env = ledger.environment(dataset_hash="abc", seed=7)
+    assert env["dataset_hash"] == "abc" and env["seed"] == 7 and env["packages"]["pyspark"]
+    named = ledger.scaffold(again, "momentum", "four")
+    assert again.get(named["experiment_id"])["run_config"]["_environment"]["python"] == env["python"]
+    assert ledger.default_ledger(tmp_path) is ledger.default_ledger(tmp_path)
+    assert {r["status"]: r["n"] for r in ledger.overview(ledger.read(spark, f"file://{book.path}")).collect()} == {"completed": 1, "created": 3}
     grave = ledger.graveyard(tmp_path)
     assert ledger.record_entry(grave, {"hypothesis": "h"})["id"] == "STRATEGY-00001"
 
