@@ -41,10 +41,7 @@ def spikes(bars: DataFrame, arrival: str = "ts", most: int = 5) -> DataFrame:
 
 def gaps(bars: DataFrame, arrival: str = "ts") -> DataFrame:
     """Price jumps by a factor of three: a split where nothing traded, else an anomaly."""
-    jump = _flagged(bars, arrival).where("ratio > 3 or ratio < 1d / 3d")
-    split = F.col("volume") == 0
-    message = F.when(split, F.format_string("price ratio %.3f at index %d with zero volume (possible split/adjustment)", "ratio", "i")).otherwise(F.concat(F.format_string("unusual gap at index %d: ratio %.3f, volume ", "i", "ratio"), F.col("volume").cast("string")))
-    return jump.select("symbol", F.when(split, "SPLIT_ANOMALY").otherwise("CA_ANOMALY").alias("code"), F.when(split, "INFO").otherwise("WARNING").alias("severity"), message.alias("message"), F.col("i").cast("long").alias("idx"))
+    return _flagged(bars, arrival).where(_jump()).select("symbol", *[c.alias(n) for n, c in _gap_issue().items()])
 
 
 def stale_runs(bars: DataFrame, arrival: str = "ts") -> DataFrame:
@@ -58,36 +55,48 @@ def _issue(code: str, severity: str, test: Column, message: Column, idx: Column
     return F.when(test, F.struct(F.lit(code).alias("code"), F.lit(severity).alias("severity"), message.alias("message"), idx.alias("idx")))
 
 
-def audit_bars(bars: DataFrame, arrival: str = "ts") -> DataFrame:
-    """All issues of raw bars. `arrival` orders the rows as they came."""
+def _jump() -> Column:
+    return (F.col("ratio") > 3) | (F.col("ratio") < F.lit(1.0) / 3)
+
+
+def _gap_issue() -> dict[str, Column]:
+    split = F.col("volume") == 0
+    text = F.when(split, F.format_string("price moved by a factor of %.3f at index %d without volume: perhaps a split", "ratio", "i")).otherwise(F.concat(F.format_string("price moved by a factor of %.3f at index %d, volume ", "ratio", "i"), F.col("volume").cast("string")))
+    return {"code": F.when(split, "SPLIT_ANOMALY").otherwise("CA_ANOMALY"), "severity": F.when(split, "INFO").otherwise("WARNING"), "message": text, "idx": F.col("i").cast("long")}
+
+
+def audit_bars(bars: DataFrame, arrival: str = "ts", most: int = 5) -> DataFrame:
+    """All issues of raw bars. `arrival` orders the rows as they came.
+
+    One pass: all flags are windows over one partitioning by symbol; each row brings its own issues, the last row of a
+    series those of the whole series.
+    """
+    whole = Window.partitionBy("symbol")
+    order = whole.orderBy("i")
     f = _flagged(bars, arrival)
-    per = f.groupBy("symbol").agg(
-        F.count(F.lit(1)).alias("n"),
-        F.countDistinct("ts").alias("times"),
-        F.bool_or(F.col("ts") <= F.col("ts_before")).alias("unordered"),
-        F.bool_or((F.col("low") < 0) | (F.col("close") < 0)).alias("negative"),
-        F.bool_or(F.col("high") < F.greatest("open", "close")).alias("bad_high"),
-        F.bool_or(F.col("low") > F.least("open", "close")).alias("bad_low"),
-        F.bool_or(F.col("high") < F.col("low")).alias("crossed"),
-        F.min(F.when(F.col("close") == 0, F.col("i"))).alias("zero"),
-        F.min("volume").alias("least_volume"),
-    )
-    per = per.join(stale_runs(bars, arrival), "symbol")
-    found = F.array_compact(
-        F.array(
-            _issue("DUPLICATE_TS", "ERROR", F.col("times") < F.col("n"), F.lit("duplicate timestamps present")),
-            _issue("OUT_OF_ORDER", "ERROR", F.col("unordered"), F.lit("timestamps not strictly increasing")),
-            _issue("NEGATIVE_PRICE", "ERROR", F.col("negative"), F.lit("negative price found")),
-            _issue("BAD_HIGH", "ERROR", F.col("bad_high"), F.lit("high below max(open, close)")),
-            _issue("BAD_LOW", "ERROR", F.col("bad_low"), F.lit("low above min(open, close)")),
-            _issue("HIGH_LT_LOW", "ERROR", F.col("crossed"), F.lit("high below low")),
-            _issue("ZERO_PRICE", "ERROR", F.col("zero").isNotNull(), F.format_string("zero close at index %d", "zero"), F.col("zero")),
-            _issue("STALE_PRICE", "WARNING", F.col("stale") >= 5, F.format_string("%d consecutive unchanged closes", "stale")),
-            _issue("NEGATIVE_VOLUME", "ERROR", F.col("least_volume") < 0, F.lit("negative volume observed")),
-        )
-    )
-    flat = per.select("symbol", F.explode(found).alias("x")).select("symbol", "x.*")
-    return flat.unionByName(spikes(bars, arrival)).unionByName(gaps(bars, arrival))
+    f = f.withColumns({"times": F.count(F.lit(1)).over(Window.partitionBy("symbol", "ts")), "same": F.count(F.lit(1)).over(Window.partitionBy("symbol", "run")) - 1, "nth": F.sum(F.col("wild").cast("int")).over(order)})
+    seen = lambda test: F.coalesce(F.max(test).over(whole), F.lit(False))
+    f = f.select(
+        "symbol", "i", "k", "ratio", "volume", "wild", "nth", (F.col("i") == F.max("i").over(whole)).alias("at_end"), seen(F.col("times") > 1).alias("dup"), seen(F.col("ts") <= F.col("ts_before")).alias("unordered"), seen((F.col("low") < 0) | (F.col("close") < 0)).alias("negative"),
+        seen(F.col("high") < F.greatest("open", "close")).alias("bad_high"), seen(F.col("low") > F.least("open", "close")).alias("bad_low"), seen(F.col("high") < F.col("low")).alias("crossed"),
+        F.min(F.when(F.col("close") == 0, F.col("i"))).over(whole).alias("zero"), F.max("same").over(whole).alias("stale"), F.min("volume").over(whole).alias("least_volume"),
+    )
+    of_series = [
+        _issue("DUPLICATE_TS", "ERROR", F.col("dup"), F.lit("duplicate timestamps present")),
+        _issue("OUT_OF_ORDER", "ERROR", F.col("unordered"), F.lit("timestamps not strictly increasing")),
+        _issue("NEGATIVE_PRICE", "ERROR", F.col("negative"), F.lit("negative price found")),
+        _issue("BAD_HIGH", "ERROR", F.col("bad_high"), F.lit("high below max(open, close)")),
+        _issue("BAD_LOW", "ERROR", F.col("bad_low"), F.lit("low above min(open, close)")),
+        _issue("HIGH_LT_LOW", "ERROR", F.col("crossed"), F.lit("high below low")),
+        _issue("ZERO_PRICE", "ERROR", F.col("zero").isNotNull(), F.format_string("zero close at index %d", "zero"), F.col("zero")),
+        _issue("STALE_PRICE", "WARNING", F.col("stale") >= 5, F.format_string("%d consecutive unchanged closes", "stale")),
+        _issue("NEGATIVE_VOLUME", "ERROR", F.col("least_volume") < 0, F.lit("negative volume observed")),
+    ]
+    spike = _issue("SPIKE", "WARNING", F.col("wild") & (F.col("nth") <= most), F.format_string("suspicious |return| at index %d", "k"), F.col("k"))
+    gap = F.when(_jump(), F.struct(*[c.alias(n) for n, c in _gap_issue().items()]))
+    own = F.array(spike, gap)
+    found = F.array_compact(F.when(F.col("at_end"), F.concat(F.array(*of_series), own)).otherwise(own))
+    return f.select("symbol", F.explode(found).alias("x")).select("symbol", "x.*")
 
 
 def empty_series(symbols: DataFrame, bars: DataFrame) -> DataFrame:
@@ -131,8 +140,11 @@ def grade(penalty: Column) -> Column:
     return F.when(penalty <= 0, "LOW").when(penalty <= 1.5, "MODERATE").when(penalty <= 3, "ELEVATED").otherwise("HIGH")
 
 
-def score_quality(issues: DataFrame, by: str = "symbol", survivorship_hint: str = "") -> DataFrame:
-    """Score from 0 to 100 and a grade per risk dimension, for each value of `by` that has an issue."""
+def score_quality(issues: DataFrame, by: str = "symbol", survivorship_hint: str = "", source: str | None = None, reasons: bool = False) -> DataFrame:
+    """Score from 0 to 100 and a grade per risk dimension, for each value of `by` that has an issue.
+
+    With `source`, where the data come from, a column of that name; with reasons, the issues counted per code, worst first.
+    """
     weight = F.coalesce(F.element_at(F.create_map(*[x for c, w in CODE_WEIGHTS.items() for x in (F.lit(c), F.lit(w))]), F.col("code")), F.lit(1.0))
     counted = F.when(F.col("severity") == "ERROR", F.when(F.col("code") == "EMPTY", 2 * weight).otherwise(weight)).when(F.col("severity") == "WARNING", weight).otherwise(0.0)
     dims = F.create_map(*[x for c, d in CODE_DIMENSIONS.items() for x in (F.lit(c), F.array(*map(F.lit, d)))])
@@ -140,7 +152,13 @@ def score_quality(issues: DataFrame, by: str = "symbol", survivorship_hint: str
     sums = [F.sum(F.when(F.array_contains("dims", d), F.col("w")).otherwise(0.0)).alias(d) for d in DIMENSIONS[:-1]]
     per = each.groupBy(by).agg(F.sum("counted").alias("penalty"), *sums).withColumn("survivorship", F.lit(3.0 if survivorship_hint == "delisted" else 0.0))
     score = F.greatest(F.lit(0), F.least(F.lit(100), 100 - F.bround(F.col("penalty") * 10).cast("int")))
-    return per.select(by, score.alias("score"), *[grade(F.col(d)).alias(d) for d in DIMENSIONS])
+    out = per.select(by, score.alias("score"), *[grade(F.col(d)).alias(d) for d in DIMENSIONS])
+    out = out if source is None else out.withColumn("source", F.lit(source))
+    if not reasons:
+        return out
+    told = each.groupBy(by, "code", "severity").agg(F.sum("counted").alias("weight"), F.count(F.lit(1)).alias("n"))
+    told = told.groupBy(by).agg(F.transform(F.array_sort(F.collect_list(F.struct((-F.col("weight")).alias("order"), "code", "severity", "n"))), lambda x: F.concat_ws(" ", x["severity"], x["code"], F.concat(F.lit("x"), x["n"].cast("string")))).alias("reasons"))  # a row per code
+    return out.join(told, by)
 
 
 def report_quality(rows: DataFrame, arrival: str = "ts", issues: DataFrame | None = None) -> DataFrame:

@@ -32,6 +32,11 @@ def embargo_mask(spark: SparkSession, n: int, test_end: int, embargo: int) -> Da
     return i.withColumn("keep", ~((F.col("idx") >= test_end) & (F.col("idx") < min(n, test_end + embargo))))
 
 
+def length_of(rows: DataFrame, idx: str = "idx") -> int:
+    """Number of places of a series: its last index and one."""
+    return int(rows.agg(F.coalesce(F.max(idx) + 1, F.lit(0))).first()[0])
+
+
 def apply_embargo(rows: DataFrame, test_end: int, embargo: int, idx: str = "idx") -> DataFrame:
     return rows.where(~((F.col(idx) >= test_end) & (F.col(idx) < test_end + embargo)))
 

@@ -150,7 +150,7 @@ class Chain:
         return likelihood
 
 
-def hidden_markov(r: np.ndarray, k: int = 3, rounds: int = 100, tolerance: float = 1e-6) -> tuple[np.ndarray, np.ndarray]:
+def hidden_markov(r: np.ndarray, k: int = 3, rounds: int = 50, tolerance: float = 1e-5) -> tuple[np.ndarray, np.ndarray]:
     """(state that is likeliest by the values so far, posterior by all values) of a Gaussian hidden Markov chain, fitted until the likelihood of a value gains less than the tolerance."""
     chain = Chain(*_quantile_states(r, max(1, min(k, len(r)))))
     before = -np.inf
@@ -209,7 +209,7 @@ def gmm_regimes(returns: DataFrame, k: int = 3, rounds: int = 200) -> DataFrame:
     return _per_symbol(returns, lambda r: mixture(r, k, rounds).argmax(axis=1))
 
 
-def hmm_regimes(returns: DataFrame, k: int = 3, rounds: int = 100) -> DataFrame:
+def hmm_regimes(returns: DataFrame, k: int = 3, rounds: int = 50) -> DataFrame:
     return _per_symbol(returns, lambda r: hidden_markov(r, k, rounds)[0])
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -22,11 +22,20 @@ def drawdown_series(returns: DataFrame, by: list[str], order: str = "idx") -> Da
     return with_equity(returns, by, order).select(*by, order, "drawdown")
 
 
+def by_time(panel: DataFrame, value: str = "r", order: str = "t") -> DataFrame:
+    """(t, cells, mean): the assets of each time as one sorted array of (asset, value). The panel has few assets, its rows are time."""
+    return panel.groupBy(order).agg(F.sort_array(F.collect_list(F.struct("asset", F.col(value).alias("v")))).alias("cells"), F.avg(value).alias("mean"))
+
+
+def exploded_pairs(rows: DataFrame, *keep: str) -> DataFrame:
+    """(keep..., a, b, x, y) for the pairs a < b of each row's cells: no join."""
+    later = lambda c, i: F.transform(F.slice("cells", i + 2, F.size("cells")), lambda d: F.struct(c["asset"].alias("a"), d["asset"].alias("b"), c["v"].alias("x"), d["v"].alias("y")))
+    return rows.select(*keep, F.explode(F.flatten(F.transform("cells", later))).alias("p")).select(*keep, "p.*")
+
+
 def asset_pairs(panel: DataFrame, value: str = "r", order: str = "t") -> DataFrame:
-    """(t, a, b, x, y) for assets a < b at the same time: the panel has few assets, its rows are time."""
-    left = panel.select(order, F.col("asset").alias("a"), F.col(value).alias("x"))
-    right = panel.select(F.col(order).alias("t2"), F.col("asset").alias("b"), F.col(value).alias("y"))
-    return left.join(right, (F.col(order) == F.col("t2")) & (F.col("a") < F.col("b"))).drop("t2")
+    """(t, a, b, x, y) for assets a < b at the same time; the panel has one row per asset and time."""
+    return exploded_pairs(by_time(panel, value, order), order)
 
 
 def pair_correlation(panel: DataFrame, value: str = "r", where: Column | None = None, least: int = 2, keys: tuple[str, ...] = ()) -> DataFrame:
@@ -70,32 +79,33 @@ def month_number(label: str) -> int:
     return year * 12 + month - 1
 
 
-def scenario_bounds(spark: SparkSession, scenarios: tuple = SCENARIOS) -> DataFrame:
-    """(scenario, lo, hi) as shares of the history spanned by all of them."""
-    first, final = min(month_number(s) for _, s, _ in scenarios), max(month_number(e) for _, _, e in scenarios)
+def scenario_windows(scenarios: tuple = SCENARIOS) -> list[tuple[str, float, float]]:
+    """(scenario, from, to): shares of the history that all of them span; whole numbers for bounds are places and stay as they are."""
+    dated = [x for x in scenarios if isinstance(x[1], str)]
+    first, final = (min(month_number(s) for _, s, _ in dated), max(month_number(e) for _, _, e in dated)) if dated else (0, 1)
     span = max(1, final - first)
-    return spark.createDataFrame([(n, (month_number(s) - first) / span, (month_number(e) - first) / span) for n, s, e in scenarios], "scenario string, lo double, hi double")
+    return [(n, (month_number(s) - first) / span, (month_number(e) - first) / span) if isinstance(s, str) else (n, int(s), int(e)) for n, s, e in scenarios]
+
 
+def _scenarios(per: DataFrame, scenarios: tuple) -> DataFrame:
+    """Each time once per scenario, with `inside`: the scenario's window mapped in proportion onto the times, bounds rounded half to even."""
+    all_times = Window.partitionBy(F.lit(1))  # a row per time
+    per = per.withColumns({"t0": F.min("t").over(all_times), "last": F.max("t").over(all_times) - F.min("t").over(all_times)})
+    at, bound = F.col("t") - F.col("t0"), lambda x: F.bround(F.lit(x) * F.col("last")) if isinstance(x, float) else F.lit(x)
+    each = F.array(*[F.struct(F.lit(n).alias("scenario"), ((at >= bound(lo)) & (at <= bound(hi))).alias("inside")) for n, lo, hi in scenario_windows(scenarios)])
+    return per.select("t", "cells", "mean", F.explode(each).alias("s")).select("t", "cells", F.col("mean").alias("r"), "s.*")
 
-def scenario_rows(panel: DataFrame) -> DataFrame:
-    """The panel once per scenario with `inside`: its window mapped in proportion onto the rows, bounds rounded half to even."""
-    n = panel.agg((F.max("t") - F.min("t")).alias("last"), F.min("t").alias("t0"))
-    bounds = scenario_bounds(panel.sparkSession).join(n, how="cross")  # a row per scenario
-    bounds = bounds.select("scenario", "t0", F.bround(F.col("lo") * F.col("last")).alias("i"), F.bround(F.col("hi") * F.col("last")).alias("j"))
-    at = F.col("t") - F.col("t0")
-    return panel.join(F.broadcast(bounds)).withColumn("inside", (at >= F.col("i")) & (at <= F.col("j"))).drop("i", "j", "t0")
 
+def stress_report(panel: DataFrame, ppy: int = 252, scenarios: tuple = SCENARIOS) -> DataFrame:
+    """Per scenario, for the equal-weight portfolio: correlations inside and out, their expansion, volatilities, drawdown, 95th percentile, score; and the worst scenario.
 
-def stress_report(panel: DataFrame, ppy: int = 252) -> DataFrame:
-    """Per scenario, for the equal-weight portfolio: correlations inside and out, their expansion, volatilities, drawdown, 95th percentile, score; and the worst scenario."""
-    rows = scenario_rows(panel)
-    left = rows.select("scenario", "inside", "t", F.col("asset").alias("a"), F.col("r").alias("x"))
-    right = rows.select(F.col("scenario").alias("s2"), F.col("t").alias("t2"), F.col("asset").alias("b"), F.col("r").alias("y"))
-    pairs = left.join(right, (F.col("scenario") == F.col("s2")) & (F.col("t") == F.col("t2")) & (F.col("a") < F.col("b")))
+    The panel is read and shuffled once, to a row per time; scenarios and pairs are exploded from those rows.
+    """
+    rows = _scenarios(by_time(panel), scenarios)
+    pairs = exploded_pairs(rows, "scenario", "inside")
     per_pair = pairs.groupBy("scenario", "inside", "a", "b").agg(correlation(F.col("x"), F.col("y")).alias("c"))
     corr = per_pair.groupBy("scenario").agg(F.avg(F.when(F.col("inside"), F.col("c"))).alias("stress_corr"), F.avg(F.when(~F.col("inside"), F.col("c"))).alias("normal_corr"))
-    pf = rows.groupBy("scenario", "inside", "t").agg(F.avg("r").alias("r"))
-    dd = with_equity(pf, ["scenario", "inside"], "t")
+    dd = with_equity(rows.select("scenario", "inside", "t", "r"), ["scenario", "inside"], "t")
     ann = F.sqrt(F.lit(ppy))
     vol = dd.groupBy("scenario").agg(
         (F.coalesce(F.stddev_samp(F.when(F.col("inside"), F.col("r"))), F.lit(0.0)) * ann).alias("stress_vol"),

@@ -7,6 +7,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .risk import by_time, exploded_pairs
+
 BELOW_ONE = 1.0 - 1e-12
 
 
@@ -27,10 +29,34 @@ def kelly_continuous(returns: DataFrame, by: list[str]) -> DataFrame:
 
 def optimal_f(returns: DataFrame, by: list[str], grid: int = 400) -> DataFrame:
     """(by, f, growth): the f = k / grid, k < grid, with the highest mean log(1 + f r); a ruinous f counts as minus infinity. First on ties."""
-    fs = F.broadcast(returns.sparkSession.range(grid).select((F.col("id") / grid).alias("f")))  # a parameter's number of rows
-    x = 1 + F.col("f") * F.col("r")
-    g = returns.where("r is not null").join(fs).groupBy(*by, "f").agg(F.when(F.min(x) > 0, F.avg(F.ln(F.greatest(x, F.lit(1e-300))))).otherwise(F.lit(float("-inf"))).alias("growth"))
-    return g.groupBy(*by).agg(F.max_by("f", F.struct("growth", (-F.col("f")))).alias("f"), F.max("growth").alias("growth"))
+    kinds = dict(returns.dtypes)
+    fs = np.arange(grid) / grid
+
+    def sums(parts):
+        """Of each group the sum of logarithms per f, over all rows of the task: the combination before the shuffle."""
+        held: dict = {}
+        for pdf in parts:
+            for key, r in pdf.groupby(by, dropna=False)["r"]:
+                r = r.to_numpy(float)
+                total, n, least = held.setdefault(key, [np.zeros(grid), 0, np.inf])
+                for i in range(0, len(r), 4096):
+                    total += np.log(np.maximum(1 + np.outer(fs, r[i : i + 4096]), 1e-300)).sum(axis=1)
+                held[key][1:] = [n + len(r), min(least, r.min())]
+            if len(held) > 20_000:
+                yield table(held)
+        yield table(held)
+
+    def table(held: dict) -> pd.DataFrame:
+        out = pd.DataFrame([(*key, total, n, least) for key, (total, n, least) in held.items()], columns=[*by, "g", "n", "least"])
+        held.clear()
+        return out
+
+    names = ", ".join(f"{b} {kinds[b]}" for b in by)
+    part = returns.where("r is not null").select(*by, "r").mapInPandas(sums, f"{names}, g array<double>, n long, least double")
+    flat = part.select(*by, F.posexplode("g").alias("k", "s"), "n", "least")
+    g = flat.groupBy(*by, "k").agg((F.sum("s") / F.sum("n")).alias("g"), F.min("least").alias("least"))
+    growth = F.when(1 + F.col("k") / F.lit(grid) * F.col("least") > 0, F.col("g")).otherwise(F.lit(float("-inf")))
+    return g.withColumn("growth", growth).groupBy(*by).agg(F.max_by(F.col("k") / F.lit(grid), F.struct("growth", (-F.col("k")).alias("first"))).alias("f"), F.max("growth").alias("growth"))
 
 
 def edge_uncertainty_kelly(returns: DataFrame, by: list[str], replicates: int = 200, seed: int = 0, grid: int = 400) -> DataFrame:
@@ -119,9 +145,10 @@ def portfolio_cvar(panel: DataFrame, weights: DataFrame, alpha: float = 0.05) ->
 
 def covariance(panel: DataFrame) -> DataFrame:
     """(a, b, cov), both orders and the diagonal; the panel has few assets."""
-    other = panel.select(F.col("t").alias("t2"), F.col("asset").alias("b"), F.col("r").alias("y"))
-    j = panel.select("t", F.col("asset").alias("a"), F.col("r").alias("x")).join(other, F.col("t") == F.col("t2"))
-    return j.groupBy("a", "b").agg(F.covar_samp("x", "y").alias("cov"))
+    pairs = exploded_pairs(by_time(panel))
+    one = panel.groupBy(F.col("asset").alias("a"), F.col("asset").alias("b")).agg(F.var_samp("r").alias("cov"))
+    two = pairs.groupBy("a", "b").agg(F.covar_samp("x", "y").alias("cov"))
+    return one.unionByName(two).unionByName(two.select(F.col("b").alias("a"), F.col("a").alias("b"), "cov"))
 
 
 def risk_parity(panel: DataFrame, max_leverage: float = 1.5) -> DataFrame:

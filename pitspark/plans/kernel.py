@@ -6,6 +6,8 @@ Two presets. `documented` follows the written contract: sells lower the position
 
 from __future__ import annotations
 
+import dataclasses
+import json
 import math
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
@@ -31,6 +33,7 @@ class Config:
     latency_ms: float = 0.0
     allow_same_bar: bool = False
     spread_factor: float = 1.0
+    adv_multiplier: float = 1.0
     dividends_per_bar: dict = field(default_factory=dict)
     semantics: str = "documented"
 
@@ -48,7 +51,7 @@ class Lookahead(Exception):
 
 
 class Rejected(Exception):
-    """A fill that the account or its limits refuse."""
+    """A fill that the account or its limits refuse, by a code: ROOM, WEIGHT, LEVERAGE, PRICE, CASH; an order for a symbol without bars: SYMBOL."""
 
 
 @dataclass
@@ -58,12 +61,34 @@ class Order:
     side: str
     quantity: float
     eligible: int
+    kind: str = "MARKET"
+    limit: float | None = None
+    stop: float | None = None
 
     @property
     def signed(self) -> float:
         return self.quantity if self.side == "BUY" else -self.quantity
 
 
+def execution_price(o: Order, market: float, high: float, low: float, close: float, semantics: str) -> float | None:
+    """The price of an order that trades in this bar, with the spread in `market`; None while it rests.
+
+    LIMIT: if the market is at the limit or better. STOP: sells once the bar has come down to the stop, buys once it has
+    come up to it, at the worse of stop and market; `reference` has the two sides' bars and prices the other way round.
+    """
+    buy = o.side == "BUY"
+    if o.kind == "LIMIT":
+        return market if (market <= o.limit if buy else market >= o.limit) else None
+    if o.kind == "STOP":
+        rising = buy == (semantics == "documented")
+        if semantics == "documented":
+            hit = max(high, close) >= o.stop if rising else min(low, close) <= o.stop
+            return (max if buy else min)(o.stop, market) if hit else None
+        hit = max(high, close) >= o.stop if rising else min(low, close) <= o.stop
+        return (max if rising else min)(o.stop, market) if hit else None
+    return market
+
+
 class Book:
     """Cash, and per symbol (quantity, average price)."""
 
@@ -105,21 +130,21 @@ class Book:
             return
         weight = abs(after) * price / equity if equity > 0 else math.inf
         if 0 <= self.cfg.max_position_weight < weight - MARGIN:
-            raise Rejected(f"position weight {weight:.2%} exceeds limit {self.cfg.max_position_weight:.2%}")
+            raise Rejected("WEIGHT")
         if self.cfg.semantics == "reference":
             gross = self.gross({symbol: price}) + abs(signed) * price
         else:
             gross = self.gross({symbol: price}) + (abs(after) - abs(self.quantity(symbol))) * price
         if equity > 0 and gross / equity > self.cfg.max_leverage + MARGIN:
-            raise Rejected(f"leverage {gross / equity:.2f}x exceeds limit {self.cfg.max_leverage}x")
+            raise Rejected("LEVERAGE")
 
     def apply(self, symbol: str, signed: float, price: float) -> None:
         if abs(signed) < 1e-12:
             return
         if price <= 0:
-            raise Rejected("non-positive fill price")
+            raise Rejected("PRICE")
         if self.cash - signed * price < -1e-9:
-            raise Rejected("insufficient cash")
+            raise Rejected("CASH")
         old, avg = self.held.get(symbol, (0.0, 0.0))
         new = old + signed
         if old * new > 0 and abs(new) > abs(old):
@@ -144,8 +169,9 @@ class Engine:
         self.wait = cfg.execution_delay + math.ceil(cfg.latency_ms / interval_ms) + 1
         self.half_spread = get_profile(cfg.profile).spread_bps * cfg.spread_factor / 2e4
 
-    def step(self, ts: int, bars: dict[str, tuple[float, float, float, float, float]], decide: Callable[[int], list[tuple[str, float, str]]]) -> Iterator[dict]:
-        """bars: symbol -> (open, high, low, close, volume). decide gives (symbol, target weight, reason) at the close."""
+    def step(self, ts: int, bars: dict[str, tuple[float, float, float, float, float]], decide: Callable[[int], list[tuple]]) -> Iterator[dict]:
+        """bars: symbol -> (open, high, low, close, volume). decide gives (symbol, target weight, reason) at the close, and may add a
+        mapping with the terms of the order that it leads to: kind (MARKET, LIMIT, STOP), limit, stop, and params for the log."""
         self.i += 1
         yield {"type": "MARKET", "ts": ts}
         yield from self._fill(ts, bars)
@@ -154,18 +180,19 @@ class Engine:
             for s, per_share in self.cfg.dividends_per_bar.items():
                 self.book.cash += self.book.quantity(s) * per_share
         equity = self.book.equity(closes)
-        for symbol, weight, reason in decide(self.i):
+        for symbol, weight, reason, *more in decide(self.i):
+            terms = more[0] if more else {}
             if symbol not in bars:
-                yield {"type": "REJECT", "ts": ts, "symbol": symbol, "order_id": -1, "reason": "unknown symbol"}
+                yield {"type": "REJECT", "ts": ts, "symbol": symbol, "order_id": -1, "reason": "SYMBOL"}
                 continue
-            yield {"type": "SIGNAL", "ts": ts, "symbol": symbol, "target_weight": weight, "reason": reason}
-            yield from self._rebalance(ts, symbol, weight, equity, closes[symbol])
+            yield {"type": "SIGNAL", "ts": ts, "symbol": symbol, "target_weight": weight, "reason": reason, "params": json.dumps(terms["params"]) if "params" in terms else None}
+            yield from self._rebalance(ts, symbol, weight, equity, closes[symbol], terms)
         self.book.cash -= self.book.shorts(closes) * self.cfg.borrow_rate_year / 252
         equity = self.book.equity(closes)
-        yield {"type": "PORTFOLIO", "ts": ts, "equity": equity, "cash": self.book.cash, "leverage": self.book.gross(closes) / equity if equity > 0 else 0.0}
+        yield {"type": "PORTFOLIO", "ts": ts, "equity": equity, "cash": self.book.cash, "leverage": self.book.gross(closes) / equity if equity > 0 else 0.0, "positions": json.dumps({s: q for s, (q, _) in sorted(self.book.held.items())})}
         self.last_equity = equity
 
-    def _rebalance(self, ts: int, symbol: str, weight: float, equity: float, close: float) -> Iterator[dict]:
+    def _rebalance(self, ts: int, symbol: str, weight: float, equity: float, close: float, terms: dict) -> Iterator[dict]:
         if close <= 0:
             return
         want, held = weight * equity / close, self.book.quantity(symbol)
@@ -176,10 +203,10 @@ class Engine:
         self.pending = [o for o in self.pending if o.symbol != symbol]
         if near(held):
             return
-        order = Order(self.next_id, symbol, "BUY" if want > held else "SELL", abs(want - held), self.i + self.wait)
+        order = Order(self.next_id, symbol, "BUY" if want > held else "SELL", abs(want - held), self.i + self.wait, terms.get("kind", "MARKET"), terms.get("limit"), terms.get("stop"))
         self.next_id += 1
         self.pending.append(order)
-        yield {"type": "ORDER", "ts": ts, "symbol": symbol, "order_id": order.id, "side": order.side, "quantity": order.quantity}
+        yield {"type": "ORDER", "ts": ts, "symbol": symbol, "order_id": order.id, "side": order.side, "quantity": order.quantity, "kind": order.kind, "limit_price": order.limit, "stop_price": order.stop, "eligible_from": order.eligible}
 
     def _fill(self, ts: int, bars: dict) -> Iterator[dict]:
         waiting, self.pending = self.pending, []
@@ -187,12 +214,16 @@ class Engine:
             if o.eligible > self.i or o.symbol not in bars:
                 self.pending.append(o)
                 continue
-            opening, _, _, close, volume = bars[o.symbol]
-            price = (opening if self.cfg.execution_mode == "next_open" else close) * (1 + self.half_spread if o.side == "BUY" else 1 - self.half_spread)
-            offered = min(o.quantity, self.cfg.participation_cap * volume) if volume > 0 else o.quantity
+            opening, high, low, close, volume = bars[o.symbol]
+            market = (opening if self.cfg.execution_mode == "next_open" else close) * (1 + self.half_spread if o.side == "BUY" else 1 - self.half_spread)
+            price = execution_price(o, market, high, low, close, self.cfg.semantics)
+            if price is None:
+                self.pending.append(o)
+                continue
+            offered = min(o.quantity, self.cfg.participation_cap * self.cfg.adv_multiplier * volume) if volume > 0 else o.quantity
             signed = offered if o.side == "BUY" or self.cfg.semantics == "reference" else -offered
             allowed = self.book.room(o.symbol, signed, price, self.last_equity)
-            reason = "" if allowed else "zero clamp headroom"
+            reason = "" if allowed else "ROOM"
             if allowed:
                 try:
                     self.book.check(o.symbol, allowed, price, self.last_equity)
@@ -202,14 +233,15 @@ class Engine:
             if reason:
                 yield {"type": "REJECT", "ts": ts, "symbol": o.symbol, "order_id": o.id, "reason": reason}
                 continue
-            notional = abs(allowed) * price
+            billed = abs(allowed) if self.cfg.semantics == "documented" else offered  # `reference` bills what was offered
+            notional = billed * price
             fee = max(notional * self.cfg.commission_bps / 1e4, self.cfg.min_commission) if notional > 0 else 0.0
             if self.cfg.semantics == "documented":
                 self.book.cash -= fee
             partial = offered < o.quantity or abs(allowed) < o.quantity
             yield {"type": "FILL", "ts": ts, "symbol": o.symbol, "order_id": o.id, "side": o.side, "quantity": abs(allowed) if self.cfg.semantics == "documented" else allowed, "price": price, "commission": fee, "requested": o.quantity, "partial": partial}
             if offered < o.quantity:
-                self.pending.append(Order(o.id, o.symbol, o.side, o.quantity - offered, o.eligible))
+                self.pending.append(dataclasses.replace(o, quantity=o.quantity - offered))
 
 
 class Visible:
@@ -223,28 +255,47 @@ class Visible:
         if i > self.cursor:
             raise Lookahead(f"bar {i} lies after the decision at bar {self.cursor}")
         now = self.bars[i]["ts"]
-        return [b for b in self.bars[: i + 1] if (b.get("available_time") or b["ts"]) <= now]
+        return [b for b in self.bars[: i + 1] if (b["ts"] if b.get("available_time") is None else b["available_time"]) <= now]
+
+    def values(self, field: str, i: int | None = None) -> list[float]:
+        return [b[field] for b in self.at(i)]
 
     def closes(self, i: int | None = None) -> list[float]:
-        return [b["close"] for b in self.at(i)]
+        return self.values("close", i)
+
+    def advance(self) -> int:
+        """Moves the decision to the next bar; IndexError after the last."""
+        if self.cursor + 1 >= len(self.bars):
+            raise IndexError("no bar is left")
+        self.cursor += 1
+        return self.cursor
+
+    @property
+    def total(self) -> int:
+        return len(self.bars)
+
+
+def play(cfg: Config, times: list[int], quotes: dict[str, list[tuple]], decide: Callable[[int], list[tuple]]) -> Iterator[dict]:
+    """All events of one run over bars given as tuples (open, high, low, close, volume) per symbol, aligned by position with `times`."""
+    interval = float(times[1] - times[0]) if len(times) > 1 else 86_400_000.0
+    engine = Engine(cfg, max(interval, 1.0))
+    for i, ts in enumerate(times):
+        for e in engine.step(ts, {s: q[i] for s, q in quotes.items()}, decide):
+            e["bar_index"] = i
+            yield e
 
 
-def run(cfg: Config, series: dict[str, list[dict]], weights: dict[int, list[tuple[str, float, str]]] | None = None, on_bar=None) -> list[dict]:
+def run(cfg: Config, series: dict[str, list[dict]], weights: dict[int, list[tuple]] | None = None, on_bar=None) -> list[dict]:
     """All events of one run. Series are aligned by position and cut to the shortest; signals come from weights by bar, or from on_bar(visible, i)."""
     n = min((len(s) for s in series.values()), default=0)
     views = {s: Visible(b) for s, b in series.items()}
 
-    def decide(i: int) -> list[tuple[str, float, str]]:
+    def decide(i: int) -> list[tuple]:
         if on_bar is None:
             return (weights or {}).get(i, [])
         for v in views.values():
             v.cursor = i
         return list(on_bar(views, i) or [])
 
-    first = next(iter(series.values()), [])
-    interval = float(first[1]["ts"] - first[0]["ts"]) if len(first) > 1 else 86_400_000.0
-    engine, out = Engine(cfg, max(interval, 1.0)), []
-    for i in range(n):
-        bars = {s: tuple(b[i][c] for c in ("open", "high", "low", "close", "volume")) for s, b in series.items()}
-        out += [{**e, "bar_index": i} for e in engine.step(first[i]["ts"], bars, decide)]
-    return out
+    quotes = {s: [tuple(b[c] for c in ("open", "high", "low", "close", "volume")) for b in rows[:n]] for s, rows in series.items()}
+    return list(play(cfg, [b["ts"] for b in next(iter(series.values()), [])[:n]], quotes, decide))

@@ -5,6 +5,7 @@ from __future__ import annotations
 import math
 
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ..functions import columns as C
 from ..operators import costs, cv, graveyard, metrics, news, overfit, pit, regimes, resample, risk, signals, sizing, volatility
@@ -81,14 +82,22 @@ def psr_moments(spark, sf):
     return m.select("symbol", "n", (F.round("sr", 6) + 0.0).alias("sr"), (F.round("skew", 5) + 0.0).alias("skew"), (F.round("kurt", 5) + 0.0).alias("kurt"), (F.round("psi", 8) + 0.0).alias("psi"))
 
 
-@query("psr")
+# The normal law in SQL: the density times x + x^3 / 3 + x^5 / (3 * 5) + ..., whose terms are taken by logarithms.
+_CDF = "CASE WHEN abs({0}) > 8 THEN CASE WHEN {0} > 0 THEN 1.0 ELSE 0.0 END WHEN {0} = 0 THEN 0.5 ELSE 0.5 + sign({0}) * exp(-{0} * {0} / 2) / sqrt(2 * pi()) * list_sum(list_transform(range(0, 200), lambda k: exp((2 * k + 1) * ln(abs({0})) - (lgamma(2 * k + 2) - k * ln(2) - lgamma(k + 1))))) END"
+_MOMENTS = """m AS (SELECT symbol, count(r) AS n, avg(r) AS mean, stddev_samp(r) AS sd FROM r GROUP BY symbol),
+ k AS (SELECT symbol, any_value(n) AS n, any_value(mean) / any_value(sd) AS sr, avg(pow((r - mean) / sd, 3)) AS skew, avg(pow((r - mean) / sd, 4)) AS kurt FROM r JOIN m USING (symbol) GROUP BY symbol),
+ ps AS (SELECT symbol, n, sr, sqrt(greatest(0, (1 - skew * sr + (kurt - 1) / 4 * sr * sr) / (n - 1))) AS psi FROM k)"""
+_BAR = math.sqrt(252) * overfit.expected_max_sharpe(10)
+
+
+@query("psr", f"WITH {{R3}}, {_MOMENTS}, x AS (SELECT *, sr * sqrt(n - 1) / psi AS x FROM ps) SELECT symbol, n, round(sr, 8) + 0.0 AS sr, round({_CDF.format('x')}, 8) + 0.0 AS psr FROM x")
 def psr(spark, sf):
-    return overfit.sharpe_probabilities(_returns(spark, sf), ["symbol"]).select("symbol", "n", "sr", "psr")
+    return rounded(overfit.sharpe_probabilities(_returns(spark, sf), ["symbol"]).select("symbol", "n", "sr", "psr"), 8)
 
 
-@query("dsr")
+@query("dsr", f"WITH {{R3}}, {_MOMENTS}, x AS (SELECT *, sr * sqrt(n - 1) / psi AS x, (sr - psi * {_BAR!r}) * sqrt(n - 1) / psi AS y FROM ps) SELECT symbol, n, round(sr, 8) + 0.0 AS sr, round({_CDF.format('x')}, 8) + 0.0 AS psr, round({_CDF.format('y')}, 8) + 0.0 AS dsr FROM x")
 def dsr(spark, sf):
-    return overfit.sharpe_probabilities(_returns(spark, sf), ["symbol"], trials=10)
+    return rounded(overfit.sharpe_probabilities(_returns(spark, sf), ["symbol"], trials=10), 8)
 
 
 _BLOCKS = "{A7}, sp AS (SELECT min(t) AS lo, (max(t) - min(t) + 1) // 6 AS size FROM m), bl AS (SELECT ((t - lo) // size)::INT AS block, config_id::INT AS config_id, r FROM m, sp WHERE (t - lo) // size < 6), st AS (SELECT block, config_id, count(r) AS n, sum(r) AS s, sum(r * r) AS q FROM bl GROUP BY ALL)"
@@ -119,30 +128,40 @@ def ci_percentiles(spark, sf):
     return rounded(resample.confidence_interval(A.embedding_matrix(spark, sf), ["config_id"], 0.05, "r"), 8)
 
 
-_PCV = "f AS (SELECT k::INT AS fold, k * 201 AS lo, least(1003, (k + 1) * 201) AS hi FROM range(5) AS g(k)), c AS (SELECT fold, idx, CASE WHEN idx >= lo AND idx < hi THEN 'test' WHEN NOT (idx >= lo - 3 AND idx < hi + 7) THEN 'train' END AS role FROM f, range(1003) AS i(idx))"
+# Splits of the longest series of the table: n is its number of bars.
+_N = "{A3}, n AS (SELECT max(idx) + 1 AS n FROM b)"
+_PCV = f"{_N}, fs AS (SELECT k::INT AS fold, k * ((n + 4) // 5) AS lo, least(n, (k + 1) * ((n + 4) // 5)) AS hi, n FROM n, range(5) AS g(k) WHERE k * ((n + 4) // 5) < n), c AS (SELECT fold, i::BIGINT AS idx, CASE WHEN i >= lo AND i < hi THEN 'test' WHEN NOT (i >= lo - 3 AND i < hi + 7) THEN 'train' END AS role FROM fs, range(100000) AS h(i) WHERE i < n)"
+
+
+def _length(spark, sf):
+    return cv.length_of(A.bars_daily_orders(spark, sf))
 
 
 @query("purged_cv_folds", f"WITH {_PCV} SELECT fold, idx, role FROM c WHERE role IS NOT NULL")
 def purged_cv_folds(spark, sf):
-    return cv.purged_cv(spark, 1003, 5, 3, 7)
+    return cv.purged_cv(spark, _length(spark, sf), 5, 3, 7)
 
 
-@query("embargo_mask", "SELECT idx, NOT (idx >= 400 AND idx < 425) AS keep FROM range(1000) AS g(idx)")
+@query("embargo_mask", f"WITH {_N} SELECT i::BIGINT AS idx, NOT (i >= n // 2 AND i < n // 2 + 25) AS keep FROM n, range(100000) AS g(i) WHERE i < n")
 def embargo_mask(spark, sf):
-    return cv.embargo_mask(spark, 1000, 400, 25)
+    n = _length(spark, sf)
+    return cv.embargo_mask(spark, n, n // 2, 25)
 
 
-@query("walk_forward", "SELECT k::INT AS fold, k * 50 AS train_lo, k * 50 + 252 AS train_hi, k * 50 + 252 AS test_lo, k * 50 + 302 AS test_hi FROM range(100) AS g(k) WHERE k * 50 + 302 <= 1709")
+@query("walk_forward", f"WITH {_N} SELECT k::INT AS fold, k * 50 AS train_lo, k * 50 + 252 AS train_hi, k * 50 + 252 AS test_lo, k * 50 + 302 AS test_hi FROM n, range(10000) AS g(k) WHERE k * 50 + 302 <= n")
 def walk_forward(spark, sf):
-    return cv.walk_forward(spark, 1709, 252, 50)
+    return cv.walk_forward(spark, _length(spark, sf), 252, 50)
 
 
-@query("walk_forward_expanding", "SELECT k::INT AS fold, 0::BIGINT AS train_lo, k * 50 + 252 AS train_hi, k * 50 + 252 AS test_lo, k * 50 + 302 AS test_hi FROM range(100) AS g(k) WHERE k * 50 + 302 <= 1709")
+@query("walk_forward_expanding", f"WITH {_N} SELECT k::INT AS fold, 0::BIGINT AS train_lo, k * 50 + 252 AS train_hi, k * 50 + 252 AS test_lo, k * 50 + 302 AS test_hi FROM n, range(10000) AS g(k) WHERE k * 50 + 302 <= n")
 def walk_forward_expanding(spark, sf):
-    return cv.walk_forward(spark, 1709, 252, 50, expanding=True)
+    return cv.walk_forward(spark, _length(spark, sf), 252, 50, expanding=True)
 
 
-@query("walk_forward_evaluate")
+_SR = "CASE WHEN stddev_samp(r) FILTER ({0}) > 1e-15 THEN avg(r) FILTER ({0}) / stddev_samp(r) FILTER ({0}) * sqrt(252) ELSE 0 END"
+
+
+@query("walk_forward_evaluate", f"WITH {{R3}}, n AS (SELECT max(idx) + 1 AS n FROM r), f AS (SELECT k::INT AS fold, k * 50 AS a, k * 50 + 252 AS c, k * 50 + 302 AS e FROM n, range(10000) AS g(k) WHERE k * 50 + 302 <= n) SELECT symbol, fold, round({_SR.format('idx < c')}, 6) + 0.0 AS train, round({_SR.format('idx >= c')}, 6) + 0.0 AS test FROM r JOIN f ON idx >= a AND idx < e GROUP BY symbol, fold")
 def walk_forward_evaluate(spark, sf):
     """Sharpe ratio of every series in and out of sample, per fold of its own length."""
     import pandas as pd
@@ -155,7 +174,7 @@ def walk_forward_evaluate(spark, sf):
         part = lambda k: resample.sharpe(pdf[pdf["role"] == k].sort_values("idx")["r"].to_numpy(float))
         return pd.DataFrame({"symbol": [pdf["symbol"].iat[0]], "fold": [pdf["fold"].iat[0]], "train": [part("train")], "test": [part("test")]})
 
-    return cv.evaluate_folds(r, folds, score, "symbol string, fold int, train double, test double", by=["symbol"])
+    return rounded(cv.evaluate_folds(r, folds, score, "symbol string, fold int, train double, test double", by=["symbol"]))
 
 
 query("bootstrap_iid")(lambda spark, sf: resample.bootstrap_sharpe(_returns(spark, sf), "symbol", 1000))
@@ -263,10 +282,11 @@ _BASE = {"participation_cap": 1.0}
 query("sweep_cost")(lambda spark, sf: _sweep(spark, sf, bt.cost_sweep(_BASE)))
 query("sweep_delay")(lambda spark, sf: _sweep(spark, sf, bt.delay_sweep(_BASE)))
 query("sweep_slippage")(lambda spark, sf: _sweep(spark, sf, bt.slippage_sweep(_BASE)))
-query("sweep_start")(lambda spark, sf: _sweep(spark, sf, bt.start_sweep(_BASE)))
+query("sweep_start")(lambda spark, sf: _sweep(spark, sf, bt.start_sweep(_BASE, universe=list(PRIORITIES))))
 query("sweep_liquidity")(lambda spark, sf: _sweep(spark, sf, bt.liquidity_sweep()))
-query("degradation")(lambda spark, sf: bt.degradation(_sweep(spark, sf, bt.cost_sweep(_BASE) + bt.delay_sweep(_BASE) + bt.slippage_sweep(_BASE))))
-query("robustness_surface")(lambda spark, sf: bt.robustness(_sweep(spark, sf, bt.cost_sweep(_BASE) + bt.delay_sweep(_BASE))))
+
+
+query("sweep_robustness")(lambda spark, sf: bt.robustness(_sweep(spark, sf, bt.cost_sweep(_BASE) + bt.delay_sweep(_BASE) + bt.slippage_sweep(_BASE))))
 
 
 @query("sweep_params")
@@ -284,10 +304,64 @@ def sweep_universe(spark, sf):
     return bt.sweep_results(bt.backtest(b, signals.momentum(b), runs), runs)
 
 
-query("signal_order_natural")(lambda spark, sf: bt.signal_order_value(_one_run(spark, sf)))
-query("signal_order_shuffled")(lambda spark, sf: bt.shuffled_order_value(_one_run(spark, sf)))
-query("drop_random_trades")(lambda spark, sf: bt.drop_random_trades(_one_run(spark, sf)))
-query("entry_delay_impact")(lambda spark, sf: bt.entry_delay_impact(_one_run(spark, sf)))
+def _table_events(spark, sf):
+    """An event log made of the daily bars: each symbol a run, its closes the equity; a signal at every third bar, one fill or two at every fifth."""
+    b = A.bars_daily_orders(spark, sf).select(F.col("symbol").alias("run_id"), F.col("idx").cast("int").alias("bar_index"), "close", "volume")
+    none = F.lit(None).cast("double")
+    row = lambda kind, symbol, order, equity=none, weight=none, q=none, p=none: F.struct(F.lit(kind).alias("type"), symbol.alias("symbol"), order.cast("int").alias("order_id"), equity.alias("equity"), weight.alias("target_weight"), q.alias("quantity"), p.alias("price"))
+    at, name = F.col("bar_index"), F.col("run_id")
+    rows = [
+        row("PORTFOLIO", F.lit(None).cast("string"), F.lit(None), F.col("close")),
+        F.when(at % 3 == 0, row("SIGNAL", name, F.lit(None), weight=F.col("volume") / 10 - 0.3)),
+        F.when(at % 5 == 0, row("FILL", name, 2 * at, q=F.col("volume"), p=F.col("close"))),
+        F.when(at % 10 == 0, row("FILL", name, 2 * at + 1, q=F.col("volume") / 2, p=F.col("close") + 1)),
+    ]
+    return b.select("run_id", "bar_index", F.explode(F.array_compact(F.array(*rows))).alias("e")).select("run_id", "bar_index", "e.*", F.lit(0).cast("long").alias("ts"), none.alias("cash"), none.alias("leverage"))
+
+
+_EV = """pf AS (SELECT symbol AS run_id, idx, close, volume, close / lag(close) OVER w - 1 AS r, lead(close) OVER w / close - 1 AS r1, lead(close, 2) OVER w / lead(close) OVER w - 1 AS r2, last(close) OVER (PARTITION BY symbol ORDER BY idx ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS scale FROM b WINDOW w AS (PARTITION BY symbol ORDER BY idx)),
+ fi AS (SELECT *, 2 * idx AS order_id, volume AS q, close AS p FROM pf WHERE idx % 5 = 0 UNION ALL SELECT *, 2 * idx + 1, volume / 2, close + 1 FROM pf WHERE idx % 10 = 0), si AS (SELECT *, volume / 10 - 0.3 AS w FROM pf WHERE idx % 3 = 0 AND r1 IS NOT NULL)"""
+_LOT = "('0x' || substr(md5({}), 1, 8))::BIGINT"
+
+
+@query("signal_order_natural", f"WITH {{A3}}, {_EV} SELECT run_id, round(sum(w * r1), 6) + 0.0 AS natural, count(*) AS n FROM si GROUP BY run_id")
+def signal_order_natural(spark, sf):
+    return rounded(bt.signal_order_value(_table_events(spark, sf)))
+
+
+@query("signal_order_shuffled", f"WITH {{A3}}, {_EV}, a AS (SELECT run_id, w, row_number() OVER (PARTITION BY run_id ORDER BY idx) AS k FROM si), z AS (SELECT run_id, r1, row_number() OVER (PARTITION BY run_id ORDER BY {_LOT.format("'0|' || run_id || '|' || idx")}, idx) AS k FROM si) SELECT a.run_id, round(sum(w * r1), 6) + 0.0 AS shuffled FROM a JOIN z ON a.run_id = z.run_id AND a.k = z.k GROUP BY a.run_id")
+def signal_order_shuffled(spark, sf):
+    return rounded(bt.shuffled_order_value(_table_events(spark, sf)))
+
+
+@query("drop_random_trades", f"WITH {{A3}}, {_EV}, l AS (SELECT *, row_number() OVER (PARTITION BY run_id ORDER BY {_LOT.format("'0|' || order_id || '|' || idx")}, idx, order_id) AS lot, count(*) OVER (PARTITION BY run_id) AS n FROM fi) SELECT run_id, count(*) AS dropped, round(sum(q * p / scale * r1), 6) + 0.0 AS impact FROM l WHERE lot <= round_even(n * 0.2, 0) AND r1 IS NOT NULL GROUP BY run_id")
+def drop_random_trades(spark, sf):
+    return rounded(bt.drop_random_trades(_table_events(spark, sf)))
+
+
+@query("entry_delay_impact", f"WITH {{A3}}, {_EV}, l AS (SELECT f.*, lead(r, 2) OVER (PARTITION BY run_id ORDER BY idx) AS later FROM pf f) SELECT f.run_id, count(*) AS n, round(sum(q * p / f.scale * (l.later - f.r)), 6) + 0.0 AS impact FROM fi f JOIN l ON l.run_id = f.run_id AND l.idx = f.idx WHERE f.r IS NOT NULL AND l.later IS NOT NULL GROUP BY f.run_id")
+def entry_delay_impact(spark, sf):
+    return rounded(bt.entry_delay_impact(_table_events(spark, sf)))
+
+
+# What a sweep gives, from the table: each symbol a dimension, years after the first the sizes, the year's Sharpe ratio.
+_RES = "{R3}, y AS (SELECT symbol AS dimension, year(make_timestamp(ts * 1000)) - min(year(make_timestamp(ts * 1000))) OVER () AS size, r FROM r), rs AS (SELECT dimension, size::DOUBLE AS size, CASE WHEN stddev_samp(r) > 1e-15 THEN avg(r) / stddev_samp(r) * sqrt(252) ELSE 0 END AS sharpe FROM y GROUP BY dimension, size), dg AS (SELECT dimension, CASE WHEN count(*) >= 2 THEN regr_slope(sharpe, size) / 100 ELSE 0 END AS slope, CASE WHEN count(*) >= 2 THEN regr_r2(sharpe, size) ELSE 0 END AS r2, min(sharpe) AS worst, max(sharpe) AS best FROM rs GROUP BY dimension)"
+
+
+def _table_results(spark, sf):
+    r = _returns(spark, sf).withColumn("year", F.year(F.date_from_unix_date((F.col("ts") / 86_400_000).cast("int"))))
+    per = r.groupBy(F.col("symbol").alias("dimension"), "year").agg(metrics.metric_columns()["sharpe"].alias("sharpe"))
+    return per.select("dimension", (F.col("year") - F.min("year").over(Window.partitionBy(F.lit(1)))).cast("double").alias("size"), "sharpe")  # a row per symbol and year
+
+
+@query("degradation", f"WITH {_RES} SELECT dimension, round(slope, 8) + 0.0 AS slope_per_1pct, round(r2, 6) + 0.0 AS r2, round(worst, 6) + 0.0 AS worst, round(best, 6) + 0.0 AS best FROM dg")
+def degradation(spark, sf):
+    return bt.degradation(_table_results(spark, sf)).select("dimension", (F.round("slope_per_1pct", 8) + 0.0).alias("slope_per_1pct"), *[(F.round(c, 6) + 0.0).alias(c) for c in ("r2", "worst", "best")])
+
+
+@query("robustness_surface", f"WITH {_RES}, s AS (SELECT min(slope) AS steepest, min(worst) AS worst FROM dg) SELECT round(steepest, 8) + 0.0 AS steepest, round(worst, 6) + 0.0 AS worst, CASE WHEN steepest < -0.30 OR worst < 0.2 THEN 'FRAGILE' WHEN steepest < -0.15 OR worst < 0.5 THEN 'MODERATE' ELSE 'ROBUST' END AS rating FROM s")
+def robustness_surface(spark, sf):
+    return bt.robustness(_table_results(spark, sf)).select((F.round("steepest", 8) + 0.0).alias("steepest"), (F.round("worst", 6) + 0.0).alias("worst"), "rating")
 
 
 # Regimes.

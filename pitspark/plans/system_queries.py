@@ -45,17 +45,26 @@ def ledger_recent(spark, sf):
 
 
 def _shared(spark, label):
-    """A new path in the folder that driver and executors share; the warehouse where none is named."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
+    """A new path in the folder that driver and executors share; the warehouse only where everything runs in this process."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not base:
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise RuntimeError("name a shared folder in spark.checkpoint.dir")
+        base = spark.conf.get("spark.sql.warehouse.dir")
     return f"{base.rstrip('/')}/pitspark/{label}-{uuid.uuid4().hex}"
 
 
 def _drained(stream, mode="append"):
-    """Runs a stream over what is there and returns its rows from memory: for bounded tables such as these."""
-    spark, name = stream.sparkSession, "s" + uuid.uuid4().hex
-    q = stream.writeStream.format("memory").queryName(name).outputMode(mode).option("checkpointLocation", _shared(spark, "stream")).trigger(availableNow=True).start()
+    """Runs a stream over what is there into a table in the shared folder and reads it back; each batch of a complete result replaces the last."""
+    spark, path = stream.sparkSession, _shared(stream.sparkSession, "stream-out")
+
+    def store(batch, number):
+        batch.write.mode("overwrite").parquet(path if mode == "complete" else f"{path}/batch={number}")
+
+    q = stream.writeStream.foreachBatch(store).outputMode(mode).option("checkpointLocation", _shared(spark, "stream")).trigger(availableNow=True).start()
     q.awaitTermination()
-    return spark.table(name)
+    return spark.read.schema(stream.schema).parquet(path if mode == "complete" else f"{path}/batch=*")
 
 
 def _event_stream(spark, sf):
@@ -77,7 +86,7 @@ def stream_ohlc(spark, sf):
     return _drained(ohlc.ohlc(_event_stream(spark, sf)), "complete")
 
 
-@query("stream_ohlc_append")
+@query("stream_ohlc_append", f"SELECT s.* FROM ({_A1_BARS}) s, (SELECT epoch_ms(max(ts) - INTERVAL 1 HOUR) AS w FROM events) WHERE s.ts + 86400000 <= w")
 def stream_ohlc_append(spark, sf):
     return _drained(ohlc.ohlc(_event_stream(spark, sf)))
 

@@ -7,6 +7,7 @@ ISSUE = "symbol string, code string, severity string, message string, idx long"
 SIGNAL = "run_id string, bar_index int, ts long, symbol string, target_weight double, reason string"
 EVENT = (
     "run_id string, seq long, type string, ts long, bar_index int, symbol string, order_id int, side string, quantity double, price double, "
-    "commission double, requested double, partial boolean, target_weight double, reason string, equity double, cash double, leverage double"
+    "commission double, requested double, partial boolean, target_weight double, reason string, equity double, cash double, leverage double, "
+    "kind string, limit_price double, stop_price double, eligible_from int, positions string, params string"
 )
 DAY_MS = 86_400_000

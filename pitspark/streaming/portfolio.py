@@ -10,11 +10,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..plans import kernel
+from ..plans.backtest import event_frame
 from ..schema import EVENT
 
-_COLUMNS = [c.split()[0] for c in EVENT.split(", ")]
-
-
 def run_stream(bars: DataFrame, config: kernel.Config | None = None) -> DataFrame:
     """bars: a stream of (run_id, symbol, ts, open, high, low, close, volume, target_weight), each ts complete within a batch and batches in order of ts.
 
@@ -33,6 +31,6 @@ def run_stream(bars: DataFrame, config: kernel.Config | None = None) -> DataFram
                 out.append({**e, "bar_index": engine.i, "run_id": key[0], "seq": seq})
                 seq += 1
         state.update((pickle.dumps((engine, seq)),))
-        yield pd.DataFrame(out).reindex(columns=_COLUMNS).astype({"bar_index": "Int32", "order_id": "Int32"})
+        yield event_frame(out)
 
     return bars.groupBy("run_id").applyInPandasWithState(play, EVENT, "engine binary", "append", GroupStateTimeout.NoTimeout)

@@ -1,3 +1,5 @@
+import dataclasses
+import json
 import math
 
 import numpy as np
@@ -5,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from pitspark.functions.normal import cdf, ppf
-from pitspark.operators import costs, cv, graveyard, indicators, ledger, metrics, news, overfit, regimes, reports, resample, signals, sizing, synthetic, volatility
+from pitspark.operators import costs, cv, fingerprint, graveyard, indicators, ledger, metrics, news, overfit, regimes, reports, resample, signals, sizing, synthetic, volatility
 from pitspark.plans import backtest as bt
 from pitspark.plans import kernel
 from pitspark.sources import series as io
@@ -324,3 +326,57 @@ def test_resampling_queries_are_registered_with_the_reference_draws(spark, monke
     for q in ("edge_uncertainty", "validation_report", "shuffle_null", "monte_carlo_null", "mc_paths", "bootstrap_iid", "bootstrap_block", "bootstrap_stationary", "corrupted_edge"):
         catalog.QUERIES[q](spark, "/root/testdata/sf0.001")
     assert asked == {"edge_uncertainty_kelly": 300, "validation_table": 300, "shuffle_pvalue": 500, "monte_carlo_null": 500, "monte_carlo_paths": 1000, "iid": 1000, "block": 1000, "stationary": 1000, "corrupted_edge": (500, 500)}
+
+
+def bar(o, h, l, c, v=1e9):
+    return {"open": o, "high": h, "low": l, "close": c, "volume": v}
+
+
+def test_limit_and_stop_orders_rest_until_their_price():
+    rows = [{"ts": 86_400_000 * i, **b} for i, b in enumerate([bar(100, 100, 100, 100), bar(100, 100, 100, 100), bar(100, 101, 99, 100), bar(100, 106, 94, 100), bar(90, 91, 89, 90), bar(120, 121, 119, 120)])]
+    cfg = kernel.Config(profile="optimistic", commission_bps=10.0, min_commission=0.0, max_position_weight=5.0, max_leverage=5.0)
+    run = lambda weight, **terms: [e for e in kernel.run(cfg, {"A": rows}, {0: [("A", weight, "x", terms)]}) if e["type"] in ("ORDER", "FILL")]
+    order, fill = run(0.5, kind="LIMIT", limit=95.0)
+    assert (order["kind"], order["limit_price"], order["eligible_from"]) == ("LIMIT", 95.0, 2) and fill["bar_index"] == 4 and fill["price"] <= 95.0
+    _, fill = run(0.5, kind="STOP", stop=105.0)
+    assert fill["bar_index"] == 3 and fill["price"] == 105.0
+    _, fill = run(-0.5, kind="STOP", stop=95.0)
+    assert fill["bar_index"] == 3 and fill["price"] == 95.0
+    assert len(run(0.5, kind="LIMIT", limit=50.0)) == 1
+    ref = dataclasses.replace(cfg, semantics="reference", max_position_weight=0.1)
+    events = kernel.run(ref, {"A": rows}, {0: [("A", 0.5, "x")]})
+    fill = next(e for e in events if e["type"] == "FILL")
+    assert fill["quantity"] < fill["requested"] and abs(fill["commission"] - fill["requested"] * fill["price"] * 1e-3) < 1e-6  # billed as offered
+    portfolio = [e for e in events if e["type"] == "PORTFOLIO"][-1]
+    assert json.loads(portfolio["positions"])["A"] == fill["quantity"]
+
+
+def test_visible_honours_zero_and_advances_to_the_end():
+    seen = kernel.Visible([{"ts": 5, "close": 1.0, "available_time": 0}, {"ts": 6, "close": 2.0, "available_time": 9}, {"ts": 9, "close": 3.0}])
+    assert [seen.advance() for _ in range(3)] == [0, 1, 2] and seen.total == 3
+    assert seen.closes(0) == [1.0] and seen.closes(1) == [1.0] and seen.closes(2) == [1.0, 2.0, 3.0]
+    with pytest.raises(IndexError):
+        seen.advance()
+
+
+def test_orders_with_terms_in_a_spark_backtest(spark):
+    rows = [("A", i, 86_400_000 * i, 100.0, 100.0 + i, 100.0 - i, 100.0, 1e9) for i in range(8)]
+    bars = spark.createDataFrame(rows, "symbol string, idx long, ts long, open double, high double, low double, close double, volume double")
+    signals_ = spark.createDataFrame([("A", 0, 0.5, "STOP", None, 105.0)], "symbol string, idx long, target_weight double, kind string, limit_price double, stop_price double")
+    runs = bt.runs_frame(spark, [{"run_id": f"r{k}", "start": 0} for k in range(3)])
+    got = bt.fills(bt.backtest(bars, signals_, runs, lanes=2)).collect()
+    assert [(r["run_id"], r["bar_index"], r["price"]) for r in sorted(got)] == [(f"r{k}", 5, 105.0) for k in range(3)]
+
+
+def test_dataset_digest_counts_rows_and_forgets_their_order(spark):
+    rows = [(i % 7, str(i % 5), None if i % 3 else i / 3) for i in range(300)]
+    df = spark.createDataFrame(rows, "a long, b string, c double")
+    one = fingerprint.dataset_digest(df).first()
+    assert one == fingerprint.dataset_digest(df.repartition(7).orderBy("c")).first() and one["n"] == 300
+    assert one != fingerprint.dataset_digest(df.union(df.limit(1))).first()
+    assert fingerprint.dataset_digest(df.where("false")).first()["n"] == 0
+
+
+def test_block_bootstrap_of_a_short_series_is_undefined(spark):
+    r = returns_frame(spark, np.array([0.01, 0.02, -0.01]))
+    assert {x["value"] for x in resample.replicates(r, "symbol", 5, resample.block(10)).collect()} == {None}
