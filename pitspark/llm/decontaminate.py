@@ -143,23 +143,27 @@ def tiles(doc: np.ndarray, item: np.ndarray, min_match: int = 5) -> list[tuple[i
 
 
 class Bloom:
-    """Two bits per seed in a power of two of bits."""
+    """Three bits per seed in a power of two of bits."""
+
+    SHIFTS = (0, 20, 40)
+    #: Bits per seed, while most_bits allows them: of the windows of unrelated texts about one in two million passes.
+    PER_SEED = 256
 
     def __init__(self, words: np.ndarray):
         self.words, self.mask = words, np.uint64(64 * len(words) - 1)
 
     def has(self, seeds: np.ndarray) -> np.ndarray:
         out = np.ones(len(seeds), bool)
-        for shift in (0, 32):
+        for shift in self.SHIFTS:
             place = (seeds >> np.uint64(shift)) & self.mask
             out &= (self.words[(place >> np.uint64(6)).astype(np.int64)] >> (place & np.uint64(63)) & np.uint64(1)).astype(bool)
         return out
 
     @classmethod
     def of(cls, seeds: DataFrame, n: int, most_bits: int) -> "Bloom":
-        """Of the column `seed` of a table of n rows; collects at most most_bits / 64 words. The mask holds 32 bits at most."""
-        bits = 1 << min(most_bits.bit_length() - 1, max(12, (16 * max(1, n) - 1).bit_length()))
-        at = F.explode(F.array(*[F.shiftrightunsigned("seed", s).bitwiseAND(F.lit(bits - 1)) for s in (0, 32)]))
+        """Of the column `seed` of a table of n rows; collects at most most_bits / 64 words. Up to 2^24 bits the three places hang on enough of the hash."""
+        bits = 1 << min(most_bits.bit_length() - 1, max(12, (cls.PER_SEED * max(1, n) - 1).bit_length()))
+        at = F.explode(F.array(*[F.shiftrightunsigned("seed", s).bitwiseAND(F.lit(bits - 1)) for s in cls.SHIFTS]))
         words = seeds.select(at.alias("at")).groupBy(F.shiftrightunsigned("at", 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(cast(1 as bigint), cast(at & 63 as int))")).alias("bits"))
         out = np.zeros(bits // 64, np.uint64)
         for r in words.collect():

@@ -85,7 +85,7 @@ def _streamed(docs: DataFrame, rows: int, bucket_rows: int, s: Scratch) -> DataF
     return joined.withColumn("start", F.col("base") + F.col("upto_here") - F.col("size")).drop("of", "at", "base", "upto_here", "bucket")
 
 
-def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", budget: float = 1.5, weights: tuple[int, ...] = (3, 1, 2), cap: float = 2.0, n_shards: int = 40, blocks_per_shard: int = 256, seed: int = 0, bucket_rows: int = 20000, carry_rows: bool = False) -> DataFrame:
+def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", budget: float = 1.5, weights: tuple[int, ...] = (3, 1, 2), cap: float = 2.0, n_shards: int = 40, blocks_per_shard: int = 256, seed: int = 0, bucket_rows: int = 8192, carry_rows: bool = False) -> DataFrame:
     """One row per row of docs: doc_id, size, source, source_size, target, pieces and taken.
 
     pieces are what the mix takes: word ranges [from, to) of the text, each with its shard; a whole copy per pass through the
