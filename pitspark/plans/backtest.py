@@ -74,7 +74,8 @@ def backtest(bars: DataFrame, signals: DataFrame, runs: DataFrame, lanes: int |
                 out.append(e)
         return event_frame(out)
 
-    return rows.groupBy("lane").applyInPandas(play, EVENT)
+    # By number, as the few bytes of a lane say nothing of its work and would be packed into one task.
+    return rows.repartition(max(1, 4 * len(plans)), "lane").groupBy("lane").applyInPandas(play, EVENT)
 
 
 def equity_curve(events: DataFrame) -> DataFrame:
