@@ -354,12 +354,27 @@ def sig_pairs_late(spark, sf):
     return signals.pairs(A.bars_tied(spark, sf), "1-URGENT", "2-HIGH", align="position")
 
 
-@query("sig_rsi_late")
+_LATE_RSI = """s AS (SELECT d.symbol, d.idx AS di, d.ts AS dts, v.close - lag(v.close) OVER w AS ch, row_number() OVER w - 1 AS k, count(*) OVER (PARTITION BY d.symbol, d.idx) AS n FROM late d JOIN late v ON v.symbol = d.symbol AND v.idx <= d.idx AND v.available_time <= d.ts WINDOW w AS (PARTITION BY d.symbol, d.idx ORDER BY v.idx)),
+ g AS (SELECT symbol, di, dts, sum(x * greatest(ch, 0)) AS g, sum(x * greatest(-ch, 0)) AS l FROM (SELECT *, pow(13 / 14e0, n - 1 - greatest(k, 14)) AS x FROM s WHERE n >= 15 AND k <> 14 AND k > 0) GROUP BY ALL),
+ rs AS (SELECT *, CASE WHEN l > 0 THEN 100 - 100 / (1 + g / l) WHEN g > 0 THEN 100 ELSE 50 END AS rsi FROM g)"""
+
+
+def _late_rsi(low: int, high: int) -> str:
+    return f"WITH {{A5T}}, {_LATE_RSI} SELECT symbol, di AS idx, dts AS ts, CASE WHEN rsi < {low} THEN 1e0 ELSE -1e0 END AS target_weight FROM rs WHERE rsi < {low} OR rsi > {high}"
+
+
+@query("sig_rsi_late", _late_rsi(30, 70))
 def sig_rsi_late(spark, sf):
     """Wilder's averages run over the whole visible prefix, so a late bar changes all of them."""
     return signals.mean_reversion_rsi(A.bars_tied(spark, sf))
 
 
+@query("sig_rsi_late_narrow", _late_rsi(45, 55))
+def sig_rsi_late_narrow(spark, sf):
+    """Bounds that the tables' prices do cross."""
+    return signals.mean_reversion_rsi(A.bars_tied(spark, sf), 14, 45.0, 55.0)
+
+
 @query("sig_random", "WITH {A3}, u AS (SELECT symbol, idx, ts, ('0x' || substr(md5('42|' || symbol || '|' || idx), 1, 8))::BIGINT / 4294967296.0 AS u FROM b) SELECT symbol, idx, ts, CASE WHEN u < 0.25 THEN -1.0 ELSE 1.0 END AS target_weight FROM u WHERE u < 0.25 OR u >= 0.75")
 def sig_random(spark, sf):
     return signals.random_signal(A.bars_daily_orders(spark, sf))

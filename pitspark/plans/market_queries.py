@@ -265,11 +265,67 @@ def _one_run(spark, sf, semantics="documented"):
 
 
 query("backtest_events")(lambda spark, sf: _one_run(spark, sf))
-query("backtest_equity")(lambda spark, sf: bt.equity_curve(_one_run(spark, sf)))
-query("backtest_fills")(lambda spark, sf: bt.fills(_one_run(spark, sf)))
-query("backtest_rejects")(lambda spark, sf: bt.rejects(_one_run(spark, sf)))
-query("backtest_reference")(lambda spark, sf: bt.final_equity(_one_run(spark, sf, "reference")))
-query("backtest_metrics")(lambda spark, sf: bt.run_metrics(_one_run(spark, sf)))
+
+
+def _account_sql(semantics: str) -> str:
+    """The account of each run of _one_run, bar by bar: st holds what is left after bar i, and what its order met there.
+
+    A run has one symbol, so one order rests at most: side, pq (its quantity), elig (the bar it trades from) and pid.
+    """
+    documented = semantics == "documented"
+    signed = "offered * side" if documented else "offered"
+    gross = "(abs(qty) + abs(qty + allowed) - abs(qty)) * price" if documented else "(abs(qty) + abs(allowed)) * price"
+    return f"""{{A3}}, sg AS (SELECT *, CASE WHEN idx >= 19 THEN CASE WHEN avg(close) OVER (PARTITION BY symbol ORDER BY idx ROWS 4 PRECEDING) > avg(close) OVER (PARTITION BY symbol ORDER BY idx ROWS 19 PRECEDING) THEN 1e0 ELSE -1e0 END END AS w FROM b),
+ st AS (SELECT DISTINCT symbol, -1::BIGINT AS i, 0::BIGINT AS ts, 1e6 AS cash, 0e0 AS qty, 0 AS side, 0e0 AS pq, 0::BIGINT AS elig, 0 AS pid, 1 AS nid, 1e6 AS equity, 0e0 AS leverage, false AS due, '' AS reason, 0 AS met, 0 AS met_side, 0e0 AS allowed, 0e0 AS price, 0e0 AS fee, 0e0 AS requested, 0e0 AS offered FROM b
+ UNION ALL SELECT symbol, idx, t, cash, qty, CASE WHEN fresh THEN CASE WHEN want > qty THEN 1 ELSE -1 END WHEN moved THEN 0 ELSE side END, CASE WHEN fresh THEN abs(want - qty) WHEN moved THEN 0 ELSE pq END, CASE WHEN fresh THEN idx + 2 ELSE elig END,
+   CASE WHEN fresh THEN nid ELSE pid END, CASE WHEN fresh THEN nid + 1 ELSE nid END, value, CASE WHEN value > 0 THEN abs(qty) * close / value ELSE 0 END, due, reason, met, met_side, allowed, price, fee, requested, offered
+ FROM (SELECT *, moved AND abs(want - qty) / greatest(1, abs(qty)) > 0.005e0 AS fresh
+ FROM (SELECT *, coalesce(close > 0 AND abs(want - (qty + side * pq)) / greatest(1, abs(qty + side * pq)) > 0.005e0, false) AS moved
+ FROM (SELECT *, w * value / close AS want
+ FROM (SELECT *, cash + qty * close AS value
+ FROM (SELECT * REPLACE (CASE WHEN filled THEN cash - allowed * price - {'fee' if documented else '0'} ELSE cash END AS cash, CASE WHEN NOT filled OR abs(allowed) < 1e-12 THEN qty WHEN abs(qty + allowed) < 1e-9 THEN 0 ELSE qty + allowed END AS qty,
+   CASE WHEN NOT due OR filled AND offered < pq THEN side ELSE 0 END AS side, CASE WHEN NOT due THEN pq WHEN filled AND offered < pq THEN pq - offered ELSE 0 END AS pq), pid AS met, side AS met_side, pq AS requested
+ FROM (SELECT *, due AND reason IS NULL AS filled, CASE WHEN billed > 0 THEN greatest(billed * 5e0 / 1e4, 1) ELSE 0 END AS fee
+ FROM (SELECT *, {'abs(allowed)' if documented else 'offered'} * price AS billed, CASE WHEN NOT due THEN NULL WHEN allowed = 0 THEN 'ROOM' WHEN abs(qty + allowed) >= 1e-12 AND abs(qty + allowed) * price / equity - 1e-3 > 1 THEN 'WEIGHT'
+   WHEN abs(qty + allowed) >= 1e-12 AND {gross} / equity > 2 + 1e-3 THEN 'LEVERAGE' WHEN abs(allowed) >= 1e-12 AND cash - allowed * price < -1e-9 THEN 'CASH' END AS reason
+ FROM (SELECT *, CASE WHEN NOT due OR offered < 1e-12 OR price <= 0 OR equity <= 0 THEN 0 ELSE sign({signed}) * greatest(0, least(offered, CASE WHEN {signed} > 0 THEN greatest(cash, 0) / price ELSE 1e300 END, (1 + 1e-3) * equity / price + abs(qty), (2 + 1e-3) * equity / price)) END AS allowed
+ FROM (SELECT st.symbol, sg.idx, sg.ts AS t, sg.close, sg.w, st.cash, st.qty, st.side, st.pq, st.elig, st.pid, st.nid, st.equity, side <> 0 AND elig <= sg.idx AS due, sg.open * (1 + side * 1e-4) AS price, CASE WHEN sg.volume > 0 THEN least(pq, sg.volume) ELSE pq END AS offered
+ FROM st JOIN sg ON sg.symbol = st.symbol AND sg.idx = st.i + 1)))))))))), run AS (SELECT *, 'run-' || symbol AS run_id, i::INT AS bar_index FROM st WHERE i >= 0)"""
+
+
+_ACCOUNT = f"WITH RECURSIVE {_account_sql('documented')}"
+
+
+@query("backtest_equity", f"{_ACCOUNT} SELECT run_id, bar_index, ts, round(equity, 4) + 0.0 AS equity, round(cash, 4) + 0.0 AS cash, round(leverage, 4) + 0.0 AS leverage FROM run")
+def backtest_equity(spark, sf):
+    return rounded(bt.equity_curve(_one_run(spark, sf)), 4)
+
+
+@query(
+    "backtest_fills",
+    f"""{_ACCOUNT} SELECT run_id, bar_index, met AS order_id, symbol, CASE WHEN met_side > 0 THEN 'BUY' ELSE 'SELL' END AS side, round(abs(allowed), 6) + 0.0 AS quantity, round(price, 6) + 0.0 AS price, round(fee, 6) + 0.0 AS commission,
+ round(requested, 6) + 0.0 AS requested, offered < requested OR abs(allowed) < requested AS partial FROM run WHERE due AND reason IS NULL""",
+)
+def backtest_fills(spark, sf):
+    return rounded(bt.fills(_one_run(spark, sf)))
+
+
+@query("backtest_rejects", f"{_ACCOUNT} SELECT run_id, bar_index, met AS order_id, symbol, reason FROM run WHERE due AND reason IS NOT NULL")
+def backtest_rejects(spark, sf):
+    return bt.rejects(_one_run(spark, sf))
+
+
+@query("backtest_reference", f"WITH RECURSIVE {_account_sql('reference')} SELECT run_id, round(arg_max(equity, bar_index), 4) + 0.0 AS final_equity FROM run GROUP BY run_id")
+def backtest_reference(spark, sf):
+    return rounded(bt.final_equity(_one_run(spark, sf, "reference")), 4)
+
+
+_RUN_RETURNS = "r AS (SELECT run_id AS symbol, bar_index AS idx, equity / lag(equity) OVER (PARTITION BY run_id ORDER BY bar_index) - 1 AS r FROM run QUALIFY r IS NOT NULL)"
+
+
+@query("backtest_metrics", f"{_ACCOUNT}, {_RUN_RETURNS}, {_EQ}, {_AGG} SELECT symbol AS run_id, * EXCLUDE (symbol) FROM ({_METRICS})")
+def backtest_metrics(spark, sf):
+    return rounded(bt.run_metrics(_one_run(spark, sf)))
 
 
 def _sweep(spark, sf, specs):

@@ -15,10 +15,18 @@ from .registry import query
 query("synthetic_universe")(lambda spark, sf: synthetic.universe(spark, 300))
 query("synthetic_pairs")(lambda spark, sf: synthetic.generate(synthetic.specs(spark, ["P"], "pairs", 300)))
 query("fingerprint_series")(lambda spark, sf: fingerprint.fingerprint_bars(A.bars_daily_orders(spark, sf)))
-query("dataset_digest")(lambda spark, sf: fingerprint.dataset_digest(A.bars_daily_orders(spark, sf).drop("idx"), ["symbol", "ts"]))
 query("validation_report")(lambda spark, sf: reports.validation_table(pit.returns(A.bars_daily_orders(spark, sf)), "symbol", 300).drop("concerns"))
 
 
+_LINE = " || '|' || ".join(f"coalesce(length({c}::VARCHAR) || ':' || {c}::VARCHAR, '~')" for c in ("symbol", "ts", "open", "high", "low", "close", "volume"))
+_LANES = ", ".join(f"sum(('0x' || substr(h, {8 * k + 1}, 8))::BIGINT) AS s{k}" for k in range(8))
+
+
+@query("dataset_digest", f"WITH {{A3}}, h AS (SELECT sha256({_LINE}) AS h FROM b), p AS (SELECT ('0x' || substr(h, 1, 8))::BIGINT % 4096 AS part, count(*) AS n, {_LANES} FROM h GROUP BY 1) SELECT sum(n)::BIGINT AS n, sha256(string_agg(sha256(concat_ws('|', part, n, s0, s1, s2, s3, s4, s5, s6, s7)), '' ORDER BY part)) AS digest FROM p")
+def dataset_digest(spark, sf):
+    return fingerprint.dataset_digest(A.bars_daily_orders(spark, sf).drop("idx"), ["symbol", "ts"])
+
+
 def _entries(spark, sf):
     """Customers as experiments with a created and, for most, a later closing row."""
     c = A.table(spark, sf, "customer").select(F.concat(F.lit("EXP-"), F.col("c_custkey").cast("string")).alias("experiment_id"), F.col("c_custkey").alias("number"), F.col("c_mktsegment").alias("strategy_name"), F.explode(F.array(F.lit(0), F.lit(1))).alias("step"))
