@@ -68,19 +68,21 @@ def seat_table(quotas: DataFrame, n_shards: int) -> DataFrame:
     return per.select("source", F.expr(sums.format(n_shards)).alias("upto"))
 
 
-def _streamed(docs: DataFrame, rows: int, bucket_rows: int, s: Scratch) -> DataFrame:
+def _streamed(docs: DataFrame, sized: DataFrame, rows: int, bucket_rows: int, s: Scratch) -> DataFrame:
     """docs (source, size, key, ...) with `start`, the place of the document's first word in its source's seeded order.
 
+    sized has the same rows with these three columns alone, so that totals read no texts.
+
     A prefix sum in two levels: over (source, bucket) totals, and inside each bucket of about bucket_rows rows, so a source
     with a third of all rows is many groups.
     """
     buckets = max(1, -(-rows // bucket_rows))
-    cut = docs.withColumn("bucket", F.pmod(F.col("key"), F.lit(buckets)).cast("int"))
-    totals = cut.groupBy("source", "bucket").agg(F.sum("size").alias("n"))
+    bucket = F.pmod(F.col("key"), F.lit(buckets)).cast("int").alias("bucket")
+    totals = sized.select("source", "size", bucket).groupBy("source", "bucket").agg(F.sum("size").alias("n"))
     base = totals.select(F.col("source").alias("of"), F.col("bucket").alias("at"), (F.sum("n").over(Window.partitionBy("source").orderBy("bucket")) - F.col("n")).alias("base"))
     base = s.write(base, "base", keep=True)
     inner = Window.partitionBy("source", "bucket").orderBy("key", "doc_id").rowsBetween(Window.unboundedPreceding, 0)
-    placed = cut.withColumn("upto_here", F.sum("size").over(inner))
+    placed = docs.select("*", bucket).withColumn("upto_here", F.sum("size").over(inner))
     joined = placed.join(base, F.col("source").eqNullSafe(F.col("of")) & (F.col("bucket") == F.col("at")))
     return joined.withColumn("start", F.col("base") + F.col("upto_here") - F.col("size")).drop("of", "at", "base", "upto_here", "bucket")
 
@@ -112,7 +114,7 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
         plan = plan.withColumn("home", F.pmod(F.xxhash64(F.lit(seed + 1), "source"), F.lit(n_shards)).cast("int"))
         plan = plan.join(seats, F.col("source").eqNullSafe(F.col("seat_source")), "left")
         plan = s.write(plan.select(F.col("source").alias("plan_source"), "source_size", "target", "passes", "rest", "whole_blocks", "short", "turn", "home", "upto"), "plan", keep=True)
-        streamed = _streamed(docs.select(*columns, F.struct("*").alias("row")) if carry_rows else sized, rows, bucket_rows, s)
+        streamed = _streamed(docs.select(*columns, F.struct("*").alias("row")) if carry_rows else sized, sized, rows, bucket_rows, s)
     placed = streamed.join(plan, F.col("source").eqNullSafe(F.col("plan_source")))
     out = placed.select("doc_id", "size", "source", "source_size", "target", _pieces(width).alias("pieces"), *(["row"] if carry_rows else []))
     return out.withColumn("taken", F.aggregate("pieces", F.lit(0).cast("long"), lambda n, p: n + p["to"] - p["from"]))
