@@ -32,6 +32,8 @@ _CELLS = 1 << 18
 TASKS = 512
 #: A comparison keeps the shingle sets of its candidates until they hold so many shingles, and so many files open.
 KEPT_SHINGLES, KEPT_FILES = 1 << 22, 64
+#: The bitmap that spares most kept rows the join with the rows that go has so many bits (4 MB, whatever the table's size).
+BITMAP_BITS = 1 << 25
 
 
 def simhash(text: str | None, shingle: int = 4, words: int = 1) -> bytes:
@@ -387,7 +389,8 @@ def keep_one_per_group(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     about 2J/(1+J), so J = 0.8 lies at 39 bits on average with a standard deviation under 6 (at 48 for texts of four and five
     shingles, the worst), unrelated texts at 128 +- 8. A text with fewer words than a shingle is one shingle; texts without words
     are copies of each other. Of rows equal in id and text one stays, whichever. All columns are kept. The texts are not
-    written again but as words for the comparison, and those go before this returns: the result is docs without the rows that go.
+    written again but as words for the comparison, and those go before this returns: the result is docs without the rows that go,
+    of which only those that a bitmap of the latter's keys cannot clear meet them in a join.
     """
     text = F.col(f"`{text_col}`")
     key = row_key(id_col, text_col)
@@ -406,7 +409,28 @@ def keep_one_per_group(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         gone = s.write(fate.where("not stays or n > 1").select("k1", "k2"), "gone", keep=True)
         twice = s.write(fate.where("stays and n > 1").select("k1", "k2"), "twice", keep=True)
     keyed = docs.select(*key, F.struct("*").alias("row"))
-    kept = keyed.join(gone, ["k1", "k2"], "left_anti").select("row")
+    listed = maybe_among(gone, "k1")(F.col("k1"))
+    doubtful = keyed.where(listed)
+    kept = keyed.where(~listed).select("row").union(doubtful.join(gone, ["k1", "k2"], "left_anti").select("row"))
     if not twice.isEmpty():
-        kept = kept.union(keyed.join(twice, ["k1", "k2"], "left_semi").groupBy("k1", "k2").agg(F.first("row").alias("row")).select("row"))
+        kept = kept.union(doubtful.join(twice, ["k1", "k2"], "left_semi").groupBy("k1", "k2").agg(F.first("row").alias("row")).select("row"))
     return kept.select("row.*")
+
+
+def maybe_among(keys: DataFrame, column: str, bits: int = BITMAP_BITS):
+    """A test of a long column: false only where no row of keys has that value.
+
+    It is a bitmap over the values' last bits, put together by word in Spark; the driver sees bits / 64 rows at most. Of a
+    table so large that most bits are set it says true for most rows, which a join then decides as it does the others.
+    """
+    at = F.col(column).bitwiseAND(F.lit(bits - 1))
+    words = keys.select(F.shiftright(at, 6).alias("word"), F.expr(f"shiftleft(1L, cast(`{column}` & 63 as int))").alias("bit")).groupBy("word").agg(F.expr("bit_or(bit)").alias("bits")).toPandas()
+    bitmap = np.zeros(bits >> 6, np.int64)
+    bitmap[words["word"].to_numpy(np.int64)] = words["bits"].to_numpy(np.int64)
+
+    @F.pandas_udf("boolean")
+    def listed(values: pd.Series) -> pd.Series:
+        v = values.to_numpy(np.int64)
+        return pd.Series((bitmap[(v & (bits - 1)) >> 6] >> (v & 63)) & 1 == 1, index=values.index)
+
+    return listed

@@ -759,3 +759,15 @@ def test_token_shards_round_trip(spark, odd, nothing, tmp_path):
 def test_crc_split(spark):
     rows = spark.range(200).select("id", crc_mod(F.col("id"), 3).alias("m")).collect()
     assert all(r["m"] == zlib.crc32(str(r["id"]).encode()) % 3 for r in rows)
+
+
+def test_bitmap_clears_no_listed_key(spark):
+    rng = np.random.default_rng(3)
+    some = [int(x) for x in rng.integers(-(2**63), 2**63 - 1, 500)] + [0, -1, 63, -(2**63)]
+    others = [int(x) for x in rng.integers(-(2**63), 2**63 - 1, 5000)]
+    keys, table = spark.createDataFrame([(x,) for x in some], "k1 long"), spark.createDataFrame([(x,) for x in some + others], "k1 long")
+    for bits in (64, 1 << 12, 1 << 25):
+        passed = {r["k1"] for r in table.where(simhash.maybe_among(keys, "k1", bits)(F.col("k1"))).collect()}
+        low = {x & (bits - 1) for x in some}
+        assert passed == {x for x in some + others if x & (bits - 1) in low}
+    assert table.where(simhash.maybe_among(keys.limit(0), "k1")(F.col("k1"))).count() == 0
