@@ -586,6 +586,41 @@ def test_secret_network_on_held_out_documents(spark, odd, nothing):
     assert secrets.find_secrets(nothing).count() == 0
 
 
+def test_secret_training_takes_every_finding(spark):
+    """Labels, fit, calibration and threshold over all findings of more documents than a bounded draw would hold, against plain numpy."""
+    rng = random.Random(5)
+    pick = lambda alphabet, n: "".join(rng.choice(alphabet) for _ in range(n))
+    rows = [(i, f"{pick('etaoinshr', 6)} password={pick('abcXYZ0123456789', rng.randint(9, 20))} or {pick('etaoin', 5)}-{pick('0123456789', 6)}.") for i in range(9000)]
+    rows += [(9000, None), (9001, "")] + rows[:50]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    parts = [set(), set(), set()]
+    for i, text in rows:
+        parts[(0, 0, 1, 2)[zlib.crc32(str(i).encode()) % 4]] |= {(label, x.astype(np.uint8).tobytes()) for x, label in secrets.findings_in(text or "")}
+    stacked = lambda some: np.array([np.frombuffer(x, np.uint8) for _, x in some]).astype(np.int64)
+    net = secrets.train(docs)
+
+    mine = net.probability(stacked([f for f in parts[2] if f[0]]))
+    made = np.array([net.probability(np.array(w)).max() if w else 0.0 for w, label in secrets.generated(2000, 3) if label])
+    assert len(mine) > 2000 and len(made) < len(mine)
+    below = lambda t: (made < t).mean() + (mine < t).mean()
+    assert below(net.threshold - 1e-9) <= 2 * 0.02 <= below(net.threshold + 1e-9)  # both kinds of positives weigh alike
+
+    x, y = stacked(parts[1]), np.array([label for label, _ in parts[1]])
+    other = [(w, label) for windows, label in secrets.generated(2000, 2) for w in windows]
+    z, y = net.logits(np.concatenate((x, [w for w, _ in other]))), np.concatenate((y, [label for _, label in other]))
+    by = np.where(np.arange(len(y)) < len(x), 1.0, max(1.0, len(x) / len(other)))
+    n, good, spread = by.sum(), by[y > 0].sum(), (by @ z**2 / by.sum() - (by @ z / by.sum()) ** 2) ** 0.5
+    off = by * (1 / (1 + np.exp(-(net.scale * z + net.shift))) - np.where(y > 0, (good + 1) / (good + 2), 1 / (n - good + 2)))
+    assert abs(off @ z / spread / n + 1e-3 * net.scale * spread) < 1e-6 and abs(off.mean() * len(off) / n + 1e-3 * net.shift) < 1e-6
+
+    found = secrets.labelled(docs)
+    assert {(r["part"], r["label"], bytes(r["x"])) for r in found.collect()} == {(k, *f) for k, part in enumerate(parts) for f in part} and found.count() == sum(map(len, parts))
+    first, start = found.where("part = 0"), [a + 0.0 for a in secrets._made(0, 8000)[1]]
+    fits = [secrets.fit(some, len(parts[0]), start, secrets._flat(secrets.generated(4000, 1)), rates=(1e-3,), rows=4000) for some in (first, first.repartition(7))]
+    assert all(learned == len(parts[0]) for _, learned in fits) and all(np.array_equal(a, b) for a, b in zip(fits[0][0], fits[1][0]))
+    assert (np.bincount(secrets.order_of(10, 35, np.random.default_rng(0)), minlength=10) == 4).all() and sorted(secrets.order_of(100, 35, np.random.default_rng(0))) == list(range(100))
+
+
 def test_secrets_in_long_runs_and_without_digits():
     net = secrets.trained()
     rng = random.Random(7)
